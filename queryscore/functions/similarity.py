@@ -13,15 +13,12 @@ from queryscore import fixed_values as fv
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """|a∩b| / |a∪b| of two arrays read as sets; two empty sets score 1."""
-    n_a = F.size(F.array_distinct(a))
-    n_b = F.size(F.array_distinct(b))
+    """Shared share of two arrays read as sets; two empty sets score 1.
+
+    Free of branches, so that Spark computes each argument once.
+    """
     both = F.size(F.array_intersect(a, b))
-    return (
-        F.when((n_a == 0) & (n_b == 0), F.lit(1.0))
-        .when((n_a == 0) | (n_b == 0), F.lit(0.0))
-        .otherwise(both / (n_a + n_b - both))
-    )
+    return F.coalesce(F.try_divide(both, F.size(F.array_union(a, b))), F.lit(1.0))
 
 
 def tokens(c: Column) -> Column:
@@ -59,51 +56,54 @@ _KEYWORDS = (
     "window with current"
 ).split()
 
+# Keywords are marked once; afterwards a word without the mark is an identifier.
+_MARK = "\x01"
+_BY_LETTER = {k[0]: [w[1:] for w in _KEYWORDS if w[0] == k[0]] for k in _KEYWORDS}
+_KEYWORD = rf"(?=[{''.join(_BY_LETTER)}])\b(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in _BY_LETTER.items()) + r")\b"
+
 _WORD = r"[\p{L}_][\p{L}\p{N}_$]*+"
 _QUOTED = r'"[^"]+"|`[^`]+`|\[[\p{L}_][^\]]*\]'
 _IDENT = rf"(?:\b{_WORD}|{_QUOTED})"
-_KEYWORD = rf"\b(?:{'|'.join(_KEYWORDS)})\b"
-_FREE = rf"(?!{_KEYWORD}){_IDENT}"
-_DOTTED = rf"{_FREE}(?:\s*\.\s*{_IDENT})*"
-_ALIAS = rf"(?:\s+as\s+{_IDENT}|\s+{_FREE})?"
+_DOTTED = rf"{_IDENT}(?:\s*\.\s*{_IDENT})*"
+_ALIAS = rf"(?:\s+{_MARK}as\s+{_IDENT}|\s+{_IDENT})?"
 _FROM_LIST = rf"{_DOTTED}{_ALIAS}(?:\s*,\s*{_DOTTED}{_ALIAS})*"
 # ``from`` that names no table.
-_OTHER_FROM = r"\bdistinct\s+from\b|\b(?:extract|substring|trim)\s*\(\s*[^(),]*?\bfrom\b"
+_OTHER_FROM = rf"{_MARK}distinct\s+{_MARK}from\b|\b(?:extract|substring|trim)\s*\([^(),]*?{_MARK}from\b"
 
-_TABLES = rf"{_OTHER_FROM}|\b(?:from|join)\s+({_FROM_LIST})"
+_TABLES = rf"{_OTHER_FROM}|{_MARK}(?:from|join)\s+({_FROM_LIST})"
 _LISTED = rf"(?:^|,)\s*(?:{_IDENT}\s*\.\s*)*({_IDENT})(?!\s*\.)"
 
 # Alternatives that consume context come first; only a column reaches the group.
 _COLUMNS = "|".join(
     [
         _OTHER_FROM,
-        rf"\b(?:from|join)\s+{_FROM_LIST}",
-        rf"(?:\bwith(?:\s+recursive)?|,)\s*{_FREE}\s+as\s*\(",  # common table expression
-        rf"\bas\s+{_IDENT}",  # alias or cast type
+        rf"{_MARK}(?:from|join)\s+{_FROM_LIST}",
+        rf"(?:{_MARK}with(?:\s+{_MARK}recursive)?|,)\s*{_IDENT}\s+{_MARK}as\s*\(",  # common table expression
+        rf"{_MARK}as\s+{_IDENT}",  # alias or cast type
         r"\b(?:date|timestamp|interval)\s+0\b",  # typed literal
-        rf"\)\s*{_FREE}(?!\s*[.(])",  # alias of a call or subquery
-        rf"\bend\s+{_FREE}(?!\s*[.(])",  # alias of a case
-        _KEYWORD,
-        rf"\b\d[\p{{L}}\p{{N}}_.]*(?:\s+{_FREE}(?!\s*[.(]))?",  # number and its alias
+        rf"(?:\)|{_MARK}end)\s*{_IDENT}(?!\s*[.(])",  # alias of a call, subquery or case
+        rf"{_MARK}\w+",
+        rf"\b\d[\p{{L}}\p{{N}}_.]*(?:\s+{_IDENT}(?!\s*[.(]))?",  # number and its alias
         rf"{_IDENT}\s*\(",  # call
-        rf"({_IDENT}(?!\s*\.)|(?<=\.)\s*\*)(?:\s+{_FREE}(?!\s*[.(]))?",  # column and its alias
+        rf"({_IDENT}(?!\s*\.)|(?<=\.)\s*\*)(?:\s+{_IDENT}(?!\s*[.(]))?",  # column and its alias
     ]
 )
 
 
 def _plain(c: Column) -> Column:
-    """Lower-case SQL without comments, string literals replaced by a number."""
+    """Lower-case SQL without comments, string literals as numbers, keywords marked."""
     text = F.lower(F.coalesce(c, F.lit("")))
-    strings_kept = F.regexp_replace(
-        text, r"('(?:[^']|'')*+'|\"[^\"]*+\"|`[^`]*+`)|--[^\n]*|/\*(?s:.*?)\*/", "$1 "
+    no_comments = F.regexp_replace(
+        text, r"(?=['\"`/-])(?:('(?:[^']|'')*+'|\"[^\"]*+\"|`[^`]*+`)|--[^\n]*|/\*(?s:.*?)\*/)", "$1 "
     )
-    return F.regexp_replace(strings_kept, r"'(?:[^']|'')*+'", " 0 ")
+    no_strings = F.regexp_replace(no_comments, r"'(?:[^']|'')*+'", " 0 ")
+    return F.regexp_replace(no_strings, _KEYWORD, _MARK + "$0")
 
 
 def _unquoted(names: Column) -> Column:
     """Identifier quotes removed and empty entries dropped, by way of one joined text."""
-    sep = "\u001f"
-    joined = F.regexp_replace(F.array_join(names, sep), r'["`\[\]]', "")
+    sep = "\x1f"
+    joined = F.regexp_replace(F.array_join(names, sep), rf'["`\[\]{_MARK}]', "")
     return F.array_remove(F.split(joined, sep), "")
 
 
@@ -122,11 +122,10 @@ def column_names(c: Column) -> Column:
 
 def schema_items(c: Column) -> Column:
     """Tables as ``t:name`` and columns as ``c:name``."""
-    sep = "\u001f"
+    sep = "\x1f"
 
     def tagged(names: Column, tag: str) -> Column:
-        joined = F.regexp_replace(F.array_join(names, sep), sep, sep + tag)
-        return F.when(F.size(names) > 0, F.concat(F.lit(tag), joined)).otherwise("")
+        return F.regexp_replace(F.array_join(names, sep + tag), r"\A(?=[\s\S])", tag)
 
     both = F.concat_ws(sep, tagged(table_names(c), "t:"), tagged(column_names(c), "c:"))
     return F.array_remove(F.split(both, sep), "")

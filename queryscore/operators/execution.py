@@ -56,7 +56,7 @@ OUTCOME_SCHEMA = T.StructType(
 )
 
 # How many outcomes the driver holds before it writes them out.
-_FLUSH_ROWS = 2000
+_FLUSH_ROWS = 1000
 
 
 def read_only_query(spark: SparkSession, sql: str) -> DataFrame:
@@ -197,28 +197,30 @@ def run_queries(
     mode: str,
     timeout_s: float,
     concurrency: int = 8,
+    sessions: DatabaseSessions | None = None,
     **options,
 ) -> DataFrame:
     """Run every distinct (db_id, sql) of ``queries`` and return one outcome row each.
 
     The driver only sees query texts, a partition of them at a time, and one small row
-    per finished query, written out in batches to the shared scratch folder. Blank texts
-    and unknown databases must be filtered out before; they have no outcome.
+    per finished query. Beyond a fixed number these rows are written out, in batches, to
+    the shared scratch folder. Blank texts must be filtered out before; texts of unknown
+    databases have no outcome.
     """
-    out = scratch_dir(spark, "outcomes")
     run = _Run(mode, timeout_s, **options)
-    sessions = DatabaseSessions(spark)
+    sessions = sessions or DatabaseSessions(spark)
     distinct = (
         queries.groupBy("db_id", "sql").agg(F.count(F.lit(1)).alias("uses"))
         .join(databases.select("db_id", "dir"), "db_id")
         .orderBy("dir", "sql")
     )
 
-    def flush(rows: list[dict]) -> None:
-        spark.createDataFrame(
+    def frame(rows: list[dict]) -> DataFrame:
+        return spark.createDataFrame(
             [tuple(r[c] for c in OUTCOME_SCHEMA.names) for r in rows], OUTCOME_SCHEMA
-        ).coalesce(1).write.mode("append").parquet(out)
+        )
 
+    out = None
     rows: list[dict] = []
     with cf.ThreadPoolExecutor(concurrency) as pool:
         def one(item):
@@ -227,9 +229,12 @@ def run_queries(
         for row in _bounded_map(pool, one, distinct.toLocalIterator(), 4 * concurrency):
             rows.append(row)
             if len(rows) >= _FLUSH_ROWS:
-                flush(rows)
+                out = out or scratch_dir(spark, "outcomes")
+                frame(rows).coalesce(1).write.mode("append").parquet(out)
                 rows = []
-    flush(rows)
+    if out is None:
+        return frame(rows)
+    frame(rows).coalesce(1).write.mode("append").parquet(out)
     return spark.read.schema(OUTCOME_SCHEMA).parquet(out)
 
 
@@ -314,7 +319,7 @@ def _outcome_of(outcomes: DataFrame, side: str) -> DataFrame:
 def match_batch(
     spark: SparkSession, pairs: DataFrame, databases: DataFrame,
     timeout_s: float = fv.MATCH_TIMEOUT_S, concurrency: int = 8,
-    float_digits: int | None = None,
+    float_digits: int | None = None, sessions: DatabaseSessions | None = None,
 ) -> DataFrame:
     """``pairs`` plus (ex, pred_status, gold_status, pred_seconds).
 
@@ -323,7 +328,7 @@ def match_batch(
     """
     texts = _runnable(pairs, "pred_sql").unionByName(_runnable(pairs, "gold_sql"))
     outcomes = run_queries(
-        spark, texts, databases, "match", timeout_s, concurrency, float_digits=float_digits
+        spark, texts, databases, "match", timeout_s, concurrency, sessions, float_digits=float_digits
     )
     known = databases.select("db_id", F.lit(True).alias("has_db"))
     joined = left_join_skewed(
@@ -346,10 +351,11 @@ def match_batch(
 def executes_ok(
     spark: SparkSession, queries: DataFrame, databases: DataFrame,
     timeout_s: float = fv.PREVIEW_TIMEOUT_S, concurrency: int = 8,
+    sessions: DatabaseSessions | None = None,
 ) -> DataFrame:
     """``queries`` plus ``executes``: not blank, not a write, and the first row arrives in time."""
     texts = _runnable(queries, "sql").filter(~looks_like_write(F.col("sql")))
-    ok = run_queries(spark, texts, databases, "first_row", timeout_s, concurrency).select(
+    ok = run_queries(spark, texts, databases, "first_row", timeout_s, concurrency, sessions).select(
         "db_id", "sql", (F.col("status") == OK).alias("ran")
     )
     return queries.join(ok, ["db_id", "sql"], "left").select(
@@ -360,6 +366,7 @@ def executes_ok(
 def with_executes(
     spark: SparkSession, scored: DataFrame, databases: DataFrame,
     timeout_s: float = fv.PREVIEW_TIMEOUT_S, concurrency: int = 8,
+    sessions: DatabaseSessions | None = None,
 ) -> DataFrame:
     """Add ``executes`` to the rows of ``match_batch``, running as few queries as possible.
 
@@ -373,7 +380,7 @@ def with_executes(
     open_ = scored.filter(
         ~F.coalesce(proven, F.lit(False)) & F.col("pred_status").isin(OK, EXEC_ERROR, TIMEOUT) & ~write
     ).select("db_id", F.col("pred_sql").alias("sql"))
-    tried = executes_ok(spark, open_.distinct(), databases, timeout_s, concurrency).select(
+    tried = executes_ok(spark, open_.distinct(), databases, timeout_s, concurrency, sessions).select(
         "db_id", F.col("sql").alias("pred_sql"), "executes"
     )
     return scored.join(tried, ["db_id", "pred_sql"], "left").select(

@@ -14,13 +14,14 @@ from queryscore import fixed_values as fv
 from queryscore.functions.messages import called_describe, completion_text
 from queryscore.functions.similarity import bigram_jaccard, schema_link_jaccard
 from queryscore.functions.sql_text import extract_final_sql, is_select
-from queryscore.operators.execution import match_batch, with_executes
+from queryscore.operators.execution import DatabaseSessions, match_batch, with_executes
 from queryscore.operators.skew import left_join_skewed
 from queryscore.scratch import materialise
 
 
-def _when_valid(value: Column) -> Column:
-    return F.when(F.col("valid_sql"), value.cast("double")).otherwise(F.lit(0.0))
+def _if_valid(value: Column) -> Column:
+    """0 unless valid; a product, not a branch, so that shared parts are computed once."""
+    return F.col("valid_sql").cast("double") * value
 
 
 def _gated(scored: DataFrame) -> DataFrame:
@@ -44,10 +45,10 @@ def reward_r2(scored: DataFrame) -> DataFrame:
     """Partial credit: execution match, executability, schema and token overlap, format."""
     parts = (
         _gated(scored)
-        .withColumn("syntax", _when_valid(((F.col("ex") == 1) | F.col("executes")).cast("int")))
-        .withColumn("schema", _when_valid(schema_link_jaccard(F.col("pred_sql"), F.col("gold_sql"))))
-        .withColumn("ngram", _when_valid(bigram_jaccard(F.col("pred_sql"), F.col("gold_sql"))))
-        .withColumn("format", _when_valid(F.lit(1.0)))
+        .withColumn("syntax", _if_valid(((F.col("ex") == 1) | F.col("executes")).cast("int")))
+        .withColumn("schema", _if_valid(schema_link_jaccard(F.col("pred_sql"), F.col("gold_sql"))))
+        .withColumn("ngram", _if_valid(bigram_jaccard(F.col("pred_sql"), F.col("gold_sql"))))
+        .withColumn("format", _if_valid(F.lit(1.0)))
     )
     reward = (
         fv.R2_EXEC * F.col("ex") + fv.R2_SYNTAX * F.col("syntax") + fv.R2_SCHEMA * F.col("schema")
@@ -93,9 +94,10 @@ def score_pairs(
     """Execute, match and reward (db_id, pred_sql, gold_sql) rows under one arm."""
     if arm not in _REWARDS:
         raise ValueError(f"unknown reward arm {arm!r}; choose from {sorted(_REWARDS)}")
-    scored = match_batch(spark, pairs, databases, **limits)
+    sessions = DatabaseSessions(spark)
+    scored = match_batch(spark, pairs, databases, sessions=sessions, **limits)
     if arm in ("r2", "r3"):
-        scored = with_executes(spark, scored, databases)
+        scored = with_executes(spark, scored, databases, sessions=sessions)
     return _REWARDS[arm](scored)
 
 

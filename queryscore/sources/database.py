@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,9 +53,10 @@ def register_database(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
     Databases may share table names: give each its own ``spark.newSession()``.
     """
-    tables = {
-        name: spark.read.parquet(full) for name, full in database_tables(spark, path).items()
-    }
+    paths = database_tables(spark, path)
+    # Reading a schema waits for storage, not for the CPU: look at several tables at once.
+    with ThreadPoolExecutor(8) as pool:
+        tables = dict(zip(paths, pool.map(spark.read.parquet, paths.values())))
     for name, df in tables.items():
         df.createOrReplaceTempView(f"`{name}`")
     return tables

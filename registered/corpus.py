@@ -43,7 +43,7 @@ _SYSTEM = _lit(fv.SYSTEM_PROMPT)
 _ASK = f"'Question: ' || question || chr(10) || 'Database: ' || db_id || {_EVIDENCE}"
 _HEADERS = {
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
-    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
     "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
     "region": "r_regionkey INT, r_name STRING",
     "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
@@ -176,8 +176,8 @@ UNION ALL SELECT qid, 2, 'assistant', {_lit(fv.LIST_TABLES_TURN)}, 'call_1 {{}}'
 UNION ALL SELECT qid, 3, 'tool', 'Tables: nation, orders, part, region, supplier', '', 'call_1' FROM kept
 UNION ALL SELECT qid, 4, 'assistant', {_lit(fv.DESCRIBE_TURN)},
     array_to_string(list_transform(range(1, len(named) + 1), lambda i: 'call_' || (i + 1) || ' {{"table":"' || named[i] || '"}}'), ','), NULL FROM kept
-UNION ALL SELECT qid, 4 + i, 'tool', text, '', 'call_' || (i + 1) FROM told JOIN texts USING (t)
-UNION ALL SELECT qid, 5 + len(named), 'assistant', 'FINAL SQL: ' || gold_sql, '', NULL FROM kept""")
+UNION ALL SELECT qid, CAST(4 + i AS INT), 'tool', text, '', 'call_' || (i + 1) FROM told JOIN texts USING (t)
+UNION ALL SELECT qid, CAST(5 + len(named) AS INT), 'assistant', 'FINAL SQL: ' || gold_sql, '', NULL FROM kept""")
 def agentic_trajectories(spark, sf_dir):
     use_local_scratch_if_unset(spark)
     tables = _tables(spark, sf_dir)

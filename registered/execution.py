@@ -93,8 +93,9 @@ def executes_ok(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    databases = tpch(spark, sf_dir)
-    return ex.with_executes(spark, ex.match_batch(spark, _pairs(spark), databases), databases)
+    databases, sessions = tpch(spark, sf_dir), ex.DatabaseSessions(spark)
+    matched = ex.match_batch(spark, _pairs(spark), databases, sessions=sessions)
+    return ex.with_executes(spark, matched, databases, sessions=sessions)
 
 
 _SELECTS = "exec_id NOT IN ('p08', 'p09')"
@@ -139,7 +140,7 @@ def _r2_sql() -> str:
 WITH v AS ({_VERDICTS}), x AS ({texts}),
 w AS (SELECT *, {words('pred')} AS pw, {words('gold')} AS gw FROM x),
 g AS (SELECT *, {grams('pw')} AS pg, {grams('gw')} AS gg FROM w),
-s AS (SELECT exec_id, tag, ex, CASE WHEN {_SELECTS} THEN 1.0 ELSE 0.0 END AS ok, CASE WHEN pred_status = 'ok' THEN 1.0 ELSE 0.0 END AS syntax,
+s AS (SELECT exec_id, tag, ex, CASE WHEN {_SELECTS} THEN 1::DOUBLE ELSE 0::DOUBLE END AS ok, CASE WHEN pred_status = 'ok' THEN 1::DOUBLE ELSE 0::DOUBLE END AS syntax,
     {overlap('pi', 'gi')} AS schema, {overlap('pg', 'gg')} AS ngram FROM v JOIN g USING (exec_id))
 SELECT exec_id, tag, ex, round(ok * (3 * ex + syntax + schema + ngram + 1), 6) AS reward,
     ok * syntax AS syntax, round(ok * schema, 3) AS schema, round(ok * ngram, 3) AS ngram FROM s"""
@@ -162,7 +163,7 @@ def r2_summary_by_tag(spark, sf_dir):
     return out.select("tag", "n", *[F.round(c, 6).alias(c) for c in ("ex_rate", "mean_reward", "valid_sql_rate")])
 
 
-@query(f"""SELECT exec_id, round(0.2 * (exec_id < 'p09')::INT + 0.3 * (pred_status = 'ok')::INT + ex, 6) AS reward FROM ({_VERDICTS})""")
+@query(f"""SELECT exec_id, round(0.2::DOUBLE * (exec_id < 'p09')::INT + 0.3::DOUBLE * (pred_status = 'ok')::INT + ex, 6) AS reward FROM ({_VERDICTS})""")
 def reward_r3(spark, sf_dir):
     scored = _scored(spark, sf_dir).withColumn("called_describe", F.col("exec_id") < "p09")
     return rewards.reward_r3(scored).select("exec_id", F.round("reward", 6).alias("reward"))
@@ -242,7 +243,7 @@ _KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "supplier": "s_suppke
     _described("region", "r_regionkey INT, r_name STRING", ["r_regionkey", "r_name"], "r_regionkey"),
     _described("nation", "n_nationkey INT, n_name STRING, n_regionkey INT", ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey"),
     _described("supplier", "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "s_suppkey"),
-    _described("orders", "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority STRING",
+    _described("orders", "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
                ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "o_orderkey"),
     _described("part", "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
                ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "p_partkey"),

@@ -125,7 +125,8 @@ def gradient_density(spark, sf_dir):
 
 
 def _log(spark, sf_dir):
-    hours = F.floor(F.unix_seconds("ts") / 3600)
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    hours = F.timestamp_diff("HOUR", epoch, F.col("ts").cast("timestamp_ntz"))
     return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("arm"), hours.alias("step")).agg(
         F.avg("value").alias("reward")
     )

@@ -118,7 +118,7 @@ def bigram_jaccard_turns(spark, sf_dir):
 
 
 @query("""
-SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.25 ELSE 0.0 END AS schema_link
+SELECT o_orderkey, CAST(CASE o_orderkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.75 WHEN 2 THEN 0.25 ELSE 0.0 END AS DOUBLE) AS schema_link
 FROM orders
 """)
 def schema_link_orders(spark, sf_dir):

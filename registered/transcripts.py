@@ -93,7 +93,7 @@ def tool_call_log(spark, sf_dir):
 
 @query("""SELECT doc_id AS qid, source AS db_id,
     CASE WHEN toxic = 0 THEN 'SELECT ' || doc_id END AS final_sql, CASE WHEN toxic = 0 THEN quality ELSE 0 END AS ex,
-    CASE WHEN toxic = 0 THEN quality * 7.0 ELSE 0.0 END AS reward, CASE WHEN toxic = 0 THEN 3 ELSE 0 END AS turns,
+    CAST(CASE WHEN toxic = 0 THEN quality * 7 ELSE 0 END AS DOUBLE) AS reward, CASE WHEN toxic = 0 THEN 3 ELSE 0 END AS turns,
     coalesce(toxic = 0, false) AS finished,
     CASE WHEN toxic = 0 THEN NULL WHEN toxic = 1 THEN substring(text, 1, 200) ELSE 'no result' END AS error
 FROM documents LEFT JOIN labels USING (doc_id)""")
