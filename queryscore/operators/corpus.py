@@ -19,6 +19,9 @@ from queryscore.operators.filters import usable
 from queryscore.operators.skew import first_per_group, left_join_skewed
 from queryscore.sources.database import list_tables
 
+# Schema texts and table descriptions are wide: broadcast fewer of them.
+_HEAVY_DATABASES = 100
+
 
 def prompt_messages() -> Column:
     """System and user message of the tool-using prompt."""
@@ -33,7 +36,7 @@ def grpo_dataset(questions: DataFrame) -> DataFrame:
 
 def attach_schema(records: DataFrame, schemas: DataFrame) -> DataFrame:
     """Add ``schema`` by ``db_id``; "" where there is none."""
-    joined = left_join_skewed(records, schemas.select("db_id", "schema"), ["db_id"])
+    joined = left_join_skewed(records, schemas.select("db_id", "schema"), ["db_id"], heavy=_HEAVY_DATABASES)
     return joined.withColumn("schema", F.coalesce("schema", F.lit("")))
 
 
@@ -90,7 +93,7 @@ def gold_tables(queries: DataFrame, columns: DataFrame, sql: str = "gold_sql") -
         "db_id", F.col("tables").alias("_all"),
         F.map_from_entries(F.transform("tables", lambda t: F.struct(F.lower(t), t))).alias("_by_name"),
     )
-    joined = left_join_skewed(queries, catalog, ["db_id"])
+    joined = left_join_skewed(queries, catalog, ["db_id"], heavy=_HEAVY_DATABASES)
     named = F.array_compact(F.transform(table_names(F.col(sql)), lambda t: F.col("_by_name")[t]))
     first = F.slice("_all", 1, fv.FALLBACK_TABLES)
     tables = F.when(F.size(named) > 0, named).otherwise(first)
@@ -109,7 +112,8 @@ def agentic_trajectories(
     )
     catalog = list_tables(columns).select("db_id", F.col("text").alias("_list"))
     per_db = catalog.join(described, "db_id")
-    rows = left_join_skewed(gold_tables(usable(questions, databases), columns), per_db, ["db_id"])
+    asked = gold_tables(usable(questions, databases), columns)
+    rows = left_join_skewed(asked, per_db, ["db_id"], heavy=_HEAVY_DATABASES)
 
     list_call = F.array(_call(F.lit(1), fv.LIST_TABLES, F.lit("{}")))
     table_call = lambda t, i: _call(

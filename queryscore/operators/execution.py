@@ -51,7 +51,6 @@ OUTCOME_SCHEMA = T.StructType(
         T.StructField("n_distinct", T.LongType()),
         *[T.StructField(w, T.LongType()) for w in _WORDS],
         T.StructField("text", T.StringType()),
-        T.StructField("uses", T.LongType()),
     ]
 )
 
@@ -210,7 +209,7 @@ def run_queries(
     run = _Run(mode, timeout_s, **options)
     sessions = sessions or DatabaseSessions(spark)
     distinct = (
-        queries.groupBy("db_id", "sql").agg(F.count(F.lit(1)).alias("uses"))
+        queries.select("db_id", "sql").distinct()
         .join(databases.select("db_id", "dir"), "db_id")
         .orderBy("dir", "sql")
     )
@@ -224,7 +223,7 @@ def run_queries(
     rows: list[dict] = []
     with cf.ThreadPoolExecutor(concurrency) as pool:
         def one(item):
-            return _run_one(sessions.get(item.dir), item.db_id, item.sql, run) | {"uses": item.uses}
+            return _run_one(sessions.get(item.dir), item.db_id, item.sql, run)
 
         for row in _bounded_map(pool, one, distinct.toLocalIterator(), 4 * concurrency):
             rows.append(row)
@@ -270,8 +269,8 @@ def preview(
     failed = F.when(
         looks_like_write(F.col("sql")), F.lit(f"Error: {fv.READ_ONLY_ERROR}")
     ).otherwise(F.concat(F.lit("Error: SQL error: "), F.coalesce("error", F.lit("no such database"))))
-    return queries.join(shown, ["db_id", "sql"], "left").select(
-        *[queries[c] for c in queries.columns],
+    return left_join_skewed(queries, shown, ["db_id", "sql"]).select(
+        *queries.columns,
         F.when(F.col("status") == OK, F.col("result")).otherwise(failed).alias("text"),
         F.coalesce((F.col("status") == OK) & (F.col("n_rows") > max_rows), F.lit(False)).alias("truncated"),
     )
@@ -312,7 +311,7 @@ def _outcome_of(outcomes: DataFrame, side: str) -> DataFrame:
     return outcomes.select(
         "db_id", F.col("sql").alias(f"{side}_sql"),
         F.col("status").alias(f"{side}_ran"), F.col("seconds").alias(f"{side}_seconds"),
-        print_.alias(f"{side}_print"), "uses",
+        print_.alias(f"{side}_print"),
     )
 
 
@@ -328,15 +327,12 @@ def match_batch(
     """
     texts = _runnable(pairs, "pred_sql").unionByName(_runnable(pairs, "gold_sql"))
     outcomes = run_queries(
-        spark, texts, databases, "match", timeout_s, concurrency, sessions, float_digits=float_digits
+        spark, texts, databases, "match", timeout_s, concurrency, sessions, float_digits=float_digits,
     )
     known = databases.select("db_id", F.lit(True).alias("has_db"))
-    joined = left_join_skewed(
-        pairs, _outcome_of(outcomes, "pred"), ["db_id", "pred_sql"], "uses"
-    ).drop("uses")
-    joined = left_join_skewed(
-        joined, _outcome_of(outcomes, "gold"), ["db_id", "gold_sql"], "uses"
-    ).join(known, "db_id", "left")
+    joined = left_join_skewed(pairs, _outcome_of(outcomes, "pred"), ["db_id", "pred_sql"])
+    joined = left_join_skewed(joined, _outcome_of(outcomes, "gold"), ["db_id", "gold_sql"])
+    joined = joined.join(known, "db_id", "left")
     has_db = F.coalesce("has_db", F.lit(False))
     both_ok = (F.col("pred_ran") == OK) & (F.col("gold_ran") == OK)
     return joined.select(
@@ -358,8 +354,8 @@ def executes_ok(
     ok = run_queries(spark, texts, databases, "first_row", timeout_s, concurrency, sessions).select(
         "db_id", "sql", (F.col("status") == OK).alias("ran")
     )
-    return queries.join(ok, ["db_id", "sql"], "left").select(
-        *[queries[c] for c in queries.columns], F.coalesce("ran", F.lit(False)).alias("executes")
+    return left_join_skewed(queries, ok, ["db_id", "sql"]).select(
+        *queries.columns, F.coalesce("ran", F.lit(False)).alias("executes")
     )
 
 
@@ -383,7 +379,7 @@ def with_executes(
     tried = executes_ok(spark, open_.distinct(), databases, timeout_s, concurrency, sessions).select(
         "db_id", F.col("sql").alias("pred_sql"), "executes"
     )
-    return scored.join(tried, ["db_id", "pred_sql"], "left").select(
+    return left_join_skewed(scored, tried, ["db_id", "pred_sql"]).select(
         *scored.columns,
         (F.coalesce(proven, F.lit(False)) | F.coalesce("executes", F.lit(False))).alias("executes"),
     )
@@ -406,8 +402,8 @@ def gold_filter(
         .otherwise(OK)
     )
     return (
-        questions.join(outcomes, ["db_id", "gold_sql"], "left").join(known, "db_id", "left")
-        .select(*[questions[c] for c in questions.columns], reason.alias("reason"))
+        left_join_skewed(questions, outcomes, ["db_id", "gold_sql"]).join(known, "db_id", "left")
+        .select(*questions.columns, reason.alias("reason"))
         .withColumn("keep", F.col("reason") == OK)
     )
 

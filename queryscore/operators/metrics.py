@@ -198,7 +198,8 @@ def metric_pivot(results: DataFrame, arms: list[str], arm: str = "arm") -> DataF
 
 def token_count(text: Column) -> Column:
     """Number of white-space separated tokens."""
-    return F.size(F.regexp_extract_all(text, F.lit(f"[^{fv.SPACE_CLASS}]+"), F.lit(0)))
+    spaces = F.translate(text, fv.SPACE_CHARS, " " * len(fv.SPACE_CHARS))
+    return F.size(F.array_remove(F.split(spaces, " "), ""))
 
 
 def length_profile(

@@ -18,21 +18,32 @@ def left_join_skewed(
 ) -> DataFrame:
     """Left join to ``dim`` (one row per key) that no single key can unbalance.
 
-    ``weight`` is the ``dim`` column telling how many rows a key has; without it the rows
-    are counted. The ``heavy`` largest keys are broadcast (a fixed number of rows); every
-    other key has at most 1/``heavy`` of the rows and is joined by shuffle. Rows already
-    served by the broadcast get a salt instead of meeting in one shuffle partition.
+    The ``heavy`` most frequent keys of ``rows``, matched or not, are broadcast: a fixed
+    number of rows. Any other key has at most 1/``heavy`` of the rows and is joined by
+    shuffle. Rows the broadcast has served, and rows with a null key, get a salt instead
+    of meeting in one shuffle partition.
+
+    ``weight`` names a ``dim`` column with the number of rows per key, if ``dim`` has it
+    for every key; otherwise the rows are counted.
     """
     payload = [c for c in dim.columns if c not in keys]
+    served = dim.select(*keys, F.struct(*payload).alias("_hot"))
     if weight is None:
         counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        biggest = counted.orderBy(F.desc("_rows"), *keys).limit(heavy).select(*keys)
-        top = dim.join(F.broadcast(biggest), keys, "left_semi")
+        top = counted.orderBy(F.desc("_rows"), *keys).limit(heavy).select(*keys)
+        found = served.join(F.broadcast(top), keys, "left_semi")
+        hot = top.join(F.broadcast(found), keys, "left")
     else:
-        top = dim.orderBy(F.desc(weight), *keys).limit(heavy)
-    hot = top.select(*keys, F.struct(*payload).alias("_hot"))
-    light = dim.select(*keys, F.lit(0).alias("_salt"), F.struct(*payload).alias("_light"))
-    salt = F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(F.spark_partition_id() + 1)
+        hot = served.orderBy(F.desc(f"_hot.{weight}"), *keys).limit(heavy)
+    hot = hot.withColumn("_served", F.lit(True))
+    # Always 0, but not a constant: a constant would be folded out of the join keys, and
+    # the salted rows would meet in one partition again.
+    zero = F.pmod(F.hash(*keys), F.lit(1))
+    light = dim.select(*keys, zero.alias("_salt"), F.struct(*payload).alias("_light"))
+    has_key = F.lit(True)
+    for key in keys:
+        has_key = has_key & F.col(key).isNotNull()
+    salt = F.when(F.col("_served").isNull() & has_key, F.lit(0)).otherwise(F.spark_partition_id() + 1)
     joined = (
         rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
         .join(light, [*keys, "_salt"], "left")

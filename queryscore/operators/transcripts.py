@@ -16,6 +16,7 @@ from queryscore import fixed_values as fv
 from queryscore.functions.messages import TOOL_CALL
 from queryscore.functions.sql_text import extract_final_sql, is_select
 from queryscore.operators.execution import match_batch
+from queryscore.operators.skew import left_join_skewed
 
 _TOOLS = [fv.LIST_TABLES, fv.DESCRIBE_TABLE, fv.RUN_SQL]
 
@@ -170,6 +171,6 @@ def with_ex_fallback(
     rescored = F.when(
         F.col("final_sql").isNull() & is_select(F.col("fallback_sql")), F.coalesce("fallback_ex", "ex")
     ).otherwise(F.col("ex"))
-    return results.join(matched, ["db_id", "gold_sql", "fallback_sql"], "left").select(
-        *[results[c] for c in results.columns], rescored.alias("ex_fallback")
+    return left_join_skewed(results, matched, ["db_id", "gold_sql", "fallback_sql"]).select(
+        *results.columns, rescored.alias("ex_fallback")
     )

@@ -111,9 +111,32 @@ def test_length_profile(spark):
 
 
 def test_skewed_left_join_keeps_rows_and_misses(spark):
-    rows = spark.range(0, 5000).select("id", F.when(F.col("id") < 3000, 1).otherwise(F.col("id") % 50).alias("k")).repartition(7)
-    dim = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"))
+    # key 1 dominates, null and an unmatched key (99) are frequent as well
+    key = (
+        F.when(F.col("id") < 3000, 1).when(F.col("id") < 4000, F.lit(None)).when(F.col("id") < 5000, 99)
+        .otherwise(F.col("id") % 50)
+    )
+    rows = spark.range(0, 6000).select("id", key.alias("k")).repartition(7)
+    dim = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"), F.lit(1).alias("w"))
     for heavy in (1, 3, 1000):
         got = skew.left_join_skewed(rows, dim, ["k"], heavy=heavy).collect()
-        assert len(got) == 5000
-        assert all(r.v == (r.k * 10 if r.k < 40 else None) for r in got)
+        assert len(got) == 6000
+        assert all(r.v == (r.k * 10 if r.k is not None and r.k < 40 else None) for r in got)
+    weighted = skew.left_join_skewed(rows, dim, ["k"], "w", heavy=5)
+    assert weighted.filter("v IS NOT NULL").count() == rows.filter("k < 40").count()
+
+
+def test_no_task_of_a_skewed_join_gets_the_dominating_key(spark):
+    """Without broadcast or adaptive splitting, shuffled rows still spread out."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(0, 64000, 1, 64).select(F.when(F.col("id") % 2 == 0, 1).when(F.col("id") % 4 == 1, F.lit(None)).otherwise(F.col("id") % 997).alias("k"))
+        dim = spark.range(0, 1000, 1, 2).select(F.col("id").alias("k"), F.col("id").alias("v"))
+        out = skew.left_join_skewed(rows, dim, ["k"], heavy=10)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 64000 and len(sizes) == 4 and max(sizes) < 24000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
