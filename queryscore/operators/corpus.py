@@ -84,20 +84,26 @@ def mix_corpora(**sources: DataFrame | None) -> DataFrame:
     return out
 
 
+def _catalog(columns: DataFrame) -> DataFrame:
+    """(db_id, _all, _by_name, _list): table names, their spelling by lower case, list text."""
+    by_name = F.map_from_entries(F.transform("tables", lambda t: F.struct(F.lower(t), t)))
+    return list_tables(columns).select(
+        "db_id", F.col("tables").alias("_all"), by_name.alias("_by_name"), F.col("text").alias("_list")
+    )
+
+
+def _named_tables(sql: str) -> Column:
+    named = F.array_compact(F.transform(table_names(F.col(sql)), lambda t: F.col("_by_name")[t]))
+    return F.when(F.size(named) > 0, named).otherwise(F.slice("_all", 1, fv.FALLBACK_TABLES))
+
+
 def gold_tables(queries: DataFrame, columns: DataFrame, sql: str = "gold_sql") -> DataFrame:
     """Add ``tables``: the query's tables that exist, in catalog spelling and query order.
 
     Without any, the first few tables of the database by name.
     """
-    catalog = list_tables(columns).select(
-        "db_id", F.col("tables").alias("_all"),
-        F.map_from_entries(F.transform("tables", lambda t: F.struct(F.lower(t), t))).alias("_by_name"),
-    )
-    joined = left_join_skewed(queries, catalog, ["db_id"], heavy=_HEAVY_DATABASES)
-    named = F.array_compact(F.transform(table_names(F.col(sql)), lambda t: F.col("_by_name")[t]))
-    first = F.slice("_all", 1, fv.FALLBACK_TABLES)
-    tables = F.when(F.size(named) > 0, named).otherwise(first)
-    return joined.select(*[joined[c] for c in queries.columns], tables.alias("tables"))
+    joined = left_join_skewed(queries, _catalog(columns), ["db_id"], heavy=_HEAVY_DATABASES)
+    return joined.select(*queries.columns, _named_tables(sql).alias("tables"))
 
 
 def agentic_trajectories(
@@ -110,10 +116,10 @@ def agentic_trajectories(
     described = descriptions.groupBy("db_id").agg(
         F.map_from_entries(F.collect_list(F.struct("table_name", "text"))).alias("_texts")
     )
-    catalog = list_tables(columns).select("db_id", F.col("text").alias("_list"))
-    per_db = catalog.join(described, "db_id")
-    asked = gold_tables(usable(questions, databases), columns)
-    rows = left_join_skewed(asked, per_db, ["db_id"], heavy=_HEAVY_DATABASES)
+    per_db = _catalog(columns).join(described, "db_id")
+    rows = left_join_skewed(
+        usable(questions, databases), per_db, ["db_id"], heavy=_HEAVY_DATABASES
+    ).withColumn("tables", _named_tables("gold_sql"))
 
     list_call = F.array(_call(F.lit(1), fv.LIST_TABLES, F.lit("{}")))
     table_call = lambda t, i: _call(

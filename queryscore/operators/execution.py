@@ -16,11 +16,13 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from queryscore import fixed_values as fv
 from queryscore.functions.row_key import (
@@ -51,6 +53,7 @@ OUTCOME_SCHEMA = T.StructType(
         T.StructField("n_distinct", T.LongType()),
         *[T.StructField(w, T.LongType()) for w in _WORDS],
         T.StructField("text", T.StringType()),
+        T.StructField("uses", T.LongType()),
     ]
 )
 
@@ -203,27 +206,27 @@ def run_queries(
 
     The driver only sees query texts, a partition of them at a time, and one small row
     per finished query. Beyond a fixed number these rows are written out, in batches, to
-    the shared scratch folder. Blank texts must be filtered out before; texts of unknown
-    databases have no outcome.
+    the shared scratch folder. Texts of unknown databases have no outcome. ``uses`` counts
+    the input rows of each text.
     """
     run = _Run(mode, timeout_s, **options)
     sessions = sessions or DatabaseSessions(spark)
     distinct = (
-        queries.select("db_id", "sql").distinct()
+        queries.groupBy("db_id", "sql").agg(F.count(F.lit(1)).alias("uses"))
         .join(databases.select("db_id", "dir"), "db_id")
         .orderBy("dir", "sql")
     )
 
     def frame(rows: list[dict]) -> DataFrame:
-        return spark.createDataFrame(
-            [tuple(r[c] for c in OUTCOME_SCHEMA.names) for r in rows], OUTCOME_SCHEMA
-        )
+        # By way of Arrow: a local relation whose size the planner knows.
+        table = pa.Table.from_pylist(rows, to_arrow_schema(OUTCOME_SCHEMA))
+        return spark.createDataFrame(table, OUTCOME_SCHEMA)
 
     out = None
     rows: list[dict] = []
     with cf.ThreadPoolExecutor(concurrency) as pool:
         def one(item):
-            return _run_one(sessions.get(item.dir), item.db_id, item.sql, run)
+            return _run_one(sessions.get(item.dir), item.db_id, item.sql, run) | {"uses": item.uses}
 
         for row in _bounded_map(pool, one, distinct.toLocalIterator(), 4 * concurrency):
             rows.append(row)
@@ -261,18 +264,21 @@ def preview(
     timeout_s: float = fv.PREVIEW_TIMEOUT_S, concurrency: int = 8,
 ) -> DataFrame:
     """(…, text, truncated) for a table of (…, db_id, sql): what a reader of the results sees."""
-    guarded = queries.filter(~looks_like_write(F.col("sql")))
-    shown = run_queries(
-        spark, guarded, databases, "preview", timeout_s, concurrency,
+    known = _with_known_db(queries, databases)
+    write = looks_like_write(F.col("sql"))
+    may_run = F.col("has_db") & ~write
+    outcomes = run_queries(
+        spark, known.filter(may_run), databases, "preview", timeout_s, concurrency,
         max_rows=max_rows, max_cell=max_cell,
-    ).select("db_id", "sql", "status", "error", "n_rows", F.col("text").alias("result"))
-    failed = F.when(
-        looks_like_write(F.col("sql")), F.lit(f"Error: {fv.READ_ONLY_ERROR}")
-    ).otherwise(F.concat(F.lit("Error: SQL error: "), F.coalesce("error", F.lit("no such database"))))
-    return left_join_skewed(queries, shown, ["db_id", "sql"]).select(
+    )
+    out = F.col("outcome")
+    failed = F.when(write, F.lit(f"Error: {fv.READ_ONLY_ERROR}")).otherwise(
+        F.concat(F.lit("Error: SQL error: "), F.coalesce(out["error"], F.lit("no such database")))
+    )
+    return _with_outcome(known, outcomes, "sql", may_run, "outcome").select(
         *queries.columns,
-        F.when(F.col("status") == OK, F.col("result")).otherwise(failed).alias("text"),
-        F.coalesce((F.col("status") == OK) & (F.col("n_rows") > max_rows), F.lit(False)).alias("truncated"),
+        F.when(out["status"] == OK, out["text"]).otherwise(failed).alias("text"),
+        F.coalesce((out["status"] == OK) & (out["n_rows"] > max_rows), F.lit(False)).alias("truncated"),
     )
 
 
@@ -295,23 +301,31 @@ def result_set_match(pred: DataFrame, gold: DataFrame, float_digits: int | None
 # --- batches --------------------------------------------------------------------------
 
 
-def _runnable(queries: DataFrame, sql: str) -> DataFrame:
-    return queries.filter(~is_blank(F.col(sql))).select("db_id", F.col(sql).alias("sql"))
+def _with_known_db(rows: DataFrame, databases: DataFrame) -> DataFrame:
+    known = databases.select("db_id", F.lit(True).alias("has_db"))
+    return rows.join(known, "db_id", "left").withColumn("has_db", F.coalesce("has_db", F.lit(False)))
+
 
+def _with_outcome(
+    rows: DataFrame, outcomes: DataFrame, sql: str, may_run: Column, name: str
+) -> DataFrame:
+    """Add the outcome of each row's text as a struct ``name``, null where it did not run.
 
-def _status(status: Column, sql: Column, has_db: Column) -> Column:
-    return (
-        F.when(is_blank(sql), EMPTY_SQL).when(~has_db, NO_DB).otherwise(F.coalesce(status, F.lit(NO_DB)))
+    Rows that did not run get a null key, so every other key has an outcome that knows how
+    many rows use it: one text shared by a third of the rows does not unbalance the join.
+    """
+    found = outcomes.select(
+        "db_id", F.col("sql").alias("_key"), "uses",
+        F.struct(*[c for c in outcomes.columns if c not in ("db_id", "sql", "uses")]).alias(name),
     )
+    keyed = rows.withColumn("_key", F.when(may_run, F.col(sql)))
+    return left_join_skewed(keyed, found, ["db_id", "_key"], "uses").drop("_key", "uses")
 
 
-def _outcome_of(outcomes: DataFrame, side: str) -> DataFrame:
-    """Outcome columns renamed for joining to the ``side`` text of a pair."""
-    print_ = F.struct(F.col("n_distinct"), *[F.coalesce(w, F.lit(0)).alias(w) for w in _WORDS])
-    return outcomes.select(
-        "db_id", F.col("sql").alias(f"{side}_sql"),
-        F.col("status").alias(f"{side}_ran"), F.col("seconds").alias(f"{side}_seconds"),
-        print_.alias(f"{side}_print"),
+def _status(outcome: str, sql: str) -> Column:
+    return (
+        F.when(is_blank(F.col(sql)), EMPTY_SQL).when(~F.col("has_db"), NO_DB)
+        .otherwise(F.col(f"{outcome}.status"))
     )
 
 
@@ -322,40 +336,43 @@ def match_batch(
 ) -> DataFrame:
     """``pairs`` plus (ex, pred_status, gold_status, pred_seconds).
 
-    ``pairs`` needs (db_id, pred_sql, gold_sql). The joins bring one fixed-width row per
-    distinct text to the pairs; there is no more than one match per pair.
+    ``pairs`` needs (db_id, pred_sql, gold_sql) and is read three times: materialise it
+    first when it is costly. The joins bring one fixed-width row per distinct text.
     """
-    texts = _runnable(pairs, "pred_sql").unionByName(_runnable(pairs, "gold_sql"))
+    known = _with_known_db(pairs, databases)
+    may_run = {s: F.col("has_db") & ~is_blank(F.col(s)) for s in ("pred_sql", "gold_sql")}
+    texts = [known.filter(may_run[s]).select("db_id", F.col(s).alias("sql")) for s in may_run]
     outcomes = run_queries(
-        spark, texts, databases, "match", timeout_s, concurrency, sessions, float_digits=float_digits,
+        spark, texts[0].unionByName(texts[1]), databases, "match", timeout_s, concurrency,
+        sessions, float_digits=float_digits,
     )
-    known = databases.select("db_id", F.lit(True).alias("has_db"))
-    joined = left_join_skewed(pairs, _outcome_of(outcomes, "pred"), ["db_id", "pred_sql"])
-    joined = left_join_skewed(joined, _outcome_of(outcomes, "gold"), ["db_id", "gold_sql"])
-    joined = joined.join(known, "db_id", "left")
-    has_db = F.coalesce("has_db", F.lit(False))
-    both_ok = (F.col("pred_ran") == OK) & (F.col("gold_ran") == OK)
+    joined = _with_outcome(known, outcomes, "pred_sql", may_run["pred_sql"], "pred")
+    joined = _with_outcome(joined, outcomes, "gold_sql", may_run["gold_sql"], "gold")
+    same = (F.col("pred.status") == OK) & (F.col("gold.status") == OK)
+    for part in ("n_distinct", *_WORDS):
+        same = same & F.col(f"pred.{part}").eqNullSafe(F.col(f"gold.{part}"))
     return joined.select(
         *pairs.columns,
-        F.coalesce((both_ok & (F.col("pred_print") == F.col("gold_print"))).cast("int"), F.lit(0)).alias("ex"),
-        _status(F.col("pred_ran"), F.col("pred_sql"), has_db).alias("pred_status"),
-        _status(F.col("gold_ran"), F.col("gold_sql"), has_db).alias("gold_status"),
-        "pred_seconds",
+        F.coalesce(same.cast("int"), F.lit(0)).alias("ex"),
+        _status("pred", "pred_sql").alias("pred_status"),
+        _status("gold", "gold_sql").alias("gold_status"),
+        F.col("pred.seconds").alias("pred_seconds"),
     )
 
 
 def executes_ok(
     spark: SparkSession, queries: DataFrame, databases: DataFrame,
     timeout_s: float = fv.PREVIEW_TIMEOUT_S, concurrency: int = 8,
-    sessions: DatabaseSessions | None = None,
 ) -> DataFrame:
     """``queries`` plus ``executes``: not blank, not a write, and the first row arrives in time."""
-    texts = _runnable(queries, "sql").filter(~looks_like_write(F.col("sql")))
-    ok = run_queries(spark, texts, databases, "first_row", timeout_s, concurrency, sessions).select(
-        "db_id", "sql", (F.col("status") == OK).alias("ran")
+    known = _with_known_db(queries, databases)
+    sql = F.col("sql")
+    may_run = F.col("has_db") & ~is_blank(sql) & ~looks_like_write(sql)
+    outcomes = run_queries(
+        spark, known.filter(may_run), databases, "first_row", timeout_s, concurrency
     )
-    return left_join_skewed(queries, ok, ["db_id", "sql"]).select(
-        *queries.columns, F.coalesce("ran", F.lit(False)).alias("executes")
+    return _with_outcome(known, outcomes, "sql", may_run, "outcome").select(
+        *queries.columns, F.coalesce(F.col("outcome.status") == OK, F.lit(False)).alias("executes")
     )
 
 
@@ -370,18 +387,15 @@ def with_executes(
     had. Only predictions that ran longer or broke later are tried again.
     """
     write = looks_like_write(F.col("pred_sql"))
-    proven = (F.col("pred_status") == OK) & (
-        (F.col("ex") == 1) | (F.col("pred_seconds") <= timeout_s)
-    ) & ~write
-    open_ = scored.filter(
-        ~F.coalesce(proven, F.lit(False)) & F.col("pred_status").isin(OK, EXEC_ERROR, TIMEOUT) & ~write
-    ).select("db_id", F.col("pred_sql").alias("sql"))
-    tried = executes_ok(spark, open_.distinct(), databases, timeout_s, concurrency, sessions).select(
-        "db_id", F.col("sql").alias("pred_sql"), "executes"
+    quick = (F.col("ex") == 1) | (F.col("pred_seconds") <= timeout_s)
+    proven = (F.col("pred_status") == OK) & quick & ~write
+    open_ = F.col("pred_status").isin(OK, EXEC_ERROR, TIMEOUT) & ~write & ~proven
+    outcomes = run_queries(
+        spark, scored.filter(open_).select("db_id", F.col("pred_sql").alias("sql")), databases,
+        "first_row", timeout_s, concurrency, sessions,
     )
-    return left_join_skewed(scored, tried, ["db_id", "pred_sql"]).select(
-        *scored.columns,
-        (F.coalesce(proven, F.lit(False)) | F.coalesce("executes", F.lit(False))).alias("executes"),
+    return _with_outcome(scored, outcomes, "pred_sql", open_, "outcome").select(
+        *scored.columns, (proven | F.coalesce(F.col("outcome.status") == OK, F.lit(False))).alias("executes")
     )
 
 
@@ -390,21 +404,22 @@ def gold_filter(
     timeout_s: float = fv.MATCH_TIMEOUT_S, concurrency: int = 8,
 ) -> DataFrame:
     """``questions`` plus (keep, reason): only golds that run and return rows are kept."""
+    known = _with_known_db(questions, databases)
+    gold = F.col("gold_sql")
+    may_run = F.col("has_db") & ~is_blank(gold)
     outcomes = run_queries(
-        spark, _runnable(questions, "gold_sql"), databases, "drain", timeout_s, concurrency
-    ).select("db_id", F.col("sql").alias("gold_sql"), "status", "n_rows")
-    known = databases.select("db_id", F.lit(True).alias("has_db"))
+        spark, known.filter(may_run).select("db_id", gold.alias("sql")), databases, "drain",
+        timeout_s, concurrency,
+    )
     reason = (
-        F.when(is_blank(F.col("gold_sql")), EMPTY_SQL)
-        .when(F.col("has_db").isNull(), NO_DB)
-        .when(F.col("status") != OK, EXEC_ERROR)
-        .when(F.col("n_rows") == 0, EMPTY_RESULT)
+        F.when(is_blank(gold), EMPTY_SQL)
+        .when(~F.col("has_db"), NO_DB)
+        .when(F.col("outcome.status") != OK, EXEC_ERROR)
+        .when(F.col("outcome.n_rows") == 0, EMPTY_RESULT)
         .otherwise(OK)
     )
-    return (
-        left_join_skewed(questions, outcomes, ["db_id", "gold_sql"]).join(known, "db_id", "left")
-        .select(*questions.columns, reason.alias("reason"))
-        .withColumn("keep", F.col("reason") == OK)
+    return _with_outcome(known, outcomes, "gold_sql", may_run, "outcome").select(
+        *questions.columns, reason.alias("reason"), (reason == OK).alias("keep")
     )
 
 

@@ -88,19 +88,27 @@ def reward_s0(scored: DataFrame) -> DataFrame:
 _REWARDS = {"r1": reward_r1, "r2": reward_r2, "r3": reward_r3, "s0": reward_s0}
 
 
-def score_pairs(
-    spark: SparkSession, pairs: DataFrame, databases: DataFrame, arm: str, **limits
+def reward_matched(
+    spark: SparkSession, scored: DataFrame, databases: DataFrame, arm: str,
+    sessions: DatabaseSessions | None = None,
 ) -> DataFrame:
-    """Execute, match and reward (db_id, pred_sql, gold_sql) rows under one arm."""
+    """Reward rows that ``match_batch`` has judged, trying first rows where the arm asks."""
     if arm not in _REWARDS:
         raise ValueError(f"unknown reward arm {arm!r}; choose from {sorted(_REWARDS)}")
-    sessions = DatabaseSessions(spark)
-    scored = match_batch(spark, pairs, databases, sessions=sessions, **limits)
     if arm in ("r2", "r3"):
         scored = with_executes(spark, scored, databases, sessions=sessions)
     return _REWARDS[arm](scored)
 
 
+def score_pairs(
+    spark: SparkSession, pairs: DataFrame, databases: DataFrame, arm: str, **limits
+) -> DataFrame:
+    """Execute, match and reward (db_id, pred_sql, gold_sql) rows under one arm."""
+    sessions = DatabaseSessions(spark)
+    scored = match_batch(spark, pairs, databases, sessions=sessions, **limits)
+    return reward_matched(spark, scored, databases, arm, sessions)
+
+
 def score_completions(
     spark: SparkSession, completions: DataFrame, questions: DataFrame, databases: DataFrame,
     arm: str = "r1", **limits,

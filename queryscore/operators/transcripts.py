@@ -132,18 +132,21 @@ def tool_call_log(
     )
 
 
-def complete_results(questions: DataFrame, results: DataFrame) -> DataFrame:
+def complete_results(
+    questions: DataFrame, results: DataFrame, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """One result per question; a missing one is a zero row carrying its ``error`` text.
 
     ``results`` has (qid, final_sql, ex, reward, turns, finished) and may have ``error``
-    for rollouts that failed; order by ``qid`` when writing to keep the question order.
+    for rollouts that failed; the ``carry`` columns come along, null where it failed.
+    Order by ``qid`` when writing to keep the question order.
     """
     failed = F.lit(None).cast("string")
     if "error" in results.columns:
         failed = F.substring("error", 1, fv.ERROR_CHARS)
     keep = [c for c in ("db_id", "question") if c in questions.columns]
     got = results.select(
-        "qid", "final_sql", "ex", "reward", "turns", "finished", failed.alias("error")
+        "qid", "final_sql", "ex", "reward", "turns", "finished", failed.alias("error"), *carry
     )
     ok = F.col("error").isNull()
     zero = lambda c, v: F.coalesce(F.when(ok, F.col(c)), F.lit(v)).alias(c)
@@ -151,6 +154,7 @@ def complete_results(questions: DataFrame, results: DataFrame) -> DataFrame:
         "qid", *keep, F.when(ok, F.col("final_sql")).alias("final_sql"),
         zero("ex", 0), zero("reward", 0.0), zero("turns", 0), zero("finished", False),
         F.coalesce("error", F.when(F.col("finished").isNull(), F.lit("no result"))).alias("error"),
+        *[F.when(ok, F.col(c)).alias(c) for c in carry],
     )
 
 

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from queryscore import fixed_values as fv
-from queryscore.operators.rewards import score_pairs
-from queryscore.operators.transcripts import complete_results, rollout_outcome, with_ex_fallback
+from queryscore.functions.sql_text import is_select
+from queryscore.operators.execution import EMPTY_SQL, DatabaseSessions, match_batch
+from queryscore.operators.rewards import reward_matched
+from queryscore.operators.transcripts import complete_results, rollout_outcome
 from queryscore.scratch import materialise
 
 
@@ -18,21 +20,26 @@ def evaluate(
     """One result per question: final query, match, reward, fallback match, turns, finished.
 
     A transcript belongs to the question whose ``qid`` is its ``rollout_id``. The ``s0``
-    arm reads transcripts in single-shot mode.
+    arm reads transcripts in single-shot mode. A rollout that committed nothing is run on
+    its fallback query in the same batch, which counts for ``ex_fallback`` only.
     """
     outcomes = rollout_outcome(turns, max_turns, single_shot=arm == "s0")
     asked = questions.select("qid", "db_id", "question", "gold_sql")
+    attempt = F.coalesce("final_sql", F.nullif("fallback_sql", F.lit("")))
     rollouts = materialise(
         outcomes.withColumnRenamed("rollout_id", "qid").join(asked, "qid")
-        .withColumnRenamed("final_sql", "pred_sql"),
+        .withColumn("pred_sql", attempt),
         "rollouts",
     )
-    scored = materialise(score_pairs(spark, rollouts, databases, arm, **limits), "scored")
-    scored = with_ex_fallback(
-        spark, scored.withColumnRenamed("pred_sql", "final_sql"), databases, **limits
-    )
-    whole = complete_results(asked, scored)
-    extra = scored.select("qid", "fallback_sql", "ex_fallback", "breakdown")
-    return whole.join(extra, "qid", "left").withColumn(
-        "ex_fallback", F.coalesce("ex_fallback", "ex")
-    )
+    sessions = DatabaseSessions(spark)
+    matched = match_batch(spark, rollouts, databases, sessions=sessions, **limits)
+    committed = F.col("final_sql").isNotNull()
+    strict = matched.withColumns({
+        "ex_fallback": F.when(is_select(F.col("pred_sql")), F.col("ex")).otherwise(F.lit(0)),
+        "ex": F.when(committed, F.col("ex")).otherwise(F.lit(0)),
+        "pred_status": F.when(committed, F.col("pred_status")).otherwise(EMPTY_SQL),
+        "pred_sql": F.col("final_sql"),
+    })
+    results = reward_matched(spark, strict, databases, arm, sessions)
+    whole = complete_results(asked, results, carry=("fallback_sql", "ex_fallback", "breakdown"))
+    return whole.withColumn("ex_fallback", F.coalesce("ex_fallback", "ex"))

@@ -167,7 +167,7 @@ _TEXTS = "texts AS (" + " UNION ALL ".join(
 
 
 @query(f"""WITH {_QUESTIONS}, {_TEXTS},
-kept AS (SELECT *, CASE kind WHEN 0 THEN ['orders', 'nation'] WHEN 3 THEN ['part', 'orders'] ELSE ['nation', 'orders', 'part'] END AS named
+kept AS (SELECT *, CASE kind WHEN 0 THEN ['orders', 'nation'] WHEN 3 THEN ['orders', 'part'] ELSE ['nation', 'orders', 'part'] END AS named
     FROM questions WHERE gold_sql <> '' AND db_id = 'tpch'),
 told AS (SELECT qid, unnest(named) AS t, unnest(range(1, len(named) + 1)) AS i FROM kept)
 SELECT qid, 0 AS pos, 'system' AS role, {_SYSTEM} AS content, '' AS calls, NULL AS call_id FROM kept

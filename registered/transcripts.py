@@ -7,6 +7,7 @@ from queryscore.operators import transcripts as tr
 from queryscore.operators.metrics import summarize
 from queryscore.plans.evaluation import evaluate
 from queryscore.plans.training import score_step
+from queryscore.scratch import materialise
 from registered import query, table
 from registered.execution import same_rows, tpch
 
@@ -134,6 +135,18 @@ def evaluation_results(spark, sf_dir):
     return out.select("qid", "final_sql", "ex", "finished", "turns", "ex_fallback")
 
 
+@query(f"WITH {_outcome_sql(3, False)}, {_EVALUATED} SELECT qid, ex, ex_fallback FROM evaluated")
+def ex_fallback(spark, sf_dir):
+    databases = tpch(spark, sf_dir)
+    rollouts = tr.rollout_outcome(_turns(spark, sf_dir), max_turns=3)
+    results = rollouts.select(
+        F.col("rollout_id").alias("qid"), "final_sql", "fallback_sql", F.lit("tpch").alias("db_id"),
+        F.lit(_GOLD).alias("gold_sql"), F.col("final_sql").alias("pred_sql"),
+    )
+    scored = materialise(rewards.score_pairs(spark, materialise(results, "rollouts"), databases, "r1"), "scored")
+    return tr.with_ex_fallback(spark, scored, databases).select("qid", "ex", "ex_fallback")
+
+
 @query(f"""WITH {_outcome_sql(8, False)}, {_EVALUATED}
 SELECT count(*) AS n, round(avg(ex), 6) AS ex_rate, round(avg(ex_fallback), 6) AS ex_rate_fallback, round(avg(ex), 6) AS mean_reward,
     round(avg(finished::INT), 6) AS finished_rate, round(avg((final_sql IS NOT NULL)::INT), 6) AS valid_sql_rate,
@@ -150,7 +163,8 @@ def reward_s0(spark, sf_dir):
         F.col("rollout_id").alias("qid"), F.col("final_sql").alias("pred_sql"), F.lit("tpch").alias("db_id"),
         F.lit(_GOLD).alias("gold_sql"),
     )
-    return rewards.score_pairs(spark, pairs, tpch(spark, sf_dir), "s0").select("qid", "reward")
+    databases = tpch(spark, sf_dir)
+    return rewards.score_pairs(spark, materialise(pairs, "pairs"), databases, "s0").select("qid", "reward")
 
 
 def _completions(spark, sf_dir):
