@@ -4,6 +4,10 @@ Rows are equal when their cells are equal by position: null equals null, an inte
 number equals the same number of any numeric type, text never equals a number, binary
 never equals text, booleans are 0 and 1, dates and timestamps are their text. NaN
 counts as null.
+
+A key is two 64-bit hashes of the typed cells: fixed width, computed in generated code
+without building text, and cheap to group by. Unequal rows share a key with a
+probability of about 2^-128.
 """
 
 from __future__ import annotations
@@ -13,61 +17,67 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _LONG_BOUND = float(2**63)
+KEY = ["key_a", "key_b"]
 FINGERPRINT_WORDS = 4
 
+# Kinds of cell; hashed before the value, so that equal bytes of two kinds differ.
+_NULL, _INTEGRAL, _FRACTIONAL, _TEXT, _BINARY, _NESTED = range(6)
 
-def _text_cell(c: Column) -> Column:
-    # The length prefix keeps neighbouring cells apart whatever they contain.
-    return F.concat(F.lit("s"), F.length(c).cast("string"), F.lit(":"), c)
 
+def _tag(c: Column, kind: int) -> Column:
+    return F.when(c.isNull(), F.lit(_NULL)).otherwise(F.lit(kind))
 
-def _double_cell(c: Column, float_digits: int | None) -> Column:
-    value = c if float_digits is None else F.round(c, float_digits)
-    is_long = (value == F.floor(value)) & (F.abs(value) < _LONG_BOUND)
-    # try_cast: the branch not taken may still be evaluated, and ANSI casts raise.
-    return F.when(F.isnan(value), F.lit("z")).otherwise(
-        F.concat(
-            F.lit("n"),
-            F.when(is_long, value.try_cast("bigint").cast("string")).otherwise(value.cast("string")),
-        )
-    )
+
+def _double_parts(value: Column) -> list[Column]:
+    """Kind, value as a long, value as a double: nulls are skipped by the hash."""
+    usable = value.isNotNull() & ~F.isnan(value)
+    integral = usable & (value == F.floor(value)) & (F.abs(value) < _LONG_BOUND)
+    kind = F.when(integral, F.lit(_INTEGRAL)).when(usable, F.lit(_FRACTIONAL)).otherwise(F.lit(_NULL))
+    return [kind, F.when(integral, F.floor(value)), F.when(usable & ~integral, value)]
 
 
-def _decimal_cell(c: Column, float_digits: int | None) -> Column:
+def _decimal_parts(c: Column, data_type: T.DecimalType, float_digits: int | None) -> list[Column]:
     as_long = c.try_cast("bigint")
-    return F.when(
-        F.coalesce(as_long.cast(T.DecimalType(38, 0)) == c, F.lit(False)),
-        F.concat(F.lit("n"), as_long.cast("string")),
-    ).otherwise(_double_cell(c.cast("double"), float_digits))
+    # Compared in the cell's own type: a common wider type may round digits away.
+    integral = F.coalesce(as_long.try_cast(data_type) == c, F.lit(False))
+    kind, long_value, double_value = _double_parts(_rounded(c.cast("double"), float_digits))
+    return [
+        F.when(integral, F.lit(_INTEGRAL)).otherwise(kind),
+        F.when(integral, as_long).otherwise(long_value),
+        F.when(~integral, double_value),
+    ]
+
 
+def _rounded(c: Column, float_digits: int | None) -> Column:
+    return c if float_digits is None else F.round(c, float_digits)
 
-def _cell(c: Column, data_type: T.DataType, float_digits: int | None) -> Column:
+
+def _parts(c: Column, data_type: T.DataType, float_digits: int | None) -> list[Column]:
+    """What one cell contributes to the hash."""
     if isinstance(data_type, (T.BooleanType, T.IntegralType)):
-        text = F.concat(F.lit("n"), c.cast("bigint").cast("string"))
-    elif isinstance(data_type, T.DecimalType):
-        text = _decimal_cell(c, float_digits)
-    elif isinstance(data_type, T.FractionalType):
-        text = _double_cell(c.cast("double"), float_digits)
-    elif isinstance(data_type, T.BinaryType):
-        text = F.concat(F.lit("b"), F.hex(c))
-    elif isinstance(data_type, T.MapType):
-        text = _text_cell(F.to_json(F.array_sort(F.map_entries(c))))
-    elif isinstance(data_type, (T.ArrayType, T.StructType)):
-        text = _text_cell(F.to_json(c))
-    else:
-        text = _text_cell(c.cast("string"))
-    return F.coalesce(text, F.lit("z"))
+        return [_tag(c, _INTEGRAL), c.cast("bigint")]
+    if isinstance(data_type, T.DecimalType):
+        return _decimal_parts(c, data_type, float_digits)
+    if isinstance(data_type, T.FractionalType):
+        return _double_parts(_rounded(c.cast("double"), float_digits))
+    if isinstance(data_type, T.BinaryType):
+        return [_tag(c, _BINARY), c]
+    if isinstance(data_type, T.MapType):
+        return [_tag(c, _NESTED), F.to_json(F.array_sort(F.map_entries(c)))]
+    if isinstance(data_type, (T.ArrayType, T.StructType)):
+        return [_tag(c, _NESTED), F.to_json(c)]
+    return [_tag(c, _TEXT), c.cast("string")]
 
 
 def row_keys(df: DataFrame, float_digits: int | None = None) -> DataFrame:
-    """One 32-byte key per row of ``df``; equal rows have equal keys."""
+    """The key of every row of ``df``; equal rows have equal keys."""
     by_position = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    cells = [
-        _cell(F.col(field.name), field.dataType, float_digits)
-        for field in by_position.schema.fields
-    ]
-    encoded = F.concat_ws(";", F.lit(str(len(cells))), *cells)
-    return by_position.select(F.unhex(F.sha2(encoded, 256)).alias("row_key"))
+    parts = [F.lit(len(by_position.columns))]
+    for field in by_position.schema.fields:
+        parts += _parts(F.col(field.name), field.dataType, float_digits)
+    return by_position.select(
+        *[F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in enumerate(KEY)]
+    )
 
 
 def set_fingerprint(keys: DataFrame) -> DataFrame:
@@ -77,10 +87,9 @@ def set_fingerprint(keys: DataFrame) -> DataFrame:
     rows reaches its reducer once per map task; the second step moves one row per task.
     """
     words = [
-        F.bit_xor(F.xxhash64(F.lit(i), "row_key")).alias(f"f{i}")
-        for i in range(FINGERPRINT_WORDS)
+        F.bit_xor(F.xxhash64(F.lit(i), *KEY)).alias(f"f{i}") for i in range(FINGERPRINT_WORDS)
     ]
-    return keys.groupBy("row_key").agg(F.count(F.lit(1)).alias("copies")).agg(
+    return keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies")).agg(
         F.count(F.lit(1)).alias("n_distinct"),
         F.coalesce(F.sum("copies"), F.lit(0)).cast("long").alias("n_rows"),
         *words,
@@ -89,6 +98,4 @@ def set_fingerprint(keys: DataFrame) -> DataFrame:
 
 def drained(keys: DataFrame) -> DataFrame:
     """Number of rows, with every cell evaluated and nothing shuffled but one row per task."""
-    return keys.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64("row_key")).alias("f0")
-    )
+    return keys.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*KEY)).alias("f0"))

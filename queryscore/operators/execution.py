@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from queryscore import fixed_values as fv
 from queryscore.functions.row_key import (
-    FINGERPRINT_WORDS, drained, row_keys, set_fingerprint,
+    FINGERPRINT_WORDS, KEY, drained, row_keys, set_fingerprint,
 )
 from queryscore.functions.sql_text import cap_cell, is_blank, looks_like_write, row_text
 from queryscore.operators.skew import left_join_skewed
@@ -292,7 +292,7 @@ def result_set_match(pred: DataFrame, gold: DataFrame, float_digits: int | None
         row_keys(gold, float_digits).withColumn("side", F.lit(2))
     )
     return (
-        sides.groupBy("row_key").agg(F.bit_or("side").alias("sides"))
+        sides.groupBy(*KEY).agg(F.bit_or("side").alias("sides"))
         .agg(F.coalesce(F.min("sides"), F.lit(3)).alias("least"))
         .select((F.col("least") == 3).cast("int").alias("ex"))
     )

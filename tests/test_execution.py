@@ -50,6 +50,15 @@ MATCH_CASES = [
     ("SELECT 'a;b', 'c'", "SELECT 'a', 'b;c'", 0),
     ("SELECT 's1:a;s1:b'", "SELECT 'a', 'b'", 0),
     ("SELECT DATE'2020-01-02'", "SELECT '2020-01-02'", 1),
+    ("SELECT DOUBLE('Infinity')", "SELECT 9223372036854775807", 0),
+    ("SELECT 1e300D", "SELECT 1e300D", 1),
+    ("SELECT CAST(NULL AS INT), 1", "SELECT 1, CAST(NULL AS INT)", 0),
+    ("SELECT CAST(1.25 AS DECIMAL(10,3)), 7BD", "SELECT 1.25D, 7", 1),
+    ("SELECT CAST(0.25 AS DECIMAL(38,38))", "SELECT 0.25D", 1),
+    ("SELECT CAST(1.25 AS DECIMAL(10,3))", "SELECT 1", 0),
+    ("SELECT 'ab', 'c'", "SELECT 'a', 'bc'", 0),
+    ("SELECT ''", "SELECT NULL", 0),
+    ("SELECT id, CAST(id AS DOUBLE) / 3 FROM range(5000)", "SELECT CAST(id AS DOUBLE), id / 3.0D FROM range(4999, -1, -1)", 1),
     ("SELECT ARRAY(1,2)", "SELECT ARRAY(1,2)", 1),
     ("SELECT MAP('a',1,'b',2)", "SELECT MAP('b',2,'a',1)", 1),
 ]
