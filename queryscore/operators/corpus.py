@@ -145,10 +145,10 @@ def agentic_trajectories(
 
 def written_and_skipped(questions: DataFrame, examples: DataFrame) -> DataFrame:
     """One row (written, skipped)."""
-    asked = questions.agg(F.count(F.lit(1)).alias("asked"))
-    written = examples.agg(F.count(F.lit(1)).alias("written"))
-    # Two one-row relations.
-    return asked.crossJoin(written).select("written", (F.col("asked") - F.col("written")).alias("skipped"))
+    written = examples.agg(F.count(F.lit(1))).scalar()
+    return questions.agg(F.count(F.lit(1)).alias("asked")).select(
+        written.alias("written"), (F.col("asked") - written).alias("skipped")
+    )
 
 
 def _call(number: Column, name: str, arguments: Column) -> Column:

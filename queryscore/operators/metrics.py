@@ -54,10 +54,10 @@ def compare(baseline: DataFrame, tuned: DataFrame) -> DataFrame:
     """One row: both summaries (prefixed), their match-rate deltas and ``passed``."""
     b = compare_summary(baseline)
     t = compare_summary(tuned)
-    # Two one-row relations: the product is one row.
-    sides = b.select([F.col(c).alias(f"baseline_{c}") for c in b.columns]).crossJoin(
-        t.select([F.col(c).alias(f"tuned_{c}") for c in t.columns])
-    )
+    other = t.select(F.struct("*")).scalar()
+    sides = b.select(
+        *[F.col(c).alias(f"baseline_{c}") for c in b.columns], other.alias("_tuned")
+    ).select("*", *[F.col(f"_tuned.{c}").alias(f"tuned_{c}") for c in t.columns]).drop("_tuned")
     delta = F.col("tuned_ex_rate") - F.col("baseline_ex_rate")
     return sides.select(
         "*", delta.alias("ex_delta"),
@@ -111,18 +111,17 @@ def proportion_ztest(results: DataFrame, base_tag: str, tag: str = "tag", hit: s
     per_tag = results.groupBy(F.col(tag).alias("tag")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(hit).cast("long")).alias("hits")
     )
-    base = per_tag.filter(F.col("tag") == base_tag).select(
-        F.col("n").alias("base_n"), F.col("hits").alias("base_hits")
+    base = per_tag.filter(F.col("tag") == base_tag).select(F.struct("n", "hits")).scalar()
+    compared = per_tag.filter(F.col("tag") != base_tag).withColumn("_base", base).select(
+        "*", F.col("_base.n").alias("base_n"), F.col("_base.hits").alias("base_hits")
     )
     rate = F.col("hits") / F.col("n")
     base_rate = F.col("base_hits") / F.col("base_n")
     pooled = (F.col("hits") + F.col("base_hits")) / (F.col("n") + F.col("base_n"))
     variance = pooled * (1 - pooled) * (1 / F.col("n") + 1 / F.col("base_n"))
     z = F.when(variance > 0, (rate - base_rate) / F.sqrt(variance))
-    # One base row for every tag.
     return (
-        per_tag.filter(F.col("tag") != base_tag).crossJoin(base)
-        .select("tag", "n", rate.alias("rate"), (rate - base_rate).alias("delta"), z.alias("z"))
+        compared.select("tag", "n", rate.alias("rate"), (rate - base_rate).alias("delta"), z.alias("z"))
         .withColumn("p_value", _erfc(F.abs("z") / math.sqrt(2)))
     )
 
