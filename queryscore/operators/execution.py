@@ -109,11 +109,14 @@ class _Run:
         if self.mode == "drain":
             return drained(row_keys(df, self.float_digits))
         if self.mode == "first_row":
-            return drained(row_keys(df.limit(1), self.float_digits))
+            # At the top of the plan the limit reads one partition after another.
+            return row_keys(df, self.float_digits).limit(1)
         return preview_rows(df, self.max_rows, self.max_cell)
 
     def outcome(self, df: DataFrame) -> dict:
         rows = self.reduce(df).collect()
+        if self.mode == "first_row":
+            return {"n_rows": len(rows)}
         if self.mode == "preview":
             shown = [r.line for r in rows]
             return {"n_rows": len(shown), "text": preview_text(shown, self.max_rows)}
@@ -247,7 +250,7 @@ def preview_rows(df: DataFrame, max_rows: int = fv.PREVIEW_ROWS, max_cell: int =
     """Up to ``max_rows`` + 1 result rows as display text (the extra row shows truncation)."""
     by_position = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     cells = [cap_cell(F.col(c), max_cell) for c in by_position.columns]
-    return by_position.limit(max_rows + 1).select(row_text(cells).alias("line"))
+    return by_position.select(row_text(cells).alias("line")).limit(max_rows + 1)
 
 
 def preview_text(lines: list[str], max_rows: int = fv.PREVIEW_ROWS) -> str:

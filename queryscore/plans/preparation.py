@@ -32,7 +32,7 @@ def open_databases(spark: SparkSession, dirs: dict[str, str]) -> tuple[DataFrame
     for db_id, by_name in tables.items():
         part = table_samples(spark, db_id, by_name)
         samples = part if samples is None else samples.unionByName(part)
-    return columns, describe_tables(columns, materialise(samples, "samples"))
+    return columns, describe_tables(columns, samples)
 
 
 def training_corpus(

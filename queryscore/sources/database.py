@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,24 +119,26 @@ def table_samples(
 ) -> DataFrame:
     """(db_id, table_name, sample): the first rows of every table as display text.
 
-    ``order_by`` names key columns that make "first" definite. The keys are looked up
-    first, so that only a few rows of a wide table are ever read whole.
+    A few rows per table come to the driver: a limit at the top of a plan reads only as
+    many partitions as it needs, one inside a larger plan would start a task on each.
+    ``order_by`` names key columns that make "first" definite. A table that cannot be
+    read has a null sample.
     """
-    parts = []
-    for name, df in tables.items():
+
+    def sample(item: tuple[str, DataFrame]) -> tuple[str, str, str | None]:
+        name, df = item
         keys = (order_by or {}).get(name)
+        rows = df.orderBy(*keys) if keys else df
         cells = [cap_cell(F.col(f"`{c}`"), max_cell) for c in df.columns]
-        rows = df.orderBy(*keys).limit(sample_rows) if keys else df.limit(sample_rows)
-        key = F.struct(*keys) if keys else F.struct(F.monotonically_increasing_id().alias("id"))
-        lines = rows.select(F.struct(key.alias("key"), row_text(cells).alias("line")).alias("r"))
-        parts.append(
-            lines.agg(F.array_join(F.sort_array(F.collect_list("r")).getField("line"), "\n").alias("sample"))
-            .select(F.lit(db_id).alias("db_id"), F.lit(name).alias("table_name"), "sample")
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        try:
+            lines = rows.select(row_text(cells).alias("line")).limit(sample_rows).collect()
+        except PySparkException:
+            return db_id, name, None
+        return db_id, name, "\n".join(r.line for r in lines)
+
+    with ThreadPoolExecutor(8) as pool:
+        samples = list(pool.map(sample, tables.items()))
+    return spark.createDataFrame(samples, "db_id string, table_name string, sample string")
 
 
 def describe_tables(columns: DataFrame, samples: DataFrame) -> DataFrame:

@@ -127,6 +127,13 @@ def test_executes_ok(spark, databases):
     assert [got[i] for i in range(6)] == [True, False, False, False, False, True]
 
 
+def test_first_row_decides_whether_a_query_executes(spark, databases):
+    late_error = "SELECT 1 / (5 - id) FROM range(0, 10, 1, 1)"
+    scored = ex.match_batch(spark, pairs_df(spark, [(late_error, GOLD)]), databases)
+    row = ex.with_executes(spark, scored, databases).first()
+    assert (row.ex, row.pred_status, row.executes) == (0, "exec_error", True)
+
+
 def test_rewards(spark, databases):
     preds = [GOLD, ALL, None, " ", "DROP TABLE customers", "DELETE FROM customers", "not sql", "WITH a AS (SELECT 1) DELETE FROM customers"]
     scored = ex.with_executes(
