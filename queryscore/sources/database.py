@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from queryscore import fixed_values as fv
 from queryscore.functions.sql_text import cap_cell, row_text
+from queryscore.operators.skew import left_join_skewed
 
 COLUMNS_SCHEMA = T.StructType(
     [
@@ -160,7 +161,7 @@ def describe_requests(requests: DataFrame, descriptions: DataFrame) -> DataFrame
     Names match exactly, so text that is not a table name never reaches SQL.
     """
     known = descriptions.select("db_id", "table_name", "text")
-    return requests.join(known, ["db_id", "table_name"], "left").withColumn(
+    return left_join_skewed(requests, known, ["db_id", "table_name"]).withColumn(
         "text",
         F.coalesce("text", F.concat(F.lit("Error: no such table: "), F.col("table_name"))),
     )
