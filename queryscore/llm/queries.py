@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from queryscore.llm import decision_list, mixture
+from queryscore.llm import decision_list, mixture, pii
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +73,8 @@ FROM ranked
 def op9_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixture.mix(docs, carry=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op3_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
