@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queryscore.llm import decision_list, decontaminate, mixture, pii, warc
+from queryscore.llm import decision_list, decontaminate, mixture, pii, quality_fm, toxicity, warc
 from queryscore.llm.scratch import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,19 @@ def op8_pigeonhole_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(
         table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), ["doc_id"]
     )
+
+
+def _labels_and_texts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+
+
+@query()
+def op5_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _labels_and_texts(spark, sf_dir)
+    return toxicity.classify(docs, labels, ["doc_id"]).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _labels_and_texts(spark, sf_dir)
+    return quality_fm.classify(docs, labels, ["doc_id"]).select("doc_id", "held_out", "score", "predicted")
