@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queryscore.llm import decision_list, decontaminate, mixture, pii, quality_fm, toxicity, warc
+from queryscore.llm import decision_list, decontaminate, mixture, near_dedup, pii, quality_fm, toxicity, warc
 from queryscore.llm.scratch import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,9 @@ def op5_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _labels_and_texts(spark, sf_dir)
     return quality_fm.classify(docs, labels, ["doc_id"]).select("doc_id", "held_out", "score", "predicted")
+
+
+@query()
+def op1_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.classes(docs).select("doc_id", "class_id", "copies", "links")
