@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queryscore.llm import decision_list, decontaminate, mixture, near_dedup, pii, quality_fm, toxicity, warc
+from queryscore.llm import decision_list, decontaminate, mixture, near_dedup, pii, quality_fm, substring_dedup, toxicity, warc
 from queryscore.llm.scratch import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,8 @@ def op6_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_dedup.classes(docs).select("doc_id", "class_id", "copies", "links")
+
+
+@query()
+def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
