@@ -56,6 +56,7 @@ FINAL_MARKER = "FINAL SQL: "
 LIST_TABLES_TURN = "Let me see the available tables."
 DESCRIBE_TURN = "Let me inspect the relevant tables."
 READ_ONLY_ERROR = "read-only: write statements are rejected"
+NO_TABLES = "No tables."
 
 # White space as Unicode text functions strip it, usable as a trim list ...
 SPACE_CHARS = (

@@ -48,30 +48,37 @@ def bigram_jaccard(pred: Column, gold: Column) -> Column:
 
 _KEYWORDS = (
     "all and any as asc between both by case cast cross current_date current_time "
-    "current_timestamp desc distinct else end escape except exists false fetch filter first "
-    "following for from full glob group having ilike in inner intersect into is isnull join "
-    "last lateral leading left like limit minus natural not notnull null nulls offset on or "
-    "order outer over partition preceding range recursive regexp right rlike row rows select "
-    "semi anti set some then top trailing true unbounded union using values when where "
-    "window with current"
+    "current_timestamp desc distinct else end escape except exists false for from glob group "
+    "having ilike in inner intersect into is isnull join lateral leading left like limit minus "
+    "natural not notnull null offset on or order outer over partition recursive regexp right "
+    "rlike select semi anti set some then trailing true union using values when where window with"
 ).split()
+# Words that are names elsewhere and mean something here only; such a phrase has no item.
+_PHRASES = "|".join([
+    r"nulls\s+(?:first|last)\b", r"unbounded\s+(?:preceding|following)\b", r"current\s+row\b",
+    r"\d++\s+(?:preceding|following)\b", r"(?:rows|range|groups)\s+(?=between\b|unbounded\b|current\b|\d)",
+    r"filter\s*(?=\()", r"full\s+(?=outer\b|join\b)", r"fetch\s+(?:first|next)\s+\d*+\s*rows?\s+only\b",
+    r"top\s+(?=\d)",
+])
 
 # Keywords are marked once; afterwards a word without the mark is an identifier.
 _MARK = "\x01"
 _BY_LETTER = {k[0]: [w[1:] for w in _KEYWORDS if w[0] == k[0]] for k in _KEYWORDS}
-_KEYWORD = rf"(?=[{''.join(_BY_LETTER)}])\b(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in _BY_LETTER.items()) + r")\b"
+# A word behind a dot is a column, whatever it is.
+_KEYWORD = rf"(?=[{''.join(_BY_LETTER)}])\b(?<!\.)(?<!\.\s)(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in _BY_LETTER.items()) + r")\b"
 
 _WORD = r"[\p{L}_][\p{L}\p{N}_$]*+"
 _QUOTED = r'"[^"]+"|`[^`]+`|\[[\p{L}_][^\]]*\]'
 _IDENT = rf"(?:\b{_WORD}|{_QUOTED})"
-_DOTTED = rf"{_IDENT}(?:\s*\.\s*{_IDENT})*"
+# Repeated groups are possessive: those run as loops, others recurse and a long text ends the JVM.
+_DOTTED = rf"{_IDENT}(?:\s*\.\s*{_IDENT})*+"
 _ALIAS = rf"(?:\s+{_MARK}as\s+{_IDENT}|\s+{_IDENT})?"
-_FROM_LIST = rf"{_DOTTED}{_ALIAS}(?:\s*,\s*{_DOTTED}{_ALIAS})*"
+_FROM_LIST = rf"{_DOTTED}{_ALIAS}(?:\s*,\s*{_DOTTED}{_ALIAS})*+"
 # ``from`` that names no table.
 _OTHER_FROM = rf"{_MARK}distinct\s+{_MARK}from\b|\b(?:extract|substring|trim)\s*\([^(),]*?{_MARK}from\b"
 
 _TABLES = rf"{_OTHER_FROM}|{_MARK}(?:from|join)\s+({_FROM_LIST})"
-_LISTED = rf"(?:^|,)\s*(?:{_IDENT}\s*\.\s*)*({_IDENT})(?!\s*\.)"
+_LISTED = rf"(?:^|,)\s*(?:{_IDENT}\s*\.\s*)*+({_IDENT})(?!\s*\.)"
 
 # Alternatives that consume context come first; only a column reaches the group.
 _COLUMNS = "|".join(
@@ -97,7 +104,8 @@ def _plain(c: Column) -> Column:
         text, r"(?=['\"`/-])(?:('(?:[^']|'')*+'|\"[^\"]*+\"|`[^`]*+`)|--[^\n]*|/\*(?s:.*?)\*/)", "$1 "
     )
     no_strings = F.regexp_replace(no_comments, r"'(?:[^']|'')*+'", " 0 ")
-    return F.regexp_replace(no_strings, _KEYWORD, _MARK + "$0")
+    no_phrases = F.regexp_replace(no_strings, rf"\b(?<!\.)(?<!\.\s)(?:{_PHRASES})", " ")
+    return F.regexp_replace(no_phrases, _KEYWORD, _MARK + "$0")
 
 
 def _unquoted(names: Column) -> Column:

@@ -86,7 +86,10 @@ def mix_corpora(**sources: DataFrame | None) -> DataFrame:
 
 def _catalog(columns: DataFrame) -> DataFrame:
     """(db_id, _all, _by_name, _list): table names, their spelling by lower case, list text."""
-    by_name = F.map_from_entries(F.transform("tables", lambda t: F.struct(F.lower(t), t)))
+    # Of names that differ in case only, the first stands for all.
+    lower = F.transform("tables", F.lower)
+    firsts = F.array_distinct(lower)
+    by_name = F.map_from_arrays(firsts, F.transform(firsts, lambda n: F.get("tables", (F.array_position(lower, n) - 1).cast("int"))))
     return list_tables(columns).select(
         "db_id", F.col("tables").alias("_all"), by_name.alias("_by_name"), F.col("text").alias("_list")
     )
@@ -111,7 +114,8 @@ def agentic_trajectories(
 ) -> DataFrame:
     """(qid, messages): list the tables, describe those the gold query uses, answer.
 
-    Questions without gold or database are left out (``written_and_skipped`` counts them).
+    Questions without gold, and those of a database without tables or descriptions, are left
+    out (``written_and_skipped`` counts them); no row is null.
     """
     described = descriptions.groupBy("db_id").agg(
         F.map_from_entries(F.collect_list(F.struct("table_name", "text"))).alias("_texts")
@@ -119,7 +123,7 @@ def agentic_trajectories(
     per_db = _catalog(columns).join(described, "db_id")
     rows = left_join_skewed(
         usable(questions, databases), per_db, ["db_id"], heavy=_HEAVY_DATABASES
-    ).withColumn("tables", _named_tables("gold_sql"))
+    ).filter(F.col("_list").isNotNull()).withColumn("tables", _named_tables("gold_sql"))
 
     list_call = F.array(_call(F.lit(1), fv.LIST_TABLES, F.lit("{}")))
     table_call = lambda t, i: _call(
@@ -140,7 +144,8 @@ def agentic_trajectories(
         results,
         F.array(message("assistant", F.concat(F.lit(fv.FINAL_MARKER), F.col("gold_sql")))),
     )
-    return rows.select("qid", messages.alias("messages"))
+    told = F.forall("tables", lambda t: F.col("_texts")[t].isNotNull())
+    return rows.filter(told).select("qid", messages.alias("messages"))
 
 
 def written_and_skipped(questions: DataFrame, examples: DataFrame) -> DataFrame:

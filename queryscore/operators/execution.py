@@ -10,6 +10,7 @@ failing or slow query cannot touch the others.
 from __future__ import annotations
 
 import concurrent.futures as cf
+import re
 import threading
 import time
 import uuid
@@ -17,8 +18,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
-from pyspark.errors import PySparkException
+from pyspark.errors import ParseException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +50,7 @@ OUTCOME_SCHEMA = T.StructType(
         T.StructField("sql", T.StringType()),
         T.StructField("status", T.StringType()),
         T.StructField("error", T.StringType()),
+        T.StructField("parsed", T.BooleanType()),
         T.StructField("seconds", T.DoubleType()),
         T.StructField("n_rows", T.LongType()),
         T.StructField("n_distinct", T.LongType()),
@@ -57,14 +60,40 @@ OUTCOME_SCHEMA = T.StructType(
     ]
 )
 
-# How many outcomes the driver holds before it writes them out.
-_FLUSH_ROWS = 1000
+# How many outcomes the driver holds at a time; batches of them are written to scratch.
+_BATCH_ROWS = 1000
+# Functions that call any Java method.
+_REFLECTION = ("reflect", "java_method", "try_reflect")
+_FOREIGN = re.compile(r"SubqueryAlias \S*\.\S")
+
+
+class NotAllowed(Exception):
+    """A query names something outside its own database."""
+
+
+def _refuse(*args):
+    raise ValueError("not allowed")
+
+
+def isolate(session: SparkSession) -> None:
+    """Let queries of ``session`` see its own views only: no files, no Java methods."""
+    session.conf.set("spark.sql.runSQLOnFiles", "false")
+    for name in _REFLECTION:
+        # A function of the session hides the built-in one of that name; it only ever refuses.
+        session.udf.register(name, _refuse)
 
 
 def read_only_query(spark: SparkSession, sql: str) -> DataFrame:
-    """``sql`` as a subquery: only a single SELECT can be analysed there."""
+    """``sql`` as a subquery: only a single SELECT can be analysed there.
+
+    The analysed plan tells what it reads: a view of the session has a plain name, tables of a
+    catalog and global views have a qualified one.
+    """
     body = sql.strip().removesuffix(";")
-    return spark.sql(f"SELECT * FROM (\n{body}\n)")
+    df = spark.sql(f"SELECT * FROM (\n{body}\n)")
+    if _FOREIGN.search(df._jdf.queryExecution().analyzed().toString()):
+        raise NotAllowed("only the tables of the database can be read")
+    return df
 
 
 class DatabaseSessions:
@@ -75,22 +104,35 @@ class DatabaseSessions:
 
     def __init__(self, spark: SparkSession, keep: int = 32):
         self._spark = spark
+        self.context = spark.sparkContext
         self._keep = keep
-        self._sessions: dict[str, SparkSession] = {}
+        self._sessions: dict[str, cf.Future] = {}
         self._lock = threading.Lock()
 
     def get(self, path: str) -> SparkSession:
+        """The session of a database; whoever asks first opens it, others wait for that one only."""
         with self._lock:
-            if path not in self._sessions:
-                session = self._spark.newSession()
-                for key, value in self._spark.conf.getAll.items():
-                    if key.startswith("spark.sql.") and session.conf.isModifiable(key):
-                        session.conf.set(key, value)
-                register_database(session, path)
+            opened = self._sessions.get(path)
+            mine = opened is None
+            if mine:
                 while len(self._sessions) >= self._keep:
                     self._sessions.pop(next(iter(self._sessions)))
-                self._sessions[path] = session
-            return self._sessions[path]
+                opened = self._sessions[path] = cf.Future()
+        if mine:
+            try:
+                opened.set_result(self._open(path))
+            except Exception as e:
+                opened.set_exception(e)
+        return opened.result()
+
+    def _open(self, path: str) -> SparkSession:
+        session = self._spark.newSession()
+        for key, value in self._spark.conf.getAll.items():
+            if key.startswith("spark.sql.") and session.conf.isModifiable(key):
+                session.conf.set(key, value)
+        register_database(session, path)
+        isolate(session)
+        return session
 
 
 @dataclass
@@ -165,18 +207,24 @@ class _Deadline(threading.Thread):
         self._done.set()
 
 
-def _run_one(session: SparkSession, db_id: str, sql: str, run: _Run) -> dict:
+def _message(e: Exception) -> str:
+    if isinstance(e, Py4JJavaError):
+        # The cause, without the Java stack below it.
+        return str(e.java_exception.toString()).split("\n\tat ")[0]
+    return (e.getMessage() if isinstance(e, PySparkException) else None) or str(e)
+
+
+def _run_one(sessions: DatabaseSessions, path: str, db_id: str, sql: str, run: _Run) -> dict:
     group = f"query-{uuid.uuid4().hex}"
-    row = dict.fromkeys(OUTCOME_SCHEMA.names) | {"db_id": db_id, "sql": sql}
-    context = session.sparkContext
+    row = dict.fromkeys(OUTCOME_SCHEMA.names) | {"db_id": db_id, "sql": sql, "parsed": True}
+    context = sessions.context
     context.setJobGroup(group, "query under test", interruptOnCancel=True)
     deadline = _Deadline(context, group, run.timeout_s)
     deadline.start()
     try:
-        found = run.outcome(read_only_query(session, sql)) | {"status": OK}
-    except Exception as e:  # any failure of one query is that query's outcome
-        message = e.getMessage() if isinstance(e, PySparkException) else None
-        found = {"status": EXEC_ERROR, "error": (message or str(e))[: fv.ERROR_CHARS]}
+        found = run.outcome(read_only_query(sessions.get(path), sql)) | {"status": OK}
+    except Exception as e:  # any failure of one query, its database included, is that query's outcome
+        found = {"status": EXEC_ERROR, "error": _message(e), "parsed": not isinstance(e, ParseException)}
     finally:
         deadline.stop()
     if deadline.expired:
@@ -208,15 +256,15 @@ def run_queries(
     """Run every distinct (db_id, sql) of ``queries`` and return one outcome row each.
 
     The driver only sees query texts, a partition of them at a time, and one small row
-    per finished query. Beyond a fixed number these rows are written out, in batches, to
-    the shared scratch folder. Texts of unknown databases have no outcome. ``uses`` counts
-    the input rows of each text.
+    per finished query; these go to the shared scratch folder in batches. Texts of unknown
+    databases have no outcome. ``uses`` counts the input rows of each text.
     """
+    out = scratch_dir(spark, "outcomes")
     run = _Run(mode, timeout_s, **options)
     sessions = sessions or DatabaseSessions(spark)
     distinct = (
         queries.groupBy("db_id", "sql").agg(F.count(F.lit(1)).alias("uses"))
-        .join(databases.select("db_id", "dir"), "db_id")
+        .join(databases.groupBy("db_id").agg(F.min("dir").alias("dir")), "db_id")
         .orderBy("dir", "sql")
     )
 
@@ -225,21 +273,20 @@ def run_queries(
         table = pa.Table.from_pylist(rows, to_arrow_schema(OUTCOME_SCHEMA))
         return spark.createDataFrame(table, OUTCOME_SCHEMA)
 
-    out = None
+    def write(rows: list[dict]) -> None:
+        frame(rows).coalesce(1).write.mode("append").parquet(out)
+
     rows: list[dict] = []
     with cf.ThreadPoolExecutor(concurrency) as pool:
         def one(item):
-            return _run_one(sessions.get(item.dir), item.db_id, item.sql, run) | {"uses": item.uses}
+            return _run_one(sessions, item.dir, item.db_id, item.sql, run) | {"uses": item.uses}
 
         for row in _bounded_map(pool, one, distinct.toLocalIterator(), 4 * concurrency):
             rows.append(row)
-            if len(rows) >= _FLUSH_ROWS:
-                out = out or scratch_dir(spark, "outcomes")
-                frame(rows).coalesce(1).write.mode("append").parquet(out)
+            if len(rows) >= _BATCH_ROWS:
+                write(rows)
                 rows = []
-    if out is None:
-        return frame(rows)
-    frame(rows).coalesce(1).write.mode("append").parquet(out)
+    write(rows)
     return spark.read.schema(OUTCOME_SCHEMA).parquet(out)
 
 
@@ -268,14 +315,15 @@ def preview(
 ) -> DataFrame:
     """(…, text, truncated) for a table of (…, db_id, sql): what a reader of the results sees."""
     known = _with_known_db(queries, databases)
-    write = looks_like_write(F.col("sql"))
-    may_run = F.col("has_db") & ~write
+    write = F.coalesce(looks_like_write(F.col("sql")), F.lit(False))
+    blank = is_blank(F.col("sql"))
+    may_run = F.col("has_db") & ~write & ~blank
     outcomes = run_queries(
         spark, known.filter(may_run), databases, "preview", timeout_s, concurrency,
         max_rows=max_rows, max_cell=max_cell,
     )
     out = F.col("outcome")
-    failed = F.when(write, F.lit(f"Error: {fv.READ_ONLY_ERROR}")).otherwise(
+    failed = F.when(write, F.lit(f"Error: {fv.READ_ONLY_ERROR}")).when(blank, F.lit("Error: SQL error: empty query")).otherwise(
         F.concat(F.lit("Error: SQL error: "), F.coalesce(out["error"], F.lit("no such database")))
     )
     return _with_outcome(known, outcomes, "sql", may_run, "outcome").select(
@@ -305,8 +353,9 @@ def result_set_match(pred: DataFrame, gold: DataFrame, float_digits: int | None
 
 
 def _with_known_db(rows: DataFrame, databases: DataFrame) -> DataFrame:
-    known = databases.select("db_id", F.lit(True).alias("has_db"))
-    return rows.join(known, "db_id", "left").withColumn("has_db", F.coalesce("has_db", F.lit(False)))
+    """``rows`` plus ``has_db``; a database that is listed twice counts once."""
+    known = databases.select("db_id", F.lit(True).alias("has_db")).distinct()
+    return left_join_skewed(rows, known, ["db_id"]).withColumn("has_db", F.coalesce("has_db", F.lit(False)))
 
 
 def _with_outcome(
@@ -337,7 +386,9 @@ def match_batch(
     timeout_s: float = fv.MATCH_TIMEOUT_S, concurrency: int = 8,
     float_digits: int | None = None, sessions: DatabaseSessions | None = None,
 ) -> DataFrame:
-    """``pairs`` plus (ex, pred_status, gold_status, pred_seconds).
+    """``pairs`` plus (ex, pred_status, gold_status, pred_parsed, pred_seconds).
+
+    ``pred_parsed`` is false for a prediction that is not SQL, and null for one that did not run.
 
     ``pairs`` needs (db_id, pred_sql, gold_sql) and is read three times: materialise it
     first when it is costly. The joins bring one fixed-width row per distinct text.
@@ -359,6 +410,7 @@ def match_batch(
         F.coalesce(same.cast("int"), F.lit(0)).alias("ex"),
         _status("pred", "pred_sql").alias("pred_status"),
         _status("gold", "gold_sql").alias("gold_status"),
+        F.col("pred.parsed").alias("pred_parsed"),
         F.col("pred.seconds").alias("pred_seconds"),
     )
 

@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from queryscore.operators.skew import left_join_skewed
+
 
 
 def filter_difficulty(questions: DataFrame, difficulties: Iterable[str] | None = None) -> DataFrame:
@@ -24,7 +26,8 @@ def head_n(df: DataFrame, n: int, order_col: str | Column) -> DataFrame:
 def usable(questions: DataFrame, databases: DataFrame) -> DataFrame:
     """Questions with a gold query and an existing database."""
     has_gold = F.coalesce("gold_sql", F.lit("")) != ""
-    return questions.filter(has_gold).join(databases.select("db_id"), "db_id", "left_semi")
+    known = databases.select("db_id", F.lit(True).alias("_known")).distinct()
+    return left_join_skewed(questions.filter(has_gold), known, ["db_id"]).filter("_known").select(*questions.columns)
 
 
 def missing_databases(questions: DataFrame, databases: DataFrame) -> DataFrame:

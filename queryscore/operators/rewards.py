@@ -41,12 +41,19 @@ def reward_r1(scored: DataFrame) -> DataFrame:
     )
 
 
+def _parsed(scored: DataFrame) -> Column:
+    """The prediction; nothing where it is known not to be SQL, so that it has no schema items."""
+    if "pred_parsed" not in scored.columns:
+        return F.col("pred_sql")
+    return F.when(F.coalesce("pred_parsed", F.lit(True)), F.col("pred_sql"))
+
+
 def reward_r2(scored: DataFrame) -> DataFrame:
     """Partial credit: execution match, executability, schema and token overlap, format."""
     parts = (
         _gated(scored)
         .withColumn("syntax", _if_valid(((F.col("ex") == 1) | F.col("executes")).cast("int")))
-        .withColumn("schema", _if_valid(schema_link_jaccard(F.col("pred_sql"), F.col("gold_sql"))))
+        .withColumn("schema", _if_valid(schema_link_jaccard(_parsed(scored), F.col("gold_sql"))))
         .withColumn("ngram", _if_valid(bigram_jaccard(F.col("pred_sql"), F.col("gold_sql"))))
         .withColumn("format", _if_valid(F.lit(1.0)))
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,20 +14,23 @@ def checkpoint_root(spark: SparkSession) -> str | None:
     return spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
 
 
-def use_local_scratch_if_unset(spark: SparkSession) -> None:
-    """On a single machine without a checkpoint folder, use a temporary one."""
-    if checkpoint_root(spark) is None and spark.sparkContext.master.startswith("local"):
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="queryscore-"))
-
-
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new directory name under the checkpoint folder."""
+    """A new path below the application's own folder in the checkpoint folder.
+
+    That folder belongs to the application: it is removed when the application ends.
+    """
     root = checkpoint_root(spark)
     if not root:
         raise ValueError(
             f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share"
         )
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/queryscore-{spark.sparkContext.applicationId}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, purpose: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,15 +38,25 @@ def _list_dir(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
     ]
 
 
+def _holds_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether a directory has Parquet files, directly or in its partition directories."""
+    for name, full, is_dir in _list_dir(spark, path):
+        if not is_dir and name.endswith(".parquet"):
+            return True
+        if is_dir and "=" in name and _holds_parquet(spark, full):
+            return True
+    return False
+
+
 def database_tables(spark: SparkSession, path: str) -> dict[str, str]:
-    """Table name → path: every ``name.parquet`` entry and every plain subdirectory."""
+    """Table name → path: every ``name.parquet`` entry and every subdirectory of Parquet files."""
     tables = {}
     for name, full, is_dir in _list_dir(spark, path):
         if name.startswith((".", "_")):
             continue
         if name.endswith(".parquet"):
             tables[name[: -len(".parquet")]] = full
-        elif is_dir:
+        elif is_dir and _holds_parquet(spark, full):
             tables[name] = full
     return dict(sorted(tables.items()))
 
@@ -53,12 +64,21 @@ def database_tables(spark: SparkSession, path: str) -> dict[str, str]:
 def register_database(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Make the tables under ``path`` queryable by name in ``spark``.
 
-    Databases may share table names: give each its own ``spark.newSession()``.
+    Databases may share table names: give each its own ``spark.newSession()``. A table
+    whose schema cannot be read is left out.
     """
+
+    def opened(full: str) -> DataFrame | None:
+        try:
+            return spark.read.parquet(full)
+        except (PySparkException, Py4JJavaError):
+            return None
+
     paths = database_tables(spark, path)
     # Reading a schema waits for storage, not for the CPU: look at several tables at once.
     with ThreadPoolExecutor(8) as pool:
-        tables = dict(zip(paths, pool.map(spark.read.parquet, paths.values())))
+        found = dict(zip(paths, pool.map(opened, paths.values())))
+    tables = {name: df for name, df in found.items() if df is not None}
     for name, df in tables.items():
         df.createOrReplaceTempView(f"`{name}`")
     return tables
@@ -101,13 +121,19 @@ def schema_text(columns: DataFrame) -> DataFrame:
     )
 
 
-def list_tables(columns: DataFrame) -> DataFrame:
-    """(db_id, tables, text): the tables of every database by name."""
-    return (
-        columns.groupBy("db_id")
-        .agg(F.sort_array(F.collect_set("table_name")).alias("tables"))
-        .withColumn("text", F.concat(F.lit("Tables: "), F.array_join("tables", ", ")))
-    )
+def list_tables(columns: DataFrame, databases: DataFrame | None = None) -> DataFrame:
+    """(db_id, tables, text): the tables of every database by name.
+
+    With ``databases`` also those without tables, whose text says so.
+    """
+    listed = columns.groupBy("db_id").agg(F.sort_array(F.collect_set("table_name")).alias("tables"))
+    if databases is not None:
+        none = F.array().cast("array<string>")
+        listed = databases.select("db_id").distinct().join(listed, "db_id", "left").withColumn(
+            "tables", F.coalesce("tables", none)
+        )
+    some = F.concat(F.lit("Tables: "), F.array_join("tables", ", "))
+    return listed.withColumn("text", F.when(F.size("tables") > 0, some).otherwise(fv.NO_TABLES))
 
 
 def table_samples(
@@ -133,7 +159,7 @@ def table_samples(
         cells = [cap_cell(F.col(f"`{c}`"), max_cell) for c in df.columns]
         try:
             lines = rows.select(row_text(cells).alias("line")).limit(sample_rows).collect()
-        except PySparkException:
+        except (PySparkException, Py4JJavaError):
             return db_id, name, None
         return db_id, name, "\n".join(r.line for r in lines)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from queryscore.operators import execution as ex
 from queryscore.operators import metrics, rewards
-from queryscore.scratch import materialise, use_local_scratch_if_unset
+from queryscore.scratch import materialise
 from queryscore.sources import database as db
 from registered import query, table
 
@@ -36,11 +36,12 @@ PAIRS = [
     ("p14", "second", _NATIONS, "SELECT n_nom FROM nation", (0, "ok", "exec_error")),
     ("p15", "second", "SELECT n_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name = 'ASIA'", _NATIONS, None),
     ("p16", "second", "SELECT 1 / (o_orderkey - o_orderkey) FROM orders", _COUNT, (0, "exec_error", "ok")),
+    ("p17", "second", "SELECT count(* FROM orders o_orderkey", _COUNT, (0, "exec_error", "ok")),
+    ("p18", "second", "SELECT count(*) + 0 * length(reflect('java.lang.System', 'getProperty', 'user.home')) FROM orders", _COUNT, (0, "exec_error", "ok")),
 ]
 
 
 def tpch(spark, sf_dir):
-    use_local_scratch_if_unset(spark)
     return spark.createDataFrame([("tpch", sf_dir)], "db_id string, dir string")
 
 
@@ -75,13 +76,17 @@ def exec_match_batch(spark, sf_dir):
     return out.select("exec_id", "ex", "pred_status", "gold_status")
 
 
-@query(f"SELECT exec_id, ex FROM ({_VERDICTS}) WHERE exec_id IN ('p01', 'p02', 'p03', 'p04', 'p05', 'p06')")
+# Every pair whose two texts run.
+_RUNNING = [p for p in PAIRS if p[4] is None or p[4][1:] == ("ok", "ok")]
+
+
+@query(f"SELECT exec_id, ex FROM ({_VERDICTS}) WHERE pred_status = 'ok' AND gold_status = 'ok'")
 def result_set_match(spark, sf_dir):
     session = spark.newSession()
     db.register_database(session, sf_dir)
     parts = [
-        ex.result_set_match(session.sql(pred), session.sql(gold)).select(F.lit(i).alias("exec_id"), "ex")
-        for i, _, pred, gold, fixed in PAIRS[:6]
+        ex.result_set_match(ex.read_only_query(session, pred), ex.read_only_query(session, gold)).select(F.lit(i).alias("exec_id"), "ex")
+        for i, _, pred, gold, _ in _RUNNING
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
@@ -122,7 +127,7 @@ def _r2_sql() -> str:
         "p11": ("t:orders", "t:orders"), "p12": ("t:orders", "t:orders"),
         "p13": ("t:nation c:n_name c:n_nationkey", "t:nation c:n_name c:n_nationkey"),
         "p14": (nations, "t:nation c:n_nom"), "p15": (nations, nations),
-        "p16": ("t:orders c:o_orderkey", "t:orders"),
+        "p16": ("t:orders c:o_orderkey", "t:orders"), "p17": ("", "t:orders"), "p18": ("t:orders", "t:orders"),
     }
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     listed = lambda s: "[" + ", ".join(f"'{x}'" for x in s.split()) + "]::VARCHAR[]"

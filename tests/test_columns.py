@@ -114,6 +114,10 @@ SCHEMA_CASES = [
     ('select "Full Name" from T1 join `my tab` on T1.a = [b c]', {"t:t1", "t:my tab", "c:full name", "c:a", "c:b c"}),
     ("select extract(year from d), upper(trim(s)) from t", {"t:t", "c:d", "c:s"}),
     ("select x from (select y as x from inner_t) sub where x > 1e3", {"t:inner_t", "c:x", "c:y"}),
+    ("select first, last, name, row, range, filter from t", {"t:t", "c:first", "c:last", "c:name", "c:row", "c:range", "c:filter"}),
+    ("select T1.end, T1 . first, t1.order from t as T1", {"t:t", "c:end", "c:first", "c:order"}),
+    ("select sum(a) filter (where b > 1) over (partition by c order by d nulls last rows between 2 preceding and current row) "
+     "from t full outer join u on x = y fetch first 5 rows only", {"t:t", "t:u", "c:a", "c:b", "c:c", "c:d", "c:x", "c:y"}),
     ("select 1", set()),
     (None, set()),
 ]
@@ -125,6 +129,17 @@ def test_schema_items(spark):
         assert set(items) == want, text
 
 
+def test_schema_items_of_very_long_texts(spark):
+    n = 50_000
+    texts = [
+        "select * from " + ", ".join(["t"] * n), "select a" + ".b" * n + " from t", "select * from t" + " a, t" * n,
+        "select " + ", ".join(f"c{i} as a{i}" for i in range(n // 10)) + " from t", "(" * n + "a b , . ' \" ` [ " * n,
+        "'" * n, '"' * (n + 1), "/*" * n, "from " * n, "a " * (n * 4),
+    ]
+    got = apply(spark, texts, sim.schema_items)
+    assert set(got[0]) == {"t:t"} and set(got[1]) == {"t:t", "c:b"} and len(got) == len(texts)
+
+
 def test_messages(spark):
     rows = [
         [("assistant", "a", [("1", "list_tables", "{}"), ("2", "", "{}"), ("3", None, "{}")], None, None),

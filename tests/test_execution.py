@@ -189,3 +189,50 @@ def test_preview(spark, databases):
     assert got[2].text == "Error: read-only: write statements are rejected"
     assert got[3].text == "1 row(s):\n('" + "x" * 200 + "…',)"
     assert got[4].text.startswith("Error: SQL error: ")
+
+
+def test_one_bad_database_touches_only_its_own_texts(spark, databases, db_root, tmp_path):
+    (tmp_path / "bad" / "description").mkdir(parents=True)
+    (tmp_path / "bad" / "description" / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "bad" / "broken.parquet").write_text("not parquet")
+    spark.range(3).write.parquet(str(tmp_path / "bad" / "fine.parquet"))
+    more = spark.createDataFrame([("bad", str(tmp_path / "bad")), ("gone", str(tmp_path / "gone")), ("odd", "nofs://x/y")], "db_id string, dir string")
+    texts = [("shop", ALL), ("bad", "SELECT id FROM fine"), ("bad", "SELECT * FROM broken"), ("bad", "SELECT * FROM description"), ("gone", ALL), ("odd", "SELECT 1")]
+    pairs = spark.createDataFrame([(i, d, t, t) for i, (d, t) in enumerate(texts)], "i int, db_id string, pred_sql string, gold_sql string")
+    got = {r.i: (r.ex, r.pred_status) for r in ex.match_batch(spark, pairs, databases.unionByName(more)).collect()}
+    failed = (0, "exec_error")
+    assert got == {0: (1, "ok"), 1: (1, "ok"), 2: failed, 3: failed, 4: failed, 5: failed}
+
+
+def test_queries_see_their_own_database_only(spark, databases, db_root, tmp_path):
+    spark.range(1).createOrReplaceGlobalTempView("everyone")
+    spark.sql("CREATE TABLE IF NOT EXISTS stored AS SELECT 1 AS x")
+    try:
+        texts = [
+            f"SELECT count(*) FROM parquet.`{db_root}/club/customers.parquet`", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+            "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home')",
+            "SELECT * FROM global_temp.everyone", "SELECT * FROM stored", "SELECT * FROM spark_catalog.default.stored", f"SELECT * FROM text.`{db_root}`",
+            "SELECT 1 WHERE EXISTS (SELECT * FROM stored)", "SELECT c.name FROM customers AS c JOIN (SELECT * FROM customers) d ON c.name = d.name",
+        ]
+        rows = ex.match_batch(spark, pairs_df(spark, [(t, t) for t in texts]), databases).collect()
+        assert {r.i: r.pred_status for r in rows} == dict.fromkeys(range(9), "exec_error") | {9: "ok"}
+    finally:
+        spark.sql("DROP TABLE stored")
+        spark.catalog.dropGlobalTempView("everyone")
+
+
+def test_texts_that_are_no_sql_have_no_schema_items(spark, databases):
+    scored = ex.match_batch(spark, pairs_df(spark, [("SELECT name FROM customers WHERE (", GOLD), ("SELECT nope FROM customers", GOLD)]), databases)
+    rows = {r.i: r for r in reward_r2(scored.withColumn("executes", F.lit(False))).collect()}
+    assert not rows[0].pred_parsed and rows[0].breakdown.schema == 0.0
+    assert rows[1].pred_parsed and rows[1].breakdown.schema > 0
+
+
+def test_errors_are_whole_and_many_outcomes_take_the_same_path(spark, databases, monkeypatch):
+    monkeypatch.setattr(ex, "_BATCH_ROWS", 3)
+    long = "x" * 500
+    texts = [f"SELECT {i}" for i in range(10)] + [f"SELECT {long} FROM customers", None, "  "]
+    df = spark.createDataFrame([(i, "shop", t) for i, t in enumerate(texts)], "i int, db_id string, sql string")
+    got = {r.i: r.text for r in ex.preview(spark, df, databases).collect()}
+    assert [got[i] for i in range(10)] == [f"1 row(s):\n('{i}',)" for i in range(10)]
+    assert long in got[10] and got[11] == got[12] == "Error: SQL error: empty query"
