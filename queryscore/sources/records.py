@@ -1,7 +1,7 @@
 """Question, schema, synthetic-record and result files, and the JSONL sink.
 
-All readers use fixed schemas and number records by their place in the input
-(``pos``, from 0), so "first" and "last" stay meaningful on any number of tasks.
+All readers use fixed schemas. ``pos`` orders records as the input does, over all its files, so
+"first" and "last" stay meaningful on any number of tasks; ``numbered`` turns it into a number.
 """
 
 from __future__ import annotations
@@ -52,28 +52,42 @@ RESULT_FIELDS = T.StructType(
 )
 
 
-def _number_in_file_order(lines: DataFrame) -> DataFrame:
-    """Add ``pos``: the 0-based place of a row in its input, over all file splits.
+def _placed(lines: DataFrame) -> DataFrame:
+    """Non-blank lines with ``pos``, which sorts like their place in the input: (file, split, line).
 
-    A split's rows are consecutive in one task; the start of a split is the number of
-    rows in the splits before it. Only one row per split is ever gathered to add these up.
+    One scan and no exchange. Lines of one split are read by one task in order.
     """
-    placed = lines.select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_split"),
-    ).filter(F.trim("value") != "").withColumn("_id", F.monotonically_increasing_id())
-    before = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy("_file", "_split").agg(
-        F.min("_id").alias("_first"), F.count("value").alias("_n")
-    ).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return placed.join(starts, ["_file", "_split"]).select(
-        (F.col("_start") + F.col("_id") - F.col("_first")).alias("pos"), "value"
+    kept = lines.select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split")
+    ).filter(F.trim("value") != "")
+    place = F.struct(
+        F.col("_file").alias("file"), F.col("_split").alias("split"), F.monotonically_increasing_id().alias("line")
     )
+    return kept.select(place.alias("pos"), "value")
+
+
+def numbered(records: DataFrame, name: str) -> DataFrame:
+    """``pos`` replaced by the 0-based number ``name`` of each record over all files.
+
+    Reads the input a second time to count the records of each split. What is joined back has one
+    row per split, so it is broadcast and the records stay where they are.
+    """
+    per_split = records.select("pos.file", "pos.split", "pos.line").groupBy("file", "split").agg(
+        F.min("line").alias("_first"), F.count(F.lit(1)).alias("_n")
+    )
+    before = Window.orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_split.select(
+        F.col("file").alias("_file"), F.col("split").alias("_split"), "_first",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+    )
+    same = (F.col("pos.file") == F.col("_file")) & (F.col("pos.split") == F.col("_split"))
+    number = F.col("_start") + F.col("pos.line") - F.col("_first")
+    rest = [c for c in records.columns if c != "pos"]
+    return records.join(F.broadcast(starts), same).select(number.alias(name), *rest)
 
 
 def _json_lines(spark: SparkSession, path: str) -> DataFrame:
-    return _number_in_file_order(spark.read.text(path))
+    return _placed(spark.read.text(path))
 
 
 def _json_array_indented(spark: SparkSession, path: str, indent: int) -> DataFrame:
@@ -85,8 +99,9 @@ def _json_array_indented(spark: SparkSession, path: str, indent: int) -> DataFra
     opening = "\n" + " " * indent + "{"
     chunks = spark.read.option("lineSep", opening).text(path)
     body = F.regexp_replace("value", r"\s*(?:,|\])?\s*\z", "")
-    numbered = _number_in_file_order(chunks.withColumn("value", body))
-    return numbered.filter(F.col("value") != "[").withColumn("value", F.concat(F.lit("{"), "value"))
+    # What stands before the first record is only the opening bracket.
+    records = chunks.withColumn("value", body).filter(F.trim("value") != "[")
+    return _placed(records).withColumn("value", F.concat(F.lit("{"), "value"))
 
 
 def _records(
@@ -98,11 +113,10 @@ def _records(
         rows = _json_array_indented(spark, path, indent)
     elif layout == "array":
         # A compact array has no safe place to split: one task per file.
-        whole = spark.read.option("wholetext", True).text(path)
+        whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
         parsed = F.from_json("value", T.ArrayType(fields), _STRICT)
-        return whole.select(F.posexplode(parsed).alias("pos", "r")).select(
-            F.col("pos").cast("long").alias("pos"), "r.*"
-        )
+        place = F.struct("file", F.lit(0).cast("long").alias("split"), F.col("line").cast("long").alias("line"))
+        return whole.select("file", F.posexplode(parsed).alias("line", "r")).select(place.alias("pos"), "r.*")
     else:
         raise ValueError(f"unknown layout {layout!r}: use jsonl, array or indented")
     return rows.select("pos", F.from_json("value", fields, _STRICT).alias("r")).select("pos", "r.*")
@@ -121,10 +135,10 @@ def read_questions(
 ) -> DataFrame:
     """(qid, db_id, question, gold_sql, db_path, evidence, difficulty).
 
-    The gold query is the first non-empty of three known keys. ``qid`` is the place in
-    the file.
+    The gold query is the first non-empty of three known keys. ``qid`` is the number of the
+    question in the input, from 0.
     """
-    raw = _records(spark, path, QUESTION_FIELDS, layout, indent)
+    raw = numbered(_records(spark, path, QUESTION_FIELDS, layout, indent), "pos")
     gold = F.coalesce(*[F.nullif(k, F.lit("")) for k in ("SQL", "query", "gold_sql")], F.lit(""))
     return raw.select(
         F.col("pos").alias("qid"), _required("db_id"), _required("question"),

@@ -14,33 +14,69 @@ def _written(spark, df, purpose):
     return path
 
 
-@query("""SELECT 'db' || conv_id AS db_id, text AS question,
+@query("""SELECT row_number() OVER (ORDER BY conv_id, turn, text) - 1 AS qid, 'db' || conv_id AS db_id, text AS question,
     CASE turn % 4 WHEN 0 THEN 'SELECT ' || turn WHEN 1 THEN 'SELECT q' WHEN 2 THEN 'SELECT g' ELSE '' END AS gold_sql,
     '/data/db' || conv_id AS db_path, CASE WHEN turn % 2 = 0 THEN role ELSE '' END AS evidence, role AS difficulty
 FROM conversations""")
 def question_records(spark, sf_dir):
     kind = F.col("turn") % 4
-    raw = table(spark, sf_dir, "conversations").select(
+    # The sink keeps the sorted order across part files.
+    raw = table(spark, sf_dir, "conversations").orderBy("conv_id", "turn", "text").select(
         F.concat(F.lit("db"), F.col("conv_id").cast("string")).alias("db_id"), F.col("text").alias("question"),
         F.when(F.col("turn") % 2 == 0, F.col("role")).alias("evidence"),
         F.when(kind == 0, F.concat(F.lit("SELECT "), F.col("turn").cast("string"))).when(kind == 1, F.lit("")).alias("SQL"),
         F.when(kind == 1, F.lit("SELECT q")).alias("query"), F.when(kind != 3, F.lit("SELECT g")).alias("gold_sql"),
         F.col("role").alias("difficulty"),
     )
-    return rec.read_questions(spark, _written(spark, raw, "questions"), "/data").drop("qid")
+    return rec.read_questions(spark, _written(spark, raw, "questions"), "/data")
 
 
-@query("SELECT 'k' || (doc_id % 3) AS sql_complexity, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY 1")
+@query("""SELECT lang AS db_id, 'k' || (doc_id % 3) AS sql_complexity, source AS question, CAST(NULL AS VARCHAR) AS external_knowledge,
+    md5(text) AS cot, 'SELECT ' || doc_id AS sql FROM documents""")
 def synth_records(spark, sf_dir):
     raw = table(spark, sf_dir, "documents").select(
         F.col("lang").alias("db_id"), F.concat(F.lit("k"), (F.col("doc_id") % 3).cast("string")).alias("sql_complexity"),
         F.col("source").alias("question"), F.lit(None).cast("string").alias("external_knowledge"),
-        F.col("text").alias("cot"), F.lit("SELECT 1").alias("sql"),
+        F.col("text").alias("cot"), F.concat(F.lit("SELECT "), F.col("doc_id").cast("string")).alias("sql"),
     )
-    synth = rec.read_synth(spark, _written(spark, raw, "synth"))
-    return synth.groupBy("sql_complexity").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.length("cot")).cast("long").alias("chars")
+    return rec.read_synth(spark, _written(spark, raw, "synth")).drop("pos").withColumn("cot", F.md5("cot"))
+
+
+@query("""SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS qid, p_brand AS db_id, p_name AS question, 'SELECT ' || p_partkey AS gold_sql,
+    '/data/' || p_brand AS db_path, p_type AS evidence, '' AS difficulty FROM part""")
+def question_array_records(spark, sf_dir):
+    # One compact array per file: the records of a hundred parts each, file names in order of the keys.
+    record = F.to_json(F.struct(
+        F.col("p_brand").alias("db_id"), F.col("p_name").alias("question"),
+        F.concat(F.lit("SELECT "), F.col("p_partkey").cast("string")).alias("SQL"), F.col("p_type").alias("evidence"),
+    ))
+    group = F.format_string("%012d", F.floor(F.col("p_partkey") / 100))
+    arrays = table(spark, sf_dir, "part").groupBy(group.alias("g")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", record.alias("r")))), lambda x: x["r"]), ",\n").alias("r")
+    )
+    path = scratch_dir(spark, "arrays")
+    arrays.select("g", F.concat(F.lit("["), "r", F.lit("]")).alias("value")).write.partitionBy("g").text(path)
+    return rec.read_questions(spark, path, "/data", layout="array")
+
+
+@query("""SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS qid, 'db' || c_nationkey AS db_id, c_name AS question, 'SELECT ' || c_custkey AS gold_sql,
+    '/data/db' || c_nationkey AS db_path, '{ "a" }' AS evidence, '' AS difficulty FROM customer""")
+def question_indented_records(spark, sf_dir):
+    # One indented array in one file, as a pretty-printer writes it.
+    fields = {
+        "db_id": F.concat(F.lit("db"), F.col("c_nationkey").cast("string")), "question": F.col("c_name"),
+        "gold_sql": F.concat(F.lit("SELECT "), F.col("c_custkey").cast("string")), "evidence": F.lit('{ \\"a\\" }'),
+    }
+    lines = [F.concat(F.lit(f'    "{k}": "'), v, F.lit('"')) for k, v in fields.items()]
+    record = F.concat(F.lit("  {\n"), F.concat_ws(",\n", *lines), F.lit("\n  }"))
+    rows = table(spark, sf_dir, "customer")
+    first, last = (rows.agg(f("c_custkey")).scalar() for f in (F.min, F.max))
+    value = F.concat(
+        F.when(F.col("c_custkey") == first, "[\n").otherwise(""), record, F.when(F.col("c_custkey") == last, "\n]").otherwise(","),
     )
+    path = scratch_dir(spark, "indented")
+    rows.orderBy("c_custkey").select(value.alias("value")).coalesce(1).write.text(path)
+    return rec.read_questions(spark, path, "/data", layout="indented")
 
 
 @query("""SELECT db_id, CASE WHEN arg_max(p_partkey, p_partkey) % 5 = 0 THEN '' ELSE
