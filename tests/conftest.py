@@ -22,14 +22,22 @@ def spark(tmp_path_factory):
 def db_root(spark, tmp_path_factory):
     """A root with two databases that share a table name."""
     root = tmp_path_factory.mktemp("dbs")
-    spark.createDataFrame(
-        [(1, "Ann", "NYC"), (2, "Bob", "LA"), (3, "Cy", "NYC")], "id long, name string, city string"
-    ).coalesce(1).write.parquet(str(root / "shop" / "customers.parquet"))
-    spark.createDataFrame(
-        [(1, 1, 10.0), (2, 1, 5.0), (3, 2, 20.0)], "id long, customer_id long, amount double"
-    ).coalesce(1).write.parquet(str(root / "shop" / "orders.parquet"))
-    spark.createDataFrame([(7, "Zoe")], "id long, name string").coalesce(1).write.parquet(
-        str(root / "club" / "customers.parquet")
+    boats = [
+        (1, "Alba", "Oslo"), (2, "Brisa", "Riga"), (3, "Cirrus", "Oslo"), (4, "Dorada", None), (5, None, "Faro"),
+        (6, "Alba", "Faro"), (7, "Estrel", "Riga"), (7, "Estrel", "Riga"), (8, "Fjell", "Bergen"), (9, "Gaviota", "Faro"),
+        (10, "Havn", "Oslo"), (11, "Isbre", None), (12, None, None), (13, "Jolle", "Bergen"), (14, "Kite", "Riga"),
+        (15, "Lumi", "Turku"), (16, "Morsa", "Faro"), (17, "Njord", "Oslo"), (18, "Orca", "Turku"), (19, "Puffin", "Bergen"),
+        (20, "Brisa", "Turku"), (21, "Quill", "Riga"),
+    ]
+    fees = [(k, k % 21 + 1, None if k % 5 == 0 else 12.5 * (k % 4)) for k in range(1, 31)]
+    spark.createDataFrame(boats, "hull long, title string, harbour string").coalesce(1).write.parquet(
+        str(root / "marina" / "boats.parquet")
+    )
+    spark.createDataFrame(fees, "slip long, berth long, fee double").coalesce(1).write.parquet(
+        str(root / "marina" / "moorings.parquet")
+    )
+    spark.createDataFrame([(7, "Zephyr")], "hull long, title string").coalesce(1).write.parquet(
+        str(root / "quarry" / "boats.parquet")
     )
     return str(root)
 
@@ -37,19 +45,19 @@ def db_root(spark, tmp_path_factory):
 @pytest.fixture(scope="session")
 def databases(spark, db_root):
     return spark.createDataFrame(
-        [("shop", f"{db_root}/shop"), ("club", f"{db_root}/club")], "db_id string, dir string"
+        [("marina", f"{db_root}/marina"), ("quarry", f"{db_root}/quarry")], "db_id string, dir string"
     )
 
 
 @pytest.fixture(scope="session")
-def shop(spark, db_root):
+def marina(spark, db_root):
     session = spark.newSession()
-    return {"shop": register_database(session, f"{db_root}/shop")}
+    return {"marina": register_database(session, f"{db_root}/marina")}
 
 
 @pytest.fixture(scope="session")
-def shop_columns(spark, shop):
-    return columns_catalog(spark, shop)
+def marina_columns(spark, marina):
+    return columns_catalog(spark, marina)
 
 
-GOLD = "SELECT name FROM customers WHERE city='NYC'"
+GOLD = "SELECT title FROM boats WHERE harbour='Oslo'"

@@ -103,10 +103,10 @@ def test_jaccard(spark):
 
 
 SCHEMA_CASES = [
-    ("SELECT name FROM customers WHERE city='NYC'", {"t:customers", "c:name", "c:city"}),
-    ("SELECT c.name, count(*) AS n, sum(o.amount) tot FROM customers c, orders AS o "
-     "WHERE c.id = o.customer_id AND o.d > date '1995-01-01' GROUP BY c.name ORDER BY n DESC LIMIT 5",
-     {"t:customers", "t:orders", "c:name", "c:amount", "c:id", "c:customer_id", "c:d", "c:n"}),
+    ("SELECT title FROM boats WHERE harbour='Oslo'", {"t:boats", "c:title", "c:harbour"}),
+    ("SELECT c.title, count(*) AS n, sum(o.amount) tot FROM boats c, orders AS o "
+     "WHERE c.hull = o.berth AND o.d > date '1995-01-01' GROUP BY c.title ORDER BY n DESC LIMIT 5",
+     {"t:boats", "t:orders", "c:title", "c:amount", "c:hull", "c:berth", "c:d", "c:n"}),
     ("WITH x AS (SELECT a b, t.* FROM db.tab t LEFT JOIN u USING (k)) SELECT CASE WHEN z IS NOT DISTINCT FROM q "
      "THEN 1 ELSE 2 END AS w, CAST(p AS decimal(10,2)) FROM x WHERE f IN (SELECT g FROM h) -- FROM zz",
      {"t:tab", "t:u", "t:x", "t:h", "c:a", "c:*", "c:k", "c:z", "c:q", "c:p", "c:f", "c:g"}),

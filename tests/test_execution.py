@@ -6,25 +6,25 @@ from pyspark.sql import functions as F
 
 from tests.conftest import GOLD
 
-ALL = "SELECT name FROM customers"
+ALL = "SELECT title FROM boats"
 
 
 def pairs_df(spark, rows):
     return spark.createDataFrame(
-        [(i, "shop", p, g) for i, (p, g) in enumerate(rows)],
+        [(i, "marina", p, g) for i, (p, g) in enumerate(rows)],
         "i int, db_id string, pred_sql string, gold_sql string",
     )
 
 
 MATCH_CASES = [
-    ("SELECT name FROM customers ORDER BY id", "SELECT name FROM customers ORDER BY name DESC", 1),
-    ("SELECT name FROM customers WHERE city='LA'", ALL, 0),
-    ("SELECT nope FROM customers", "SELECT 1", 0),
+    ("SELECT title FROM boats ORDER BY hull", "SELECT title FROM boats ORDER BY title DESC", 1),
+    ("SELECT title FROM boats WHERE harbour='Riga'", ALL, 0),
+    ("SELECT nope FROM boats", "SELECT 1", 0),
     ("", "SELECT 1", 0),
     (None, "SELECT 1", 0),
     ("CREATE TABLE t(x INT)", "SELECT 1", 0),
-    ("DROP VIEW customers", "SELECT 1", 0),
-    ("WITH a AS (SELECT 1) DELETE FROM customers", "SELECT 1", 0),
+    ("DROP VIEW boats", "SELECT 1", 0),
+    ("WITH a AS (SELECT 1) DELETE FROM boats", "SELECT 1", 0),
     ("SELECT 1; SELECT 1", "SELECT 1", 0),
     ("SELECT 1;", "SELECT 1", 1),
     ("SELECT NULL", "SELECT NULL", 1),
@@ -38,9 +38,9 @@ MATCH_CASES = [
     ("SELECT '1'", "SELECT 1", 0),
     ("SELECT X'31'", "SELECT '1'", 0),
     ("SELECT DOUBLE('NaN')", "SELECT NULL", 1),
-    ("SELECT name, city FROM customers", "SELECT city, name FROM customers", 0),
-    ("SELECT name AS a FROM customers", "SELECT name AS b FROM customers", 1),
-    ("SELECT name, name FROM customers", "SELECT name, name FROM customers", 1),
+    ("SELECT title, harbour FROM boats", "SELECT harbour, title FROM boats", 0),
+    ("SELECT title AS a FROM boats", "SELECT title AS b FROM boats", 1),
+    ("SELECT title, title FROM boats", "SELECT title, title FROM boats", 1),
     ("SELECT 1 WHERE false", "SELECT 1, 2 WHERE false", 1),
     ("SELECT 1 WHERE false", "SELECT 1", 0),
     ("SELECT 1", "SELECT 1, 1", 0),
@@ -73,7 +73,7 @@ def test_match_batch_cases(spark, databases):
 
 
 def test_match_statuses_and_write_leaves_tables_alone(spark, databases):
-    pairs = pairs_df(spark, [("SELECT nope", "SELECT 1"), ("", "SELECT 1"), ("DROP VIEW customers", ALL), (ALL, ALL)])
+    pairs = pairs_df(spark, [("SELECT nope", "SELECT 1"), ("", "SELECT 1"), ("DROP VIEW boats", ALL), (ALL, ALL)])
     rows = {r.i: r for r in ex.match_batch(spark, pairs, databases).collect()}
     assert [rows[i].pred_status for i in range(4)] == ["exec_error", "empty_sql", "exec_error", "ok"]
     assert rows[3].ex == 1
@@ -84,11 +84,11 @@ def test_match_statuses_and_write_leaves_tables_alone(spark, databases):
 
 def test_databases_with_equal_table_names_stay_apart(spark, databases):
     pairs = spark.createDataFrame(
-        [("shop", "SELECT 'Zoe'", ALL), ("club", "SELECT 'Zoe'", ALL)],
+        [("marina", "SELECT 'Zephyr'", ALL), ("quarry", "SELECT 'Zephyr'", ALL)],
         "db_id string, pred_sql string, gold_sql string",
     )
     got = {r.db_id: r.ex for r in ex.match_batch(spark, pairs, databases).collect()}
-    assert got == {"shop": 0, "club": 1}
+    assert got == {"marina": 0, "quarry": 1}
 
 
 def test_pairwise_match_agrees_with_batch_and_is_symmetric(spark, databases):
@@ -121,8 +121,8 @@ def test_timeout_stops_a_runaway_query(spark, databases):
 
 
 def test_executes_ok(spark, databases):
-    texts = ["SELECT 1", "SELECT nope FROM customers", " ", None, "DELETE FROM customers", "WITH a AS (SELECT 1 x) SELECT * FROM a"]
-    df = spark.createDataFrame([(i, "shop", t) for i, t in enumerate(texts)], "i int, db_id string, sql string")
+    texts = ["SELECT 1", "SELECT nope FROM boats", " ", None, "DELETE FROM boats", "WITH a AS (SELECT 1 x) SELECT * FROM a"]
+    df = spark.createDataFrame([(i, "marina", t) for i, t in enumerate(texts)], "i int, db_id string, sql string")
     got = {r.i: r.executes for r in ex.executes_ok(spark, df, databases).collect()}
     assert [got[i] for i in range(6)] == [True, False, False, False, False, True]
 
@@ -135,7 +135,7 @@ def test_first_row_decides_whether_a_query_executes(spark, databases):
 
 
 def test_rewards(spark, databases):
-    preds = [GOLD, ALL, None, " ", "DROP TABLE customers", "DELETE FROM customers", "not sql", "WITH a AS (SELECT 1) DELETE FROM customers"]
+    preds = [GOLD, ALL, None, " ", "DROP TABLE boats", "DELETE FROM boats", "not sql", "WITH a AS (SELECT 1) DELETE FROM boats"]
     scored = ex.with_executes(
         spark, ex.match_batch(spark, pairs_df(spark, [(p, GOLD) for p in preds]), databases), databases
     )
@@ -151,12 +151,12 @@ def test_rewards(spark, databases):
 
 
 def test_score_completions(spark, databases):
-    questions = spark.createDataFrame([(0, "shop", GOLD)], "qid long, db_id string, gold_sql string")
+    questions = spark.createDataFrame([(0, "marina", GOLD)], "qid long, db_id string, gold_sql string")
     from queryscore.functions.messages import MESSAGE
     desc = ("assistant", None, [("c1", "describe_table", "{}")], None, None)
     say = lambda t: ("assistant", t, None, None, None)
     comps = [[say(f"let me think\nFINAL SQL: {GOLD}")], [desc, say(f"FINAL SQL: {ALL}")], [say("no sql here")],
-             [desc, say(f"FINAL SQL: {GOLD}")], [say("FINAL SQL: DELETE FROM customers")]]
+             [desc, say(f"FINAL SQL: {GOLD}")], [say("FINAL SQL: DELETE FROM boats")]]
     df = spark.createDataFrame([(i, 0, c) for i, c in enumerate(comps)], f"i int, qid long, completion array<{MESSAGE}>")
     get = lambda arm: [r.reward for r in sorted(score_completions(spark, df, questions, databases, arm).collect(), key=lambda r: r.i)]
     assert get("r1") == [1.0, 0.0, 0.0, 1.0, 0.0]
@@ -170,7 +170,7 @@ def test_score_completions(spark, databases):
 
 
 def test_gold_filter_and_self_match(spark, databases):
-    rows = [("shop", GOLD), ("shop", " "), ("none", GOLD), ("shop", "SELECT nope"), ("shop", "SELECT 1 WHERE false"), ("shop", None)]
+    rows = [("marina", GOLD), ("marina", " "), ("none", GOLD), ("marina", "SELECT nope"), ("marina", "SELECT 1 WHERE false"), ("marina", None)]
     qs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "qid int, db_id string, gold_sql string")
     got = {r.qid: (r.keep, r.reason) for r in ex.gold_filter(spark, qs, databases).collect()}
     assert [got[i][1] for i in range(6)] == ["ok", "empty_sql", "no_db", "exec_error", "empty_result", "empty_sql"]
@@ -180,11 +180,11 @@ def test_gold_filter_and_self_match(spark, databases):
 
 
 def test_preview(spark, databases):
-    texts = ["SELECT id, name FROM customers ORDER BY id", "SELECT id FROM customers WHERE id > 9", " InSeRt INTO customers VALUES (9)",
+    texts = ["SELECT hull, title FROM boats ORDER BY hull", "SELECT hull FROM boats WHERE hull > 99", " InSeRt INTO boats VALUES (9)",
              "SELECT repeat('x', 300)", "SELECT nope"]
-    df = spark.createDataFrame([(i, "shop", t) for i, t in enumerate(texts)], "i int, db_id string, sql string")
+    df = spark.createDataFrame([(i, "marina", t) for i, t in enumerate(texts)], "i int, db_id string, sql string")
     got = {r.i: r for r in ex.preview(spark, df, databases, max_rows=2).collect()}
-    assert got[0].text == "2 row(s):\n('1', 'Ann')\n('2', 'Bob')\n(showing first 2)" and got[0].truncated
+    assert got[0].text == "2 row(s):\n('1', 'Alba')\n('2', 'Brisa')\n(showing first 2)" and got[0].truncated
     assert got[1].text == "(0 rows)" and not got[1].truncated
     assert got[2].text == "Error: read-only: write statements are rejected"
     assert got[3].text == "1 row(s):\n('" + "x" * 200 + "…',)"
@@ -197,7 +197,7 @@ def test_one_bad_database_touches_only_its_own_texts(spark, databases, db_root,
     (tmp_path / "bad" / "broken.parquet").write_text("not parquet")
     spark.range(3).write.parquet(str(tmp_path / "bad" / "fine.parquet"))
     more = spark.createDataFrame([("bad", str(tmp_path / "bad")), ("gone", str(tmp_path / "gone")), ("odd", "nofs://x/y")], "db_id string, dir string")
-    texts = [("shop", ALL), ("bad", "SELECT id FROM fine"), ("bad", "SELECT * FROM broken"), ("bad", "SELECT * FROM description"), ("gone", ALL), ("odd", "SELECT 1")]
+    texts = [("marina", ALL), ("bad", "SELECT id FROM fine"), ("bad", "SELECT * FROM broken"), ("bad", "SELECT * FROM description"), ("gone", ALL), ("odd", "SELECT 1")]
     pairs = spark.createDataFrame([(i, d, t, t) for i, (d, t) in enumerate(texts)], "i int, db_id string, pred_sql string, gold_sql string")
     got = {r.i: (r.ex, r.pred_status) for r in ex.match_batch(spark, pairs, databases.unionByName(more)).collect()}
     failed = (0, "exec_error")
@@ -209,10 +209,10 @@ def test_queries_see_their_own_database_only(spark, databases, db_root, tmp_path
     spark.sql("CREATE TABLE IF NOT EXISTS stored AS SELECT 1 AS x")
     try:
         texts = [
-            f"SELECT count(*) FROM parquet.`{db_root}/club/customers.parquet`", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+            f"SELECT count(*) FROM parquet.`{db_root}/quarry/boats.parquet`", "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
             "SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT try_reflect('java.lang.System', 'getProperty', 'user.home')",
             "SELECT * FROM global_temp.everyone", "SELECT * FROM stored", "SELECT * FROM spark_catalog.default.stored", f"SELECT * FROM text.`{db_root}`",
-            "SELECT 1 WHERE EXISTS (SELECT * FROM stored)", "SELECT c.name FROM customers AS c JOIN (SELECT * FROM customers) d ON c.name = d.name",
+            "SELECT 1 WHERE EXISTS (SELECT * FROM stored)", "SELECT c.title FROM boats AS c JOIN (SELECT * FROM boats) d ON c.title = d.title",
         ]
         rows = ex.match_batch(spark, pairs_df(spark, [(t, t) for t in texts]), databases).collect()
         assert {r.i: r.pred_status for r in rows} == dict.fromkeys(range(9), "exec_error") | {9: "ok"}
@@ -222,7 +222,7 @@ def test_queries_see_their_own_database_only(spark, databases, db_root, tmp_path
 
 
 def test_texts_that_are_no_sql_have_no_schema_items(spark, databases):
-    scored = ex.match_batch(spark, pairs_df(spark, [("SELECT name FROM customers WHERE (", GOLD), ("SELECT nope FROM customers", GOLD)]), databases)
+    scored = ex.match_batch(spark, pairs_df(spark, [("SELECT title FROM boats WHERE (", GOLD), ("SELECT nope FROM boats", GOLD)]), databases)
     rows = {r.i: r for r in reward_r2(scored.withColumn("executes", F.lit(False))).collect()}
     assert not rows[0].pred_parsed and rows[0].breakdown.schema == 0.0
     assert rows[1].pred_parsed and rows[1].breakdown.schema > 0
@@ -231,8 +231,8 @@ def test_texts_that_are_no_sql_have_no_schema_items(spark, databases):
 def test_errors_are_whole_and_many_outcomes_take_the_same_path(spark, databases, monkeypatch):
     monkeypatch.setattr(ex, "_BATCH_ROWS", 3)
     long = "x" * 500
-    texts = [f"SELECT {i}" for i in range(10)] + [f"SELECT {long} FROM customers", None, "  "]
-    df = spark.createDataFrame([(i, "shop", t) for i, t in enumerate(texts)], "i int, db_id string, sql string")
+    texts = [f"SELECT {i}" for i in range(10)] + [f"SELECT {long} FROM boats", None, "  "]
+    df = spark.createDataFrame([(i, "marina", t) for i, t in enumerate(texts)], "i int, db_id string, sql string")
     got = {r.i: r.text for r in ex.preview(spark, df, databases).collect()}
     assert [got[i] for i in range(10)] == [f"1 row(s):\n('{i}',)" for i in range(10)]
     assert long in got[10] and got[11] == got[12] == "Error: SQL error: empty query"

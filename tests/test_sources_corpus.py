@@ -16,10 +16,10 @@ from tests.conftest import GOLD
 
 def test_read_questions_layouts(spark, tmp_path):
     raw = [
-        {"db_id": "shop", "question": "a", "SQL": "S1", "query": "x", "difficulty": "simple", "evidence": None},
-        {"db_id": "shop", "question": "b", "SQL": "", "query": "S2"},
-        {"db_id": "club", "question": "c", "gold_sql": "S3", "difficulty": "challenging"},
-        {"db_id": "club", "question": "d } ,\n {"},
+        {"db_id": "marina", "question": "a", "SQL": "S1", "query": "x", "difficulty": "simple", "evidence": None},
+        {"db_id": "marina", "question": "b", "SQL": "", "query": "S2"},
+        {"db_id": "quarry", "question": "c", "gold_sql": "S3", "difficulty": "challenging"},
+        {"db_id": "quarry", "question": "d } ,\n {"},
     ]
     files = {
         "jsonl": "\n\n".join(json.dumps(r) for r in raw) + "\n",
@@ -34,7 +34,7 @@ def test_read_questions_layouts(spark, tmp_path):
         assert [r.question for r in rows] == ["a", "b", "c", "d } ,\n {"]
         assert [r.gold_sql for r in rows] == ["S1", "S2", "S3", ""]
         assert [r.difficulty for r in rows] == ["simple", "", "challenging", ""]
-        assert rows[0].db_path == "/root/dbs/shop" and rows[0].evidence == ""
+        assert rows[0].db_path == "/root/dbs/marina" and rows[0].evidence == ""
     qs = rec.read_questions(spark, str(tmp_path / "q-jsonl.json"), "/dbs")
     assert f.filter_difficulty(qs, {"challenging"}).count() == 1
     assert f.filter_difficulty(qs, {""}).count() == 2
@@ -75,7 +75,7 @@ def test_ddl_last_wins_and_results_round_trip(spark, tmp_path):
     got = {r.db_id: r.schema for r in rec.read_ddl(spark, str(tmp_path / "t.json")).collect()}
     assert got == {"a": "CREATE 3", "b": ""}
     results = spark.createDataFrame(
-        [("shop", None, 1, 7.0, (None, 1), 3, True), ("shop", "SELECT 1", 0, 2.5, (1, None), 1, None)],
+        [("marina", None, 1, 7.0, (None, 1), 3, True), ("marina", "SELECT 1", 0, 2.5, (1, None), 1, None)],
         "db_id string, final_sql string, ex int, reward double, breakdown struct<ex_fallback:int,ex:int>, turns int, finished boolean")
     rec.write_jsonl(results.coalesce(1), str(tmp_path / "r"))
     lines = [json.loads(x) for p in (tmp_path / "r").glob("part*") for x in p.read_text().splitlines()]
@@ -84,22 +84,22 @@ def test_ddl_last_wins_and_results_round_trip(spark, tmp_path):
     assert [(r.ex, r.ex_fallback, r.reward) for r in back] == [(1, 1, 7.0), (0, 1, 2.5)]
 
 
-def test_catalog_texts(spark, shop, shop_columns, db_root):
-    assert db.list_tables(shop_columns).first().text == "Tables: customers, orders"
-    text = db.schema_text(shop_columns).first().schema
+def test_catalog_texts(spark, marina, marina_columns, db_root):
+    assert db.list_tables(marina_columns).first().text == "Tables: boats, moorings"
+    text = db.schema_text(marina_columns).first().schema
     assert text == (
-        "CREATE TABLE customers (id BIGINT, name STRING, city STRING)\n"
-        "CREATE TABLE orders (id BIGINT, customer_id BIGINT, amount DOUBLE)")
-    order = {"customers": ["id"], "orders": ["id"]}
-    texts = db.describe_tables(shop_columns, db.table_samples(spark, "shop", shop["shop"], order_by=order))
-    asked = spark.createDataFrame([("shop", "customers"), ("shop", "Customers"), ("shop", "customers') UNION SELECT 1,2--")], "db_id string, table_name string")
+        "CREATE TABLE boats (hull BIGINT, title STRING, harbour STRING)\n"
+        "CREATE TABLE moorings (slip BIGINT, berth BIGINT, fee DOUBLE)")
+    order = {"boats": ["hull"], "moorings": ["slip"]}
+    texts = db.describe_tables(marina_columns, db.table_samples(spark, "marina", marina["marina"], order_by=order))
+    asked = spark.createDataFrame([("marina", "boats"), ("marina", "Boats"), ("marina", "boats') UNION SELECT 1,2--")], "db_id string, table_name string")
     got = {r.table_name: r.text for r in db.describe_requests(asked, texts).collect()}
-    assert got["customers"] == (
-        "Table customers:\ncolumns: id BIGINT, name STRING, city STRING\nsample:\n"
-        "('1', 'Ann', 'NYC')\n('2', 'Bob', 'LA')\n('3', 'Cy', 'NYC')")
-    assert got["Customers"] == "Error: no such table: Customers"
-    assert got["customers') UNION SELECT 1,2--"].startswith("Error: no such table")
-    assert {r.db_id for r in db.find_databases(spark, db_root).collect()} == {"shop", "club"}
+    assert got["boats"] == (
+        "Table boats:\ncolumns: hull BIGINT, title STRING, harbour STRING\nsample:\n"
+        "('1', 'Alba', 'Oslo')\n('2', 'Brisa', 'Riga')\n('3', 'Cirrus', 'Oslo')")
+    assert got["Boats"] == "Error: no such table: Boats"
+    assert got["boats') UNION SELECT 1,2--"].startswith("Error: no such table")
+    assert {r.db_id for r in db.find_databases(spark, db_root).collect()} == {"marina", "quarry"}
 
 
 QUESTION = "qid long, db_id string, question string, gold_sql string, db_path string, evidence string, difficulty string"
@@ -107,29 +107,29 @@ QUESTION = "qid long, db_id string, question string, gold_sql string, db_path st
 
 def questions_df(spark):
     return spark.createDataFrame(
-        [(0, "shop", "names in NYC?", GOLD, "/d/shop", "ev", "simple"),
-         (1, "shop", "spend?", "SELECT sum(amount) FROM ORDERS o JOIN Customers c ON o.customer_id = c.id", "/d/shop", "", "hard"),
-         (2, "shop", "one?", "SELECT 1", "/d/shop", "", ""), (3, "shop", "none?", "", "/d/shop", "", ""),
+        [(0, "marina", "titles in Oslo?", GOLD, "/d/marina", "ev", "simple"),
+         (1, "marina", "spend?", "SELECT sum(fee) FROM MOORINGS o JOIN Boats c ON o.berth = c.hull", "/d/marina", "", "hard"),
+         (2, "marina", "one?", "SELECT 1", "/d/marina", "", ""), (3, "marina", "none?", "", "/d/marina", "", ""),
          (4, "lost", "lost?", "SELECT 1", "/d/lost", "", "")], QUESTION)
 
 
-def test_prompts_and_sft(spark, databases, shop_columns):
+def test_prompts_and_sft(spark, databases, marina_columns):
     qs = questions_df(spark)
     row = c.grpo_dataset(qs).filter("qid = 0").first()
     assert [(x.role, x.content) for x in row.prompt] == [
-        ("system", fv.SYSTEM_PROMPT), ("user", "Question: names in NYC?\nDatabase: shop\nEvidence: ev")]
-    schemas = db.schema_text(shop_columns)
+        ("system", fv.SYSTEM_PROMPT), ("user", "Question: titles in Oslo?\nDatabase: marina\nEvidence: ev")]
+    schemas = db.schema_text(marina_columns)
     sft = {r.qid: r.messages for r in c.sft_examples(qs, schemas, databases).collect()}
     assert set(sft) == {0, 1, 2}
     assert [x.role for x in sft[0]] == ["system", "user", "assistant"]
-    assert sft[0][2].content == "FINAL SQL: " + GOLD and "CREATE TABLE customers" in sft[0][1].content
-    assert sft[0][1].content.endswith("\n\nQuestion: names in NYC?\nEvidence: ev")
+    assert sft[0][2].content == "FINAL SQL: " + GOLD and "CREATE TABLE boats" in sft[0][1].content
+    assert sft[0][1].content.endswith("\n\nQuestion: titles in Oslo?\nEvidence: ev")
     single = {r.qid: r.messages for r in c.singleturn_prompts(qs, schemas).collect()}
     assert len(single[0]) == 2 and single[4][1].content == "Schema:\n\n\nQuestion: lost?"
     synth = spark.createDataFrame(
-        [(0, "shop", "q?", "ev", "step 1", "SELECT a FROM t"), (1, "no", "q?", None, None, "SELECT 2")],
+        [(0, "marina", "q?", "ev", "step 1", "SELECT a FROM t"), (1, "no", "q?", None, None, "SELECT 2")],
         "pos long, db_id string, question string, external_knowledge string, cot string, sql string")
-    ddl = spark.createDataFrame([("shop", "CREATE TABLE t(a INT)")], "db_id string, schema string")
+    ddl = spark.createDataFrame([("marina", "CREATE TABLE t(a INT)")], "db_id string, schema string")
     made = {r.pos: r.messages for r in c.synth_to_sft(synth, ddl).collect()}
     assert made[0][2].content == "step 1\nFINAL SQL: SELECT a FROM t"
     assert made[0][1].content == "Schema:\nCREATE TABLE t(a INT)\n\nQuestion: q?\nEvidence: ev"
@@ -140,17 +140,17 @@ def test_prompts_and_sft(spark, databases, shop_columns):
 
 def test_gold_tables_and_trajectories(spark, db_root, databases):
     qs = questions_df(spark)
-    columns, texts = open_databases(spark, {"shop": f"{db_root}/shop"})
+    columns, texts = open_databases(spark, {"marina": f"{db_root}/marina"})
     got = {r.qid: r.tables for r in c.gold_tables(qs, columns).collect()}
-    assert got[0] == ["customers"] and got[1] == ["orders", "customers"] and got[2] == ["customers", "orders"]
+    assert got[0] == ["boats"] and got[1] == ["moorings", "boats"] and got[2] == ["boats", "moorings"]
     made = {r.qid: r.messages for r in c.agentic_trajectories(qs, databases, columns, texts).collect()}
     assert set(made) == {0, 1, 2}
     roles = [x.role for x in made[1]]
     assert roles == ["system", "user", "assistant", "tool", "assistant", "tool", "tool", "assistant"]
     assert [(t.id, t.name, t.arguments) for t in made[1][4].tool_calls] == [
-        ("call_2", "describe_table", '{"table":"orders"}'), ("call_3", "describe_table", '{"table":"customers"}')]
-    assert made[1][3].content == "Tables: customers, orders" and made[1][3].tool_call_id == "call_1"
-    assert made[1][5].content.startswith("Table orders:\ncolumns: id BIGINT") and made[1][6].tool_call_id == "call_3"
+        ("call_2", "describe_table", '{"table":"moorings"}'), ("call_3", "describe_table", '{"table":"boats"}')]
+    assert made[1][3].content == "Tables: boats, moorings" and made[1][3].tool_call_id == "call_1"
+    assert made[1][5].content.startswith("Table moorings:\ncolumns: slip BIGINT") and made[1][6].tool_call_id == "call_3"
     assert made[0][-1].content == "FINAL SQL: " + GOLD
     counts = c.written_and_skipped(qs, c.agentic_trajectories(qs, databases, columns, texts)).first()
     assert tuple(counts) == (3, 2)

@@ -26,7 +26,7 @@ def turns_df(spark, scripts):
 
 
 SCRIPTS = {
-    "done": [say("sys", "system"), say("q FINAL SQL: no", "user"), tool("describe_table", {"table": "customers"}), say("r", "tool"),
+    "done": [say("sys", "system"), say("q FINAL SQL: no", "user"), tool("describe_table", {"table": "boats"}), say("r", "tool"),
              tool("run_sql", {"query": "SELECT 1"}), say("r", "tool"), say("FINAL SQL: SELECT 2"), tool("run_sql", {"query": "later"})],
     "talk": [say("hm"), say("go on", "user"), say("hm"), say("hm"), say("FINAL SQL: too late")],
     "fall": [tool("run_sql", {"query": "SELECT a"}), tool("run_sql", {"query": ""}), tool("run_sql", "not json"), say("x")],
@@ -84,7 +84,7 @@ def test_hot_rollout_is_trimmed_before_the_shuffle(spark):
 
 
 def test_complete_results(spark):
-    questions = spark.createDataFrame([(i, "shop", f"q{i}") for i in range(3)], "qid long, db_id string, question string")
+    questions = spark.createDataFrame([(i, "marina", f"q{i}") for i in range(3)], "qid long, db_id string, question string")
     results = spark.createDataFrame(
         [(0, "SELECT 1", 1, 1.0, 2, True, None), (1, "x", 1, 1.0, 2, True, "E" * 300)],
         "qid long, final_sql string, ex int, reward double, turns int, finished boolean, error string",
@@ -99,11 +99,11 @@ def test_evaluate_end_to_end(spark, databases):
     scripts = {
         0: [tool("list_tables", {}), say(f"FINAL SQL: {GOLD}")],
         1: [tool("run_sql", {"query": GOLD}), say("hm"), say("hm")],
-        2: [say("FINAL SQL: SELECT name FROM customers")],
+        2: [say("FINAL SQL: SELECT title FROM boats")],
     }
     rows = [(rid, i, *m) for rid, ms in scripts.items() for i, m in enumerate(ms)]
     turns = spark.createDataFrame(rows, SCHEMA.replace("rollout_id string", "rollout_id long"))
-    questions = spark.createDataFrame([(i, "shop", "q", GOLD) for i in range(4)], "qid long, db_id string, question string, gold_sql string")
+    questions = spark.createDataFrame([(i, "marina", "q", GOLD) for i in range(4)], "qid long, db_id string, question string, gold_sql string")
     got = evaluate(spark, turns, questions, databases, "r1", max_turns=3).orderBy("qid").collect()
     assert [(r.ex, r.reward, r.ex_fallback, r.finished, r.turns) for r in got] == [
         (1, 1.0, 1, True, 2), (0, 0.0, 1, False, 3), (0, 0.0, 0, True, 1), (0, 0.0, 0, False, 0)]
