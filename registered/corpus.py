@@ -8,7 +8,7 @@ from queryscore.operators import filters
 from queryscore.sources import database as db
 from queryscore.sources.records import database_path
 from registered import query, table
-from registered.execution import _KEYS
+from registered.execution import HEADERS, KEYS, sample_text
 
 _GOLDS = [
     "SELECT count(*) FROM Orders o JOIN nation n ON o.o_custkey = n.n_nationkey",
@@ -40,14 +40,7 @@ _QUESTIONS = f"""questions AS (SELECT conv_id * 100 + turn AS qid, CASE WHEN con
 _EVIDENCE = "CASE WHEN evidence <> '' THEN chr(10) || 'Evidence: ' || evidence ELSE '' END"
 _SYSTEM = _lit(fv.SYSTEM_PROMPT)
 _ASK = f"'Question: ' || question || chr(10) || 'Database: ' || db_id || {_EVIDENCE}"
-_HEADERS = {
-    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
-    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
-    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
-    "region": "r_regionkey INT, r_name STRING",
-    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
-}
-_SCHEMA = _lit("\n".join(f"CREATE TABLE {t} ({h})" for t, h in _HEADERS.items()))
+_SCHEMA = _lit("\n".join(f"CREATE TABLE {t} ({h})" for t, h in HEADERS.items()))
 _SCHEMA_ASK = f"'Schema:' || chr(10) || schema || chr(10) || chr(10) || 'Question: ' || question || {_EVIDENCE}"
 
 
@@ -67,14 +60,19 @@ def _known(spark):
 
 
 def _tables(spark, sf_dir):
-    session = spark.newSession()
-    return {k: v for k, v in db.register_database(session, sf_dir).items() if k in _KEYS}
+    return db.register_database(spark.newSession(), sf_dir)
 
 
 def _columns(spark, tables):
     return db.columns_catalog(spark, {"tpch": tables})
 
 
+def _described(spark, sf_dir):
+    tables = _tables(spark, sf_dir)
+    columns = _columns(spark, tables)
+    return columns, db.describe_tables(columns, db.table_samples(spark, "tpch", tables, order_by=KEYS))
+
+
 @query(f"WITH {_QUESTIONS} " + _flat_sql("questions", ("system", _SYSTEM), ("user", _ASK)))
 def prompt_messages(spark, sf_dir):
     return _flat(_questions(spark, sf_dir).withColumn("messages", c.prompt_messages()))
@@ -136,52 +134,45 @@ def synth_examples(spark, sf_dir):
 
 
 @query(f"""WITH {_QUESTIONS} SELECT 'gold' AS source, count(*) AS n FROM questions WHERE gold_sql <> '' AND db_id = 'tpch'
+UNION ALL SELECT 'agentic', count(*) FROM questions WHERE gold_sql <> '' AND db_id = 'tpch'
 UNION ALL SELECT 'synth', count(*) FROM documents""")
 def mixed_corpus_counts(spark, sf_dir):
-    schemas = db.schema_text(_columns(spark, _tables(spark, sf_dir)))
+    columns, texts = _described(spark, sf_dir)
+    questions = _questions(spark, sf_dir)
     mixed = c.mix_corpora(
-        gold=c.sft_examples(_questions(spark, sf_dir), schemas, _known(spark)),
+        gold=c.sft_examples(questions, db.schema_text(columns), _known(spark)),
+        agentic=c.agentic_trajectories(questions, _known(spark), columns, texts),
         synth=c.synth_to_sft(_synth(spark, sf_dir), _lang_schemas(spark, sf_dir)),
     )
     return mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_QUESTIONS} SELECT qid, CASE WHEN db_id = 'tpch' THEN CASE kind WHEN 0 THEN 'orders,nation' WHEN 3 THEN 'orders,part' ELSE 'nation,orders,part' END END AS tables FROM questions")
+@query(f"WITH {_QUESTIONS} SELECT qid, CASE WHEN db_id = 'tpch' THEN CASE kind WHEN 0 THEN 'orders,nation' WHEN 3 THEN 'orders,part' ELSE 'benchmark,conversations,customer' END END AS tables FROM questions")
 def gold_tables(spark, sf_dir):
     columns = _columns(spark, _tables(spark, sf_dir))
     return c.gold_tables(_questions(spark, sf_dir), columns).select("qid", F.array_join("tables", ",").alias("tables"))
 
 
-def _sample_sql(name, cells, key):
-    shown = " || ''', ''' || ".join(f"CAST({x} AS VARCHAR)" for x in cells)
-    return (
-        f"SELECT '{name}' AS t, 'Table {name}:' || chr(10) || 'columns: {_HEADERS[name]}' || chr(10) || 'sample:' || chr(10) || "
-        f"string_agg('(''' || {shown} || ''')', chr(10) ORDER BY {key}) AS text FROM (SELECT * FROM {name} ORDER BY {key} LIMIT 3)"
-    )
-
-
-_TEXTS = "texts AS (" + " UNION ALL ".join(
-    _sample_sql(n, [x.split()[0] for x in _HEADERS[n].split(", ")], _KEYS[n]) for n in ("nation", "orders", "part")
-) + ")"
+_TEXTS = "texts AS (SELECT table_name AS t, text FROM (" + " UNION ALL ".join(
+    sample_text(n) for n in ("nation", "orders", "part", "benchmark", "conversations", "customer")
+) + "))"
 
 
 @query(f"""WITH {_QUESTIONS}, {_TEXTS},
-kept AS (SELECT *, CASE kind WHEN 0 THEN ['orders', 'nation'] WHEN 3 THEN ['orders', 'part'] ELSE ['nation', 'orders', 'part'] END AS named
+kept AS (SELECT *, CASE kind WHEN 0 THEN ['orders', 'nation'] WHEN 3 THEN ['orders', 'part'] ELSE ['benchmark', 'conversations', 'customer'] END AS named
     FROM questions WHERE gold_sql <> '' AND db_id = 'tpch'),
 told AS (SELECT qid, unnest(named) AS t, unnest(range(1, len(named) + 1)) AS i FROM kept)
 SELECT qid, 0 AS pos, 'system' AS role, {_SYSTEM} AS content, '' AS calls, NULL AS call_id FROM kept
 UNION ALL SELECT qid, 1, 'user', {_ASK}, '', NULL FROM kept
 UNION ALL SELECT qid, 2, 'assistant', {_lit(fv.LIST_TABLES_TURN)}, 'call_1 {{}}', NULL FROM kept
-UNION ALL SELECT qid, 3, 'tool', 'Tables: nation, orders, part, region, supplier', '', 'call_1' FROM kept
+UNION ALL SELECT qid, 3, 'tool', 'Tables: {', '.join(HEADERS)}', '', 'call_1' FROM kept
 UNION ALL SELECT qid, 4, 'assistant', {_lit(fv.DESCRIBE_TURN)},
     array_to_string(list_transform(range(1, len(named) + 1), lambda i: 'call_' || (i + 1) || ' {{"table":"' || named[i] || '"}}'), ','), NULL FROM kept
 UNION ALL SELECT qid, CAST(4 + i AS INT), 'tool', text, '', 'call_' || (i + 1) FROM told JOIN texts USING (t)
 UNION ALL SELECT qid, CAST(5 + len(named) AS INT), 'assistant', 'FINAL SQL: ' || gold_sql, '', NULL FROM kept""")
 def agentic_trajectories(spark, sf_dir):
-    tables = _tables(spark, sf_dir)
-    columns = _columns(spark, tables)
-    samples = db.table_samples(spark, "tpch", tables, order_by={k: [v] for k, v in _KEYS.items()})
-    made = c.agentic_trajectories(_questions(spark, sf_dir), _known(spark), columns, db.describe_tables(columns, samples))
+    columns, texts = _described(spark, sf_dir)
+    made = c.agentic_trajectories(_questions(spark, sf_dir), _known(spark), columns, texts)
     rows = made.select("qid", F.posexplode("messages").alias("pos", "m"))
     calls = F.transform(
         F.coalesce("m.tool_calls", F.array().cast("array<struct<id:string,name:string,arguments:string>>")),
@@ -192,6 +183,14 @@ def agentic_trajectories(spark, sf_dir):
     )
 
 
+@query(f"""WITH {_QUESTIONS} SELECT count(*) FILTER (WHERE gold_sql <> '' AND db_id = 'tpch') AS written,
+    count(*) FILTER (WHERE gold_sql = '' OR db_id <> 'tpch') AS skipped FROM questions""")
+def trajectories_written_and_skipped(spark, sf_dir):
+    columns, texts = _described(spark, sf_dir)
+    questions = _questions(spark, sf_dir)
+    return c.written_and_skipped(questions, c.agentic_trajectories(questions, _known(spark), columns, texts))
+
+
 @query("""SELECT doc_id, lang, md5(text) AS digest FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS m FROM (
     SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 30) WHERE m <= 120""")
 def stratified_head(spark, sf_dir):

@@ -233,29 +233,48 @@ def table_preview(spark, sf_dir):
     return ex.preview(spark, asked, tpch(spark, sf_dir)).select("id", "text", "truncated")
 
 
-def _described(name, header, cells, key):
-    shown = " || ''', ''' || ".join(f"CAST({c} AS VARCHAR)" for c in cells)
+# The driver's tables as the catalog shows them, and columns that order each definitely.
+HEADERS = {
+    "benchmark": "item_id BIGINT, text STRING",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "region": "r_regionkey INT, r_name STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+}
+_WHOLE = {"conversations": ["conv_id", "turn", "role", "text"], "lineitem": [c.split()[0] for c in HEADERS["lineitem"].split(", ")]}
+KEYS = {name: _WHOLE.get(name, [header.split()[0]]) for name, header in HEADERS.items()}
+
+
+def sample_text(name):
+    """SQL: (table_name, text) of a table's description."""
+    cells = [f"CAST({c.split()[0]} AS VARCHAR)" for c in HEADERS[name].split(", ")]
+    cut = [f"CASE WHEN {c} IS NULL THEN 'NULL' WHEN length({c}) > 200 THEN left({c}, 200) || '…' ELSE {c} END" for c in cells]
+    escaped = [f"replace(replace(replace(replace({c}, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't')" for c in cut]
+    # quoted like a Python text: in double quotes if it holds single ones only
+    quoted = [
+        f"CASE WHEN contains({c}, chr(39)) AND NOT contains({c}, chr(34)) THEN chr(34) || {c} || chr(34) "
+        f"ELSE chr(39) || replace({c}, chr(39), chr(92) || chr(39)) || chr(39) END" for c in escaped
+    ]
+    shown = " || ', ' || ".join(quoted)
+    key = ", ".join(KEYS[name])
     return (
-        f"SELECT '{name}' AS table_name, 'Table {name}:' || chr(10) || 'columns: {header}' || chr(10) || 'sample:' || chr(10) || "
-        f"string_agg('(''' || {shown} || ''')', chr(10) ORDER BY {key}) AS text FROM (SELECT * FROM {name} ORDER BY {key} LIMIT 3)"
+        f"SELECT '{name}' AS table_name, 'Table {name}:' || chr(10) || 'columns: {HEADERS[name]}' || chr(10) || 'sample:' || chr(10) || "
+        f"string_agg('(' || {shown} || ')', chr(10) ORDER BY {key}) AS text FROM (SELECT * FROM {name} ORDER BY {key} LIMIT 3)"
     )
 
 
-_KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "supplier": "s_suppkey", "orders": "o_orderkey", "part": "p_partkey"}
-
-
-@query(" UNION ALL ".join([
-    _described("region", "r_regionkey INT, r_name STRING", ["r_regionkey", "r_name"], "r_regionkey"),
-    _described("nation", "n_nationkey INT, n_name STRING, n_regionkey INT", ["n_nationkey", "n_name", "n_regionkey"], "n_nationkey"),
-    _described("supplier", "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE", ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "s_suppkey"),
-    _described("orders", "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
-               ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"], "o_orderkey"),
-    _described("part", "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
-               ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "p_partkey"),
-]))
+# Embeddings are left out here only: small floats have another text form in SQL.
+@query(" UNION ALL ".join(sample_text(name) for name in HEADERS if name != "embeddings"))
 def describe_tables(spark, sf_dir):
-    session = spark.newSession()
-    tables = {k: v for k, v in db.register_database(session, sf_dir).items() if k in _KEYS}
-    columns = db.columns_catalog(spark, {"tpch": tables})
-    samples = db.table_samples(spark, "tpch", tables, order_by={k: [v] for k, v in _KEYS.items()})
-    return db.describe_tables(columns, samples).select("table_name", "text")
+    tables = db.register_database(spark.newSession(), sf_dir)
+    samples = db.table_samples(spark, "tpch", tables, order_by=KEYS)
+    return db.describe_tables(db.columns_catalog(spark, {"tpch": tables}), samples).select("table_name", "text").where("table_name <> 'embeddings'")
