@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queryscore.llm import decision_list, decontaminate, mixture, near_dedup, pii, quality_fm, substring_dedup, toxicity, warc
+from queryscore.llm import decision_list, decontaminate, licences, mixture, near_dedup, pii, quality_fm, substring_dedup, toxicity, warc
 from queryscore.llm.scratch import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,32 @@ def op1_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"regexp_replace(lower(coalesce({text}, '')), '{licences._COPYRIGHT_LINE}', '', 'g')"
+    out = rf"' ' || trim(regexp_replace(replace({out}, '&', ' and '), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+    for one, other in licences.SPELLINGS:
+        out = f"replace({out}, ' {one} ', ' {other} ')"
+    return f"trim({out})"
+
+
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licences.KNOWN)
+
+
+@query(oracle=f"""
+WITH known AS (
+    SELECT sha256({_canonical_sql('t')}) AS digest, min(licence) AS licence FROM (VALUES {_KNOWN_SQL}) k(licence, t) GROUP BY 1
+), digested AS (
+    SELECT row_number() OVER () AS r, doc_id, text, sha256({_canonical_sql('text')}) AS text_digest FROM documents
+), noticed AS (
+    SELECT r, list_sort(list_distinct(list(licence))) AS names FROM (
+        SELECT r, unnest(string_split(text, chr(10))) AS line FROM digested
+    ) JOIN known ON digest = sha256({_canonical_sql('line')}) WHERE regexp_matches(line, '{licences._SPEAKS}') GROUP BY r
+)
+SELECT doc_id, text_digest, licence, coalesce(array_to_string(names, ','), '') AS notices
+FROM digested LEFT JOIN known ON text_digest = digest LEFT JOIN noticed USING (r)
+""")
+def op2_canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licences.scan(docs, licences.builtin(spark), ["doc_id"])
