@@ -11,25 +11,23 @@ from queryscore.llm.scratch import kept
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its component.
 
-    Alternates large and small stars: every node hands its larger neighbours to its smallest one,
-    then its smaller ones. Rows per node are only ever aggregated to a minimum or joined to it, so
-    a node with many neighbours is spread like any hot join key. The rounds grow with the
-    logarithm of the longest chain; each is written, so a lost executor repeats one step.
+    Each round hooks every root to the smallest root next to it and contracts the edges to those
+    between different roots, at least halving the roots that have any. Rows per node are only
+    aggregated to a minimum or joined to one, so a node with many neighbours is spread like any hot
+    join key. Each round is written, so a lost executor repeats one step.
     """
-    edges = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+
+    def lowest(e: DataFrame) -> DataFrame:
+        both = e.union(e.select("b", "a"))
+        return both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
+
+    roots = kept(lowest(edges).select(F.col("a").alias("node"), F.col("low").alias("root")), "roots")
     while True:
-        both = edges.union(edges.select("v", "u"))
-        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = kept(
-            both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large"
-        )
-        least = kept(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select(
-            F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        ).select("e.*").where("u <> v").distinct()
-        small = kept(small, "small")
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
-            break
-        edges = small
-    roots = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+        of = lambda side, name: roots.select(F.col("node").alias(side), F.col("root").alias(name))
+        across = edges.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y")
+        edges = kept(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
+            return roots
+        low = lowest(edges).withColumnRenamed("a", "root")
+        roots = kept(roots.join(low, "root", "left").select("node", F.coalesce("low", "root").alias("root")), "roots")

@@ -9,7 +9,7 @@ early, once every register of the text is taken; later arrivals cannot change it
 Runs of registers form bands. Texts that share a band are candidates; a candidate pair is a link
 when its similarity, computed from the shingles themselves, is at least ``SIMILARITY``. Within a
 band's bucket not all pairs are formed: its texts are compared with one leader, and what stays
-unconnected to its leader is compared with new leaders in further rounds, for as long as a round
+unconnected to its leader is compared with other leaders in further turns, for as long as a turn
 still finds links. Classes are the connected components of the links.
 """
 
@@ -30,6 +30,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
+#: Leaders that a bucket has in turn 1; each further turn has twice as many.
+LEADERS = 4
 #: Arrivals up to the first horizon, per register; a text that has an empty register goes on.
 HORIZON = np.log(REGISTERS) + 1.5
 
@@ -170,21 +172,21 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of verified links between different nodes, and (node, root) of the nodes that have one."""
+    """(a, b) of verified links between different nodes, and (node, root) of the nodes that share a bucket."""
     member = signs.where("NOT empty").select("node", F.explode("bands").alias("band"))
     shared = kept(
-        member.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("_most"))
-        .where("leader < _most").drop("_most"), "buckets",
+        member.groupBy("band").agg(F.min("node").alias("_least"), F.max("node").alias("_most"))
+        .where("_least < _most").select("band"), "buckets",
     )
-    members = kept(member.join(shared.select("band"), "band").distinct(), "members")
+    members = kept(member.join(shared, "band").distinct(), "members")
     # one row of each node that may have a link stands for its text
-    chosen = members.select("node").distinct()
+    roots = kept(members.select("node").distinct().withColumn("root", F.col("node")), "roots")
     row = F.min(F.struct("doc_id", "digest")).alias("row")
-    speakers = kept(signs.join(chosen, "node", "left_semi").groupBy("node").agg(row).select(
+    speakers = signs.join(roots.select("node"), "node", "left_semi").groupBy("node").agg(row).select(
         "node", F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")
-    ), "speakers")
+    )
     texts = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(speakers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    texts = texts.join(kept(speakers, "speakers"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
     texts = kept(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -194,30 +196,40 @@ def links(docs: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
         )
         return kept(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long, link boolean"), "verified")
 
-    # first every text with the smallest leader it has
-    first = members.join(shared, "band").where("node <> leader").groupBy("node").agg(F.min("leader").alias("b"))
-    tried = verify(first.select(F.col("node").alias("a"), "b"))
-    roots = kept(components(tried.where("link").select("a", "b")), "roots")
-    turn = 0
-    while True:
-        turn += 1
-        rooted = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        open_ = rooted.groupBy("band").agg(F.min("root").alias("_least"), F.max("root").alias("_most")).where("_least < _most").select("band")
-        members = kept(rooted.select("band", "node").join(open_, "band"), "members")
-        rooted = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        lead = F.min_by(F.struct("node", "root"), F.xxhash64("node", "band", F.lit(turn))).alias("lead")
-        pairs = rooted.join(rooted.groupBy("band").agg(lead), "band").where("root <> lead.root").select(
-            F.greatest("node", "lead.node").alias("a"), F.least("node", "lead.node").alias("b")
+    def led(turn: int) -> DataFrame:
+        """(node, leader, leader's root, k, bands) of texts that are not connected to a leader of their bucket.
+
+        The leader of turn 0 is the smallest node; later turns have twice as many each, in random orders, so
+        the turns grow with the logarithm of the largest bucket at most.
+        """
+        rooted = members.join(roots, "node")
+        orders = [F.col("node")] if turn == 0 else [F.xxhash64("node", "band", F.lit(turn), F.lit(k)) for k in range(LEADERS << (turn - 1))]
+        leads = rooted.groupBy("band").agg(
+            F.array(*[F.min_by(F.struct("node", "root"), order) for order in orders]).alias("leads"),
+            F.min("root").alias("_least"), F.max("root").alias("_most"),
+        ).where("_least < _most")
+        each = rooted.join(leads.select("band", "leads"), "band").select("node", "root", F.posexplode("leads").alias("k", "lead"))
+        apart = each.where("root <> lead.root")
+        return apart.groupBy("node", F.col("lead.node").alias("leader"), F.col("lead.root").alias("root"), "k").agg(F.count(F.lit(1)).alias("bands"))
+
+    def pairs(found: DataFrame, per: list[str]) -> DataFrame:
+        """Of the leaders of each ``per``, the one that shares most bands."""
+        best = F.max_by("leader", F.struct("bands", "leader")).alias("leader")
+        return found.groupBy(*per).agg(best).select(
+            F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")
         ).distinct()
-        known = tried.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        fresh = kept(pairs.join(known, ["a", "b"], "left_anti"), "pairs")
-        if fresh.isEmpty():
-            break
-        result = verify(fresh)
-        tried = kept(tried.unionByName(result), "tried")
-        if result.where("link").isEmpty() and turn > 1:
-            break
-        roots = kept(components(tried.where("link").select("a", "b")), "roots")
+
+    # the first turn compares each text with one leader, each later one with some of every other class
+    tried = verify(pairs(led(0), ["node"]))
+    new, turn = tried.where("link").select("a", "b"), 0
+    while turn == 0 or not new.isEmpty():
+        side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
+        across = new.join(side("a"), "a").join(side("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        merged = components(across).select(F.col("node").alias("root"), F.col("root").alias("_low"))
+        roots = kept(roots.join(merged, "root", "left").select("node", F.coalesce("_low", "root").alias("root")), "roots")
+        turn += 1
+        result = verify(pairs(led(turn), ["node", "root", "k"]).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+        tried, new = tried.unionByName(result), result.where("link").select("a", "b")
     return tried.where("link").select("a", "b"), roots
 
 
