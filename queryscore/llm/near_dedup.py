@@ -30,8 +30,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
-#: Leaders that a bucket has in turn 1; each further turn has twice as many.
-LEADERS = 4
+#: Leaders that a bucket has in each turn after the first.
+LEADERS = 3
 #: Arrivals up to the first horizon, per register; a text that has an empty register goes on.
 HORIZON = np.log(REGISTERS) + 1.5
 
@@ -199,11 +199,10 @@ def links(docs: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
     def led(turn: int) -> DataFrame:
         """(node, leader, leader's root, k, bands) of texts that are not connected to a leader of their bucket.
 
-        The leader of turn 0 is the smallest node; later turns have twice as many each, in random orders, so
-        the turns grow with the logarithm of the largest bucket at most.
+        The leader of turn 0 is the smallest node; later turns have ``LEADERS`` in random orders each.
         """
         rooted = members.join(roots, "node")
-        orders = [F.col("node")] if turn == 0 else [F.xxhash64("node", "band", F.lit(turn), F.lit(k)) for k in range(LEADERS << (turn - 1))]
+        orders = [F.col("node")] if turn == 0 else [F.xxhash64("node", "band", F.lit(turn), F.lit(k)) for k in range(LEADERS)]
         leads = rooted.groupBy("band").agg(
             F.array(*[F.min_by(F.struct("node", "root"), order) for order in orders]).alias("leads"),
             F.min("root").alias("_least"), F.max("root").alias("_most"),
