@@ -14,7 +14,8 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hooks every root to the smallest root next to it and contracts the edges to those
     between different roots, at least halving the roots that have any. Rows per node are only
     aggregated to a minimum or joined to one, so a node with many neighbours is spread like any hot
-    join key. Each round is written, so a lost executor repeats one step.
+    join key. Each round is written, so a lost executor repeats one step. A node that hooked to a root
+    which hooked on by itself is left behind it; such paths are halved at the end until none is left.
     """
     edges = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
@@ -28,6 +29,12 @@ def components(edges: DataFrame) -> DataFrame:
         across = edges.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y")
         edges = kept(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
         if edges.isEmpty():
-            return roots
+            break
         low = lowest(edges).withColumnRenamed("a", "root")
         roots = kept(roots.join(low, "root", "left").select("node", F.coalesce("low", "root").alias("root")), "roots")
+    while True:
+        up = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
+        higher = kept(roots.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "roots")
+        roots = higher.select("node", "root")
+        if higher.where("moved").isEmpty():
+            return roots

@@ -7,10 +7,10 @@ similarity of their weights. Arrivals are drawn in order of time up to a horizon
 early, once every register of the text is taken; later arrivals cannot change it.
 
 Runs of registers form bands. Texts that share a band are candidates; a candidate pair is a link
-when its similarity, computed from the shingles themselves, is at least ``SIMILARITY``. Within a
-band's bucket not all pairs are formed: its texts are compared with one leader, and what stays
-unconnected to its leader is compared with other leaders in further turns, for as long as a turn
-still finds links. Classes are the connected components of the links.
+when its similarity, computed from the shingles themselves, is at least ``SIMILARITY``. Classes are
+the connected components of the links between all candidates. Pairs inside a class cannot change it
+and are not all formed: the texts of a bucket are first compared with leaders, which joins most of
+them; then every pair that shares a bucket and still lies in two classes is compared.
 """
 
 from __future__ import annotations
@@ -32,6 +32,12 @@ BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
 #: Leaders that a bucket has in each turn after the first.
 LEADERS = 3
+#: With at most so many pairs across classes per text, all of them are compared without further turns.
+FEW = 8
+#: Texts of the two sides that are compared with each other in one block.
+HUBS, SPOKES = 32, 256
+#: Pairs that one key of the join within a bucket makes.
+BUCKET_PAIRS = 200_000
 #: Arrivals up to the first horizon, per register; a text that has an empty register goes on.
 HORIZON = np.log(REGISTERS) + 1.5
 
@@ -150,19 +156,28 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def sets(texts: pa.Array) -> list:
-        out = []
-        for first, behind, data, bounds in chunks(texts):
-            doc, shingle, weight = shingles(words_of(data, bounds))
-            cuts = np.searchsorted(doc, np.arange(behind - first + 1))
-            out += [(shingle[x:y], weight[x:y]) for x, y in zip(cuts, cuts[1:])]
-        return out
-
+    """Rows come by block, its hubs before its spokes; only the hubs of one block are held."""
+    block, held = None, {}
     for batch in batches:
-        for k in range(0, batch.num_rows, 256):
-            part = batch.slice(k, 256)
-            yes = [similar(a, b) for a, b in zip(sets(part.column("text_a")), sets(part.column("text_b")))]
-            yield pa.RecordBatch.from_arrays([*part.select(["a", "b"]).columns, pa.array(yes, pa.bool_())], names=["a", "b", "link"])
+        for k in range(0, batch.num_rows, SPOKES):
+            part = batch.slice(k, SPOKES)
+            sets = []
+            for first, behind, data, bounds in chunks(part.column("text")):
+                doc, shingle, weight = shingles(words_of(data, bounds))
+                cuts = np.searchsorted(doc, np.arange(behind - first + 1))
+                sets += [(shingle[x:y], weight[x:y]) for x, y in zip(cuts, cuts[1:])]
+            spokes, hubs, yes = [], [], []
+            for at, node, asked, own in zip(*[part.column(c).to_pylist() for c in ("block", "node", "hubs")], sets):
+                if at != block:
+                    block, held = at, {}
+                if asked is None:
+                    held[node] = own
+                    continue
+                spokes += [node] * len(asked)
+                hubs += asked
+                yes += [similar(own, held[hub]) for hub in asked]
+            columns = [pa.array(spokes, pa.int64()), pa.array(hubs, pa.int64()), pa.array(yes, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["spoke", "hub", "link"])
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -175,12 +190,15 @@ def links(docs: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(a, b) of verified links between different nodes, and (node, root) of the nodes that share a bucket."""
     member = signs.where("NOT empty").select("node", F.explode("bands").alias("band"))
     shared = kept(
-        member.groupBy("band").agg(F.min("node").alias("_least"), F.max("node").alias("_most"))
-        .where("_least < _most").select("band"), "buckets",
+        member.groupBy("band").agg(F.min("node").alias("_least"), F.max("node").alias("_most"), F.count(F.lit(1)).alias("size"))
+        .where("_least < _most").select("band", "size"), "buckets",
     )
-    members = kept(member.join(shared, "band").distinct(), "members")
+    members = kept(member.distinct().join(shared, "band"), "members")
+    # a text that shares bands with many others, such as an original with its copies, leads
+    crowd = kept(members.groupBy("node").agg(F.sum("size").alias("crowd")), "crowds")
+    members = kept(members.join(crowd, "node").select("node", "band", "crowd"), "members")
     # one row of each node that may have a link stands for its text
-    roots = kept(members.select("node").distinct().withColumn("root", F.col("node")), "roots")
+    roots = kept(crowd.select("node", F.col("node").alias("root")), "roots")
     row = F.min(F.struct("doc_id", "digest")).alias("row")
     speakers = signs.join(roots.select("node"), "node", "left_semi").groupBy("node").agg(row).select(
         "node", F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")
@@ -189,46 +207,84 @@ def links(docs: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = texts.join(kept(speakers, "speakers"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
     texts = kept(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        both = (
-            pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        )
-        return kept(both.select("a", "b", "text_a", "text_b").mapInArrow(_verified, "a long, b long, link boolean"), "verified")
+    def verify(pairs: DataFrame, home: str) -> DataFrame:
+        """(a, b, link) of pairs (spoke, hub); those with the same ``home`` meet in blocks of few hubs and spokes."""
+        pairs = kept(pairs, "pairs")
+        count = pairs.groupBy(home).agg(*[F.approx_count_distinct(c).alias(f"_{c}s") for c in ("hub", "spoke")])
+        slot = lambda c, size: F.pmod(F.xxhash64(c, F.lit(size)), F.ceil(F.col(f"_{c}s") / size))
+        placed = pairs.join(count, home).select(F.xxhash64(home, slot("hub", HUBS), slot("spoke", SPOKES)).alias("block"), "hub", "spoke")
+        asked = placed.groupBy("block", F.col("spoke").alias("node")).agg(F.collect_set("hub").alias("hubs"))
+        hubs = placed.select("block", F.col("hub").alias("node"), F.lit(None).cast("array<long>").alias("hubs")).distinct()
+        rows = asked.unionByName(hubs).join(texts, "node").select("block", "node", "hubs", "text")
+        rows = rows.repartition("block").sortWithinPartitions("block", F.col("hubs").isNotNull())
+        compared = rows.mapInArrow(_verified, "spoke long, hub long, link boolean")
+        return kept(compared.select(F.greatest("spoke", "hub").alias("a"), F.least("spoke", "hub").alias("b"), "link"), "verified")
 
     def led(turn: int) -> DataFrame:
-        """(node, leader, leader's root, k, bands) of texts that are not connected to a leader of their bucket.
+        """(spoke, hub) of texts and the leaders of their buckets that they are not connected to.
 
-        The leader of turn 0 is the smallest node; later turns have ``LEADERS`` in random orders each.
+        The leader of turn 0 is the text with the largest crowd, and a text takes the one it shares most
+        bands with; later turns have ``LEADERS`` in random orders, one of every other class for each.
         """
         rooted = members.join(roots, "node")
-        orders = [F.col("node")] if turn == 0 else [F.xxhash64("node", "band", F.lit(turn), F.lit(k)) for k in range(LEADERS)]
+        orders = [F.struct(-F.col("crowd"), "node")] if turn == 0 else [F.xxhash64("node", "band", F.lit(turn), F.lit(k)) for k in range(LEADERS)]
         leads = rooted.groupBy("band").agg(
             F.array(*[F.min_by(F.struct("node", "root"), order) for order in orders]).alias("leads"),
             F.min("root").alias("_least"), F.max("root").alias("_most"),
         ).where("_least < _most")
         each = rooted.join(leads.select("band", "leads"), "band").select("node", "root", F.posexplode("leads").alias("k", "lead"))
         apart = each.where("root <> lead.root")
-        return apart.groupBy("node", F.col("lead.node").alias("leader"), F.col("lead.root").alias("root"), "k").agg(F.count(F.lit(1)).alias("bands"))
-
-    def pairs(found: DataFrame, per: list[str]) -> DataFrame:
-        """Of the leaders of each ``per``, the one that shares most bands."""
-        best = F.max_by("leader", F.struct("bands", "leader")).alias("leader")
-        return found.groupBy(*per).agg(best).select(
-            F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")
-        ).distinct()
-
-    # the first turn compares each text with one leader, each later one with some of every other class
-    tried = verify(pairs(led(0), ["node"]))
-    new, turn = tried.where("link").select("a", "b"), 0
-    while turn == 0 or not new.isEmpty():
+        found = apart.groupBy("node", F.col("lead.node").alias("leader"), F.col("lead.root").alias("root"), "k").agg(F.count(F.lit(1)).alias("bands"))
+        best = F.max_by("leader", F.struct("bands", "leader")).alias("hub")
+        return found.groupBy("node", *(["root", "k"] if turn else [])).agg(best).select(F.col("node").alias("spoke"), "hub")
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        """Each pair once, in one of its orders."""
+        named = pairs.withColumn("a", F.greatest("spoke", "hub")).withColumn("b", F.least("spoke", "hub"))
+        named = named.dropDuplicates(["a", "b"])
+        return (named if tried is None else named.join(tried.select("a", "b"), ["a", "b"], "left_anti")).drop("a", "b")
+
+    def mixed() -> tuple[DataFrame, int]:
+        """(band, main, salts) of buckets of several classes, main being the largest; and the pairs across classes in them."""
+        each = members.join(roots, "node").groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+        whole = each.groupBy("band").agg(
+            F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"),
+            F.max("n").alias("most"), F.sum(F.col("n") * F.col("n")).alias("within"),
+        ).where("most < n")
+        across = F.ceil((F.col("n") - F.col("most")) * F.col("n") / BUCKET_PAIRS)
+        whole = kept(whole.select("band", "main", across.cast("int").alias("salts"), ((F.col("n") * F.col("n") - F.col("within")) / 2).alias("pairs")), "mixed")
+        return whole, whole.agg(F.sum("pairs")).first()[0] or 0
+
+    def across(buckets: DataFrame) -> DataFrame:
+        """(spoke, hub, home) of all pairs that share a bucket and lie in different classes; hubs are not of the main class."""
+        rooted = members.join(roots, "node").join(buckets, "band").select("band", "node", "root", "main", "salts")
+        hubs = rooted.where("root <> main").select("band", F.col("node").alias("hub"), F.col("root").alias("_root"), F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"))
+        spokes = rooted.select("band", F.col("node").alias("spoke"), F.col("root").alias("home"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+        return hubs.join(spokes, ["band", "salt"]).where("_root <> home").select("spoke", "hub", "home").distinct()
+
+    def merged(links: DataFrame) -> DataFrame:
         side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
-        across = new.join(side("a"), "a").join(side("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
-        merged = components(across).select(F.col("node").alias("root"), F.col("root").alias("_low"))
-        roots = kept(roots.join(merged, "root", "left").select("node", F.coalesce("_low", "root").alias("root")), "roots")
+        edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+        low = components(edges).select(F.col("node").alias("root"), F.col("root").alias("_low"))
+        return kept(roots.join(low, "root", "left").select("node", F.coalesce("_low", "root").alias("root")), "roots")
+
+    tried, turn = None, 0
+    tried = verify(untried(led(0)), "hub")
+    new = tried.where("link")
+    while True:
+        if not new.isEmpty():
+            roots = merged(new)
+        buckets, pairs = mixed()
+        if new.isEmpty() or pairs <= FEW * roots.count():
+            break
         turn += 1
-        result = verify(pairs(led(turn), ["node", "root", "k"]).join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-        tried, new = tried.unionByName(result), result.where("link").select("a", "b")
+        result = verify(untried(led(turn)), "hub")
+        tried, new = tried.unionByName(result), result.where("link")
+    if pairs:
+        result = verify(untried(across(buckets)), "home")
+        tried, new = tried.unionByName(result), result.where("link")
+        if not new.isEmpty():
+            roots = merged(new)
     return tried.where("link").select("a", "b"), roots
 
 

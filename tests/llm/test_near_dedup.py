@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 
 from queryscore.llm import near_dedup
+from queryscore.llm.graph import components
 from queryscore.llm.tokens import chunks, words_of
 
 
@@ -71,3 +72,50 @@ def test_empty_table_and_null_ids(documents):
     assert near_dedup.keep_first(documents([])).count() == 0
     rows = near_dedup.classes(documents([(None, "a b c d e f"), (None, "a b c d e f"), (1, "g")])).collect()
     assert sorted((r.class_id is None, r.copies) for r in rows) == [(False, 1), (True, 2), (True, 2)]
+
+
+def _components(texts):
+    """The smallest number of each text's class, from all pairs that share a band."""
+    sets = _sets(texts)
+    bands = [set(k) for k in near_dedup.bands(np.array([s[2] for s in sets])).tolist()]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if bands[i] & bands[j] and near_dedup.similar(sets[i][:2], sets[j][:2]):
+                low, high = sorted((top(i), top(j)))
+                root[high] = low
+    return [top(i) for i in range(len(texts))]
+
+
+def _edited(words, at, name):
+    return [f"{w}{name}" if i in at else w for i, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("shape", ["star", "chain"])
+def test_classes_of_large_groups_equal_brute_force(documents, prose, shape):
+    rng = np.random.default_rng(7)
+    base = prose(200, 5, 10_000)
+    if shape == "chain":
+        texts, words = [], list(base)
+        for step in range(300):
+            words = _edited(words, {int(rng.integers(200)), int(rng.integers(200))}, "x")
+            texts.append(words)
+    else:  # copies reach 0.8 to their original and not to each other
+        texts = [_edited(base, set(rng.permutation(200)[:4].tolist()), f"e{k}") for k in range(300)] + [base]
+    texts = [" ".join(texts[k]) for k in rng.permutation(len(texts))]
+    expected = _components(texts)
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(documents(list(enumerate(texts)))).collect()}
+    assert [found[k] for k in range(len(texts))] == expected
+    assert len(set(expected)) == 1
+
+
+def test_components_of_paths_have_one_root(spark):
+    edges = [(i, i + 1) for i in range(1, 12)] + [(20 + i * 7 % 11, 20 + (i + 1) * 7 % 11) for i in range(10)]
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {i: 1 for i in range(1, 13)} | {i: 20 for i in range(20, 31)}
