@@ -6,7 +6,8 @@ register keeps its first arrival. Two texts agree in a register with the probabi
 similarity of their weights. Arrivals are drawn in order of time up to a horizon and drawing ends
 early, once every register of the text is taken; later arrivals cannot change it.
 
-Runs of registers form bands. Texts that share a band are candidates; a candidate pair is a link
+Runs of registers form bands; a text that repeats shingles has a second set of bands from weights of
+1, so that pairs that only reach the plain Jaccard similarity meet as well. Texts that share a band are candidates; a candidate pair is a link
 when its similarity, computed from the shingles themselves, is at least ``SIMILARITY``. Classes are
 the connected components of the links between all candidates. Pairs inside a class cannot change it
 and are not all formed: the texts of a bucket are first compared with leaders, which joins most of
@@ -147,8 +148,17 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, behind, data, bounds in chunks(batch.column("text")):
             doc, shingle, weight = shingles(words_of(data, bounds))
             n = behind - first
-            keys = bands(signatures(doc, shingle, weight, n)).view(np.int64)
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), BANDS).cast(pa.list_(pa.int64()))
+            keys = bands(signatures(doc, shingle, weight, n))
+            # without repetition the bands of both weightings are the same
+            repeats = np.bincount(doc, weight > 1, n) > 0
+            own = repeats[doc]
+            place = np.cumsum(repeats) - 1
+            plain = np.zeros_like(keys)
+            plain[repeats] = bands(signatures(place[doc[own]], shingle[own], np.ones(own.sum(), np.int64), int(repeats.sum())))
+            there = np.repeat(np.column_stack([np.ones(n, bool), repeats]), BANDS, axis=1)
+            ends = np.append(0, np.cumsum(there.sum(axis=1)))
+            values = np.concatenate([keys, plain], axis=1)[there].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
             node = pa.array(_fingerprints(doc, shingle, weight, n).view(np.int64))
             own = batch.slice(first, n).select(["doc_id", "digest"]).columns
             empty = pa.array(np.bincount(doc, minlength=n) == 0)

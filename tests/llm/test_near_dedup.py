@@ -119,3 +119,15 @@ def test_components_of_paths_have_one_root(spark):
     edges = [(i, i + 1) for i in range(1, 12)] + [(20 + i * 7 % 11, 20 + (i + 1) * 7 % 11) for i in range(10)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 1 for i in range(1, 13)} | {i: 20 for i in range(20, 31)}
+
+
+def test_texts_that_differ_in_repetition_only_share_a_band(prose):
+    line = prose(10, 99, 10_000)
+    for seed in range(20):
+        words = prose(400, seed, 10_000)
+        texts = [" ".join(words + line * 40), " ".join(words + line), "a b c", ""]
+        a, b = _sets(texts)[:2]
+        assert near_dedup.similar(a[:2], b[:2])
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "digest": [1, 2, 3, 4], "text": texts})
+        keys = [set(x) for out in near_dedup._signed(iter([batch])) for x in out.column("bands").to_pylist()]
+        assert keys[0] & keys[1] and len(keys[0]) > near_dedup.BANDS and len(keys[1]) == len(keys[2]) == near_dedup.BANDS
