@@ -34,7 +34,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]{0,63}[0-9])(?=[0-9_]{0,63}[A-Za-z])[A-Za-z0-9_]{16,64}+(?![A-Za-z0-9_])",
+    "secret": r"(?<![A-Za-z0-9_])(?=[A-Za-z_]*+[0-9])(?=[0-9_]*+[A-Za-z])[A-Za-z0-9_]{16,}+",
     "address": rf"(?<![{_LOCAL}])[{_LOCAL}]{{1,64}}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]++\x20?(?:\.|[\[(](?:dot|DOT)[\])])\x20?[A-Za-z]{{2,}}+",
     "number": r"(?<![0-9+.-])(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4})(?![0-9-])",
     "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Señora?)\.?\x20\p{Lu}\p{L}{1,30}+(?:\x20\p{Lu}\p{L}{1,30}+)?",
@@ -52,13 +52,13 @@ CUES = {
 }
 AGAINST = r"(?i)(?:version|commit|build|sha|md5|isbn|page|figure|total|example|sample|test)[\x20=:#]*$"
 GAZETTEER = {
-    "secret": r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^xox[abp]|^sk_(?:live|test)_",
+    "secret": r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_|^github_pat_|^xox[abp]|^sk_(?:live|test)_",
     "address": r"(?i)(?:com|org|net|edu|gov|de|fr|es|it|uk|io|info)$",
     "number": r"^\(?(?:2(?!11)|[3-9](?!11))[0-9]",
     "person": r"(?i)\x20(?:anna|maria|john|james|mary|peter|paul|michael|thomas|hans|jean|pierre|marie|josé|juan|carmen|david|sarah|laura|jan|emma)(?:\x20|$)",
 }
 SHAPE = {
-    "secret": r"^(?:[0-9a-f]{16,64}|[A-Z0-9]{20}|[A-Za-z0-9_]{32,64})$",
+    "secret": r"^(?:[0-9a-f]{16,}+|[A-Z0-9]{20}|[A-Za-z0-9_]{32,}+)$",
     "address": r"(?i)[\[(]at[\])].*[\[(]dot[\])]",
     "number": r"^(?:[0-9]{3}-[0-9]{2}-[0-9]{4}|\([0-9]{3}\)\x20[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})$",
     "person": r"\x20\p{Lu}\p{L}+\x20\p{Lu}\p{L}+$",

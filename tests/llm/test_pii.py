@@ -78,3 +78,12 @@ def test_masking_keeps_columns_rows_and_the_rest_of_the_text(spark, documents):
     clash = spark.createDataFrame([(1, "a@b.co", "x", 7)], "doc_id long, text string, spans string, _base int")
     assert pii.report(clash, clash.columns).first().spans == "email:0:6"
     assert pii.mask(clash).first().spans == "x"
+
+
+def test_long_secrets_are_found_whole(documents):
+    pat = "github_pat_" + "11ABCDEFG0aZ9kQ3" * 5 + "x7"
+    key = hashlib.sha512(b"key").hexdigest()
+    assert (len(pat), len(key)) == (93, 128)
+    texts = [f'token = "{pat}" end', f"secret: {key}.", "a" * 100 + " " + "1" * 100]
+    spans = {r.doc_id: r.spans for r in pii.report(documents(list(enumerate(texts))), ["doc_id"]).collect()}
+    assert spans[0] == "secret:9:102" and spans[1] == "secret:8:136" and "secret" not in spans[2]
