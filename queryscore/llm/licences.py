@@ -2,8 +2,8 @@
 
 Texts are brought to one form (lower case, letters and digits only, equivalent spellings unified,
 copyright lines left out) and their digests are joined with those of known licences, brought to the
-same form. That is done for whole documents, which finds licence files, and for the single lines that
-speak of rights, which finds notices inside documents. No text is compared with another one.
+same form. That is done for whole documents, which finds licence files, and for every single line, which
+finds notices inside documents. No text is compared with another one.
 """
 
 from __future__ import annotations
@@ -40,6 +40,7 @@ SPELLINGS = (
 _COPYRIGHT_LINE = r"(?m)^[\x20\t#*/;-]*(?:copyright[\x20\t]+(?:\(c\)|©|[0-9])|\(c\)|©)[^\n]*$"
 #: Known texts at most: their digests are part of the plan.
 MAX_KNOWN = 2_000
+#: Words that every notice in ``KNOWN`` has; the SQL form of the query asks for them first.
 _SPEAKS = r"(?i)licen[cs]e|rights reserved|public domain|hereby granted"
 
 
@@ -72,24 +73,28 @@ def scan(docs: DataFrame, licences: DataFrame, carry: list[str]) -> DataFrame:
 
     notices lists the licences of lines, by name, comma-joined; none is "". Null, empty and blank
     texts have neither. Copyright lines never count. Columns of these names in ``carry`` give way.
-    Only lines that speak of rights are digested. Whole texts are joined by digest; the known side
+    Every line is digested; one that is the whole text, and does not speak of rights, is its licence
+    and no notice. Whole texts are joined by digest; the known side
     has one row per digest, so a digest of many documents is hot on one side only. Lines look theirs
     up in a map of the known digests, of which ``MAX_KNOWN`` are allowed.
     """
     known = known_digests(licences)
     carry = [c for c in carry if c not in ("text_digest", "licence", "notices")]
-    lines = F.filter(F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1), lambda x: x.rlike(_SPEAKS))
+    pairs = known.limit(MAX_KNOWN + 1).collect()
+    if len(pairs) > MAX_KNOWN:
+        raise ValueError(f"more than {MAX_KNOWN} known licences")
+    lines = F.transform(F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1), digest)
+    names = F.create_map().cast("map<string,string>")
+    if pairs:
+        names = F.create_map(*[F.lit(x) for r in pairs for x in (r.digest, r.licence)])
+    hits = F.filter(lines, lambda d: d.isin([r.digest for r in pairs]) if pairs else F.lit(False))
     rows = docs.select(
         F.struct(*[docs[c] for c in carry]).alias("_doc"), digest(docs["text"]).alias("text_digest"),
-        F.array_distinct(F.transform(lines, digest)).alias("_lines"),
+        hits.alias("_hits"), F.coalesce(docs["text"], F.lit("")).rlike(_SPEAKS).alias("_speaks"),
     )
+    own = F.filter("_hits", lambda d: F.col("_speaks") | (d != F.col("text_digest")))
+    named = F.array_sort(F.array_distinct(F.transform(own, lambda d: F.try_element_at(names, d))))
     whole = rows.join(known.withColumnRenamed("digest", "text_digest"), "text_digest", "left")
-    pairs = known.limit(MAX_KNOWN + 1).collect()
-    if len(pairs) > MAX_KNOWN:
-        raise ValueError(f"more than {MAX_KNOWN} known licences")
-    none = F.create_map().cast("map<string,string>")
-    names = F.create_map(*[F.lit(x) for r in pairs for x in (r.digest, r.licence)]) if pairs else none
-    found = F.array_sort(F.array_distinct(F.array_compact(F.transform("_lines", lambda d: F.try_element_at(names, d)))))
     return whole.select(
-        *[F.col("_doc")[c].alias(c) for c in carry], "text_digest", "licence", F.array_join(found, ",").alias("notices")
+        *[F.col("_doc")[c].alias(c) for c in carry], "text_digest", "licence", F.array_join(named, ",").alias("notices")
     )

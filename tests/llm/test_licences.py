@@ -30,3 +30,9 @@ def test_empty_tables_ties_and_clashing_columns(spark, documents):
     assert _found(documents([(1, "ONE TEXT"), (2, None)]), tied) == {1: ("a", ""), 2: (None, "")}
     clash = spark.createDataFrame([(1, "one text", "x")], "doc_id long, text string, licence string")
     assert licences.scan(clash, tied, clash.columns).first().licence == "a"
+
+
+def test_notices_without_words_of_rights_are_found(spark, documents):
+    known = spark.createDataFrame([("GPL-3.0", "GPL-3.0-or-later"), ("CC0-1.0", "CC0 1.0 Universal")], "licence string, text string")
+    rows = [(1, "# gpl-3.0-or-later\nprose"), (2, "a\n -- CC0   1.0 Universal!" + "-" * 500 + "\nGPL 3.0 or later"), (3, "CC0 1.0")]
+    assert _found(documents(rows), known) == {1: (None, "GPL-3.0"), 2: (None, "CC0-1.0,GPL-3.0"), 3: (None, "")}
