@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queryscore.llm import decision_list, decontaminate, licences, mixture, near_dedup, pii, quality_fm, substring_dedup, toxicity, warc
+from queryscore.llm import decision_list, decontaminate, exact_dedup, licences, mixture, near_dedup, pii, quality_fm, substring_dedup, toxicity, warc
 from queryscore.llm.scratch import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,15 @@ FROM digested LEFT JOIN known ON text_digest = digest LEFT JOIN noticed USING (r
 def op2_canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licences.scan(docs, licences.builtin(spark), ["doc_id"])
+
+
+@query(oracle=r"""
+WITH spaced AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents
+)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM spaced
+""")
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
