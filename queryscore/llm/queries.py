@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queryscore.llm import decision_list, decontaminate, exact_dedup, licences, mixture, near_dedup, pii, quality_fm, substring_dedup, toxicity, warc
+from queryscore.llm import decision_list, decontaminate, exact_dedup, licences, mixture, near_dedup, pii, quality_fm, substring_dedup, toxicity, warc, whitening
 from queryscore.llm.scratch import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -171,3 +171,9 @@ FROM spaced
 """)
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+@query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.components_of(vectors, "embedding", ["vec_id"])
