@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from queryscore.llm import decision_list, decontaminate, exact_dedup, licences, mixture, near_dedup, pii, quality_fm, substring_dedup, toxicity, warc, whitening
+from queryscore.llm import decision_list, decontaminate, exact_dedup, licences, mixture, near_dedup, pii, prefix_trie, quality_fm, substring_dedup, toxicity, warc, whitening
 from queryscore.llm.scratch import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +177,47 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return whitening.components_of(vectors, "embedding", ["vec_id"])
+
+
+@query(oracle=r"""
+WITH turns AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+    SELECT conv_id, conv_id - conv_id % 5 AS base,
+           xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT),
+               lambda crc, c: list_reduce([xor(crc, c)] || [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda v, bit: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 9 AS h
+    FROM turns GROUP BY conv_id
+), rebuilt AS (
+    SELECT c.conv_id, t.pos AS k, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+    UNION ALL
+    SELECT c.conv_id, 1000000000 + t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+), placed AS (
+    SELECT conv_id, row_number() OVER w AS depth, octet_length(encode(text)) AS size,
+           md5(string_agg(md5(role) || md5(text), '') OVER (w ROWS UNBOUNDED PRECEDING)) AS node
+    FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+), members AS (
+    SELECT conv_id, depth, size, node FROM placed UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), last_of AS (
+    SELECT conv_id, max(depth) AS depth FROM members GROUP BY conv_id
+), nodes AS (
+    SELECT node, m.depth, min(conv_id) AS conv_id, count(*) AS n_convs, max(size) AS size,
+           string_agg(CASE WHEN m.depth = l.depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends
+    FROM members m JOIN last_of l USING (conv_id) GROUP BY node, m.depth
+), linked AS (
+    SELECT n.*, p.node AS up FROM nodes n LEFT JOIN members p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1
+), children AS (
+    SELECT up AS node, count(*) AS n_children FROM linked WHERE up IS NOT NULL GROUP BY up
+), whole AS (
+    SELECT l.*, coalesce(n_children, 0) AS n_children FROM linked l LEFT JOIN children USING (node)
+), below AS (
+    SELECT a.node, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((w.n_convs - 1) * w.size) AS saved
+    FROM whole w JOIN members a ON a.conv_id = w.conv_id AND a.depth <= w.depth GROUP BY a.node
+)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, sha256(coalesce(w.ends, '')) AS ends_sha256
+FROM whole w JOIN below b USING (node) LEFT JOIN nodes p ON p.node = w.up
+""")
+def op13_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
