@@ -12,6 +12,8 @@ probability of about 2^-128.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,33 +71,39 @@ def _parts(c: Column, data_type: T.DataType, float_digits: int | None) -> list[C
     return [_tag(c, _TEXT), c.cast("string")]
 
 
+@functools.lru_cache(maxsize=1000)
+def _key_columns(types: tuple[T.DataType, ...], float_digits: int | None) -> tuple[Column, ...]:
+    """The keys of rows with columns c0, c1, … of these types; building them takes longer than using them."""
+    parts = [F.lit(len(types))]
+    for i, data_type in enumerate(types):
+        parts += _parts(F.col(f"c{i}"), data_type, float_digits)
+    return tuple(F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in enumerate(KEY))
+
+
 def row_keys(df: DataFrame, float_digits: int | None = None) -> DataFrame:
     """The key of every row of ``df``; equal rows have equal keys."""
-    by_position = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    parts = [F.lit(len(by_position.columns))]
-    for field in by_position.schema.fields:
-        parts += _parts(F.col(field.name), field.dataType, float_digits)
-    return by_position.select(
-        *[F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in enumerate(KEY)]
-    )
+    types = tuple(f.dataType for f in df.schema.fields)
+    return df.toDF(*[f"c{i}" for i in range(len(types))]).select(*_key_columns(types, float_digits))
 
 
-def set_fingerprint(keys: DataFrame) -> DataFrame:
+def set_fingerprint(keys: DataFrame, by: list[str] | None = None) -> DataFrame:
     """One row describing the *set* of keys: its size and a 256-bit xor of hashes.
 
+    With ``by`` one row for each value of those columns; a value without rows has none.
     Duplicates are merged before the shuffle, so a key that repeats in a third of the
     rows reaches its reducer once per map task; the second step moves one row per task.
     """
+    by = by or []
     words = [
         F.bit_xor(F.xxhash64(F.lit(i), *KEY)).alias(f"f{i}") for i in range(FINGERPRINT_WORDS)
     ]
-    return keys.groupBy(*KEY).agg(F.count(F.lit(1)).alias("copies")).agg(
+    return keys.groupBy(*by, *KEY).agg(F.count(F.lit(1)).alias("copies")).groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_distinct"),
         F.coalesce(F.sum("copies"), F.lit(0)).cast("long").alias("n_rows"),
         *words,
     )
 
 
-def drained(keys: DataFrame) -> DataFrame:
+def drained(keys: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Number of rows, with every cell evaluated and nothing shuffled but one row per task."""
-    return keys.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*KEY)).alias("f0"))
+    return keys.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*KEY)).alias("f0"))

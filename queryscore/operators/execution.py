@@ -1,25 +1,25 @@
 """Running many SQL texts and comparing their results as sets of rows.
 
-Each distinct (database, text) runs once, as one Spark query whose result is reduced
-on the executors to one fixed-width row: row count, distinct count and a 256-bit set
-fingerprint. Pairs are then judged by joining those rows, so no result row is ever
-shuffled per pair, a gold query shared by many predictions is computed once, and one
-failing or slow query cannot touch the others.
+Each distinct (database, text) runs once, and its result is reduced on the executors to
+one fixed-width row: row count, distinct count and a 256-bit set fingerprint. Many texts
+share a Spark job, whose rows carry the number of their text. Pairs are then judged by
+joining those rows, so no result row is ever shuffled per pair, a gold query shared by
+many predictions is computed once, and one failing or slow query cannot touch the others.
+An ``OutcomeStore`` keeps outcomes, so that a text runs again only when its database
+has changed.
 """
 
 from __future__ import annotations
 
 import concurrent.futures as cf
-import re
+import itertools
 import threading
-import time
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark import SparkContext
 from pyspark.errors import ParseException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +31,10 @@ from queryscore.functions.row_key import (
     FINGERPRINT_WORDS, KEY, drained, row_keys, set_fingerprint,
 )
 from queryscore.functions.sql_text import cap_cell, is_blank, looks_like_write, row_text
+from queryscore.operators.dispatch import (
+    NotAllowed, TooSlow, Watcher, halves, input_bytes, packs, read_only_query,
+)
+from queryscore.operators.outcomes import OutcomeStore
 from queryscore.operators.skew import left_join_skewed
 from queryscore.scratch import scratch_dir
 from queryscore.sources.database import register_database
@@ -60,15 +64,12 @@ OUTCOME_SCHEMA = T.StructType(
     ]
 )
 
-# How many outcomes the driver holds at a time; batches of them are written to scratch.
+# How many outcomes the driver gathers; batches of them are written to scratch.
 _BATCH_ROWS = 1000
 # Functions that call any Java method.
 _REFLECTION = ("reflect", "java_method", "try_reflect")
-_FOREIGN = re.compile(r"SubqueryAlias \S*\.\S")
-
-
-class NotAllowed(Exception):
-    """A query names something outside its own database."""
+#: Texts that share a job, and the bytes they may read together; a text that reads more runs alone.
+PACK, PACK_BYTES = 32, 256 << 20
 
 
 def _refuse(*args):
@@ -83,19 +84,6 @@ def isolate(session: SparkSession) -> None:
         session.udf.register(name, _refuse)
 
 
-def read_only_query(spark: SparkSession, sql: str) -> DataFrame:
-    """``sql`` as a subquery: only a single SELECT can be analysed there.
-
-    The analysed plan tells what it reads: a view of the session has a plain name, tables of a
-    catalog and global views have a qualified one.
-    """
-    body = sql.strip().removesuffix(";")
-    df = spark.sql(f"SELECT * FROM (\n{body}\n)")
-    if _FOREIGN.search(df._jdf.queryExecution().analyzed().toString()):
-        raise NotAllowed("only the tables of the database can be read")
-    return df
-
-
 class DatabaseSessions:
     """One session per database directory, so equal table names do not clash.
 
@@ -104,7 +92,6 @@ class DatabaseSessions:
 
     def __init__(self, spark: SparkSession, keep: int = 32):
         self._spark = spark
-        self.context = spark.sparkContext
         self._keep = keep
         self._sessions: dict[str, cf.Future] = {}
         self._lock = threading.Lock()
@@ -137,7 +124,7 @@ class DatabaseSessions:
 
 @dataclass
 class _Run:
-    """What one query is reduced to; ``reduce`` must return a DataFrame of few rows."""
+    """What queries are reduced to."""
 
     mode: str
     timeout_s: float
@@ -145,66 +132,45 @@ class _Run:
     max_rows: int = fv.PREVIEW_ROWS
     max_cell: int = fv.CELL_CHARS
 
-    def reduce(self, df: DataFrame) -> DataFrame:
-        if self.mode == "match":
-            return set_fingerprint(row_keys(df, self.float_digits))
-        if self.mode == "drain":
-            return drained(row_keys(df, self.float_digits))
-        if self.mode == "first_row":
-            # At the top of the plan the limit reads one partition after another.
-            return row_keys(df, self.float_digits).limit(1)
-        return preview_rows(df, self.max_rows, self.max_cell)
+    @property
+    def key(self) -> str:
+        """Names everything that an outcome depends on beside the text and its database."""
+        shape = {"match": f"-{self.float_digits}", "preview": f"-{self.max_rows}-{self.max_cell}"}
+        return self.mode + shape.get(self.mode, "")
 
-    def outcome(self, df: DataFrame) -> dict:
-        rows = self.reduce(df).collect()
+    def _rows(self, df: DataFrame) -> DataFrame:
+        if self.mode == "preview":
+            return preview_rows(df, self.max_rows, self.max_cell)
+        keys = row_keys(df, self.float_digits)
+        # At the top of the plan the limit reads one partition after another.
+        return keys.limit(1) if self.mode == "first_row" else keys
+
+    def _reduced(self, rows: DataFrame, by: list[str]) -> DataFrame:
+        if self.mode == "match":
+            return set_fingerprint(rows, by)
+        return drained(rows, by) if self.mode == "drain" else rows
+
+    def outcomes(self, frames: list[DataFrame]) -> list[dict]:
+        """One outcome per query, from one job: rows carry the number of their query."""
+        if len(frames) == 1:
+            found = {0: self._reduced(self._rows(frames[0]), []).collect()}
+        else:
+            numbered = [self._rows(df).withColumn("query", F.lit(i)) for i, df in enumerate(frames)]
+            found = {}
+            for row in self._reduced(reduce(DataFrame.union, numbered), ["query"]).collect():
+                found.setdefault(row["query"], []).append(row)
+        return [self._outcome(found.get(i, [])) for i in range(len(frames))]
+
+    def _outcome(self, rows: list) -> dict:
         if self.mode == "first_row":
             return {"n_rows": len(rows)}
         if self.mode == "preview":
             shown = [r.line for r in rows]
             return {"n_rows": len(shown), "text": preview_text(shown, self.max_rows)}
-        return rows[0].asDict()
-
-
-class _Deadline(threading.Thread):
-    """Cancels a query once its tasks have been running for longer than the limit.
-
-    Only time with a running task counts: a query that waits for free cores, because
-    others run at the same time, loses nothing. Jobs that start after the limit are
-    cancelled too.
-    """
-
-    POLL_S = 0.2
-
-    def __init__(self, context: SparkContext, group: str, limit_s: float):
-        super().__init__(daemon=True)
-        self._context, self._group, self._limit_s = context, group, limit_s
-        self._done = threading.Event()
-        self.seconds = 0.0
-        self.expired = False
-
-    def _has_running_task(self) -> bool:
-        tracker = self._context.statusTracker()
-        for job_id in tracker.getJobIdsForGroup(self._group):
-            job = tracker.getJobInfo(job_id)
-            for stage_id in job.stageIds if job else []:
-                stage = tracker.getStageInfo(stage_id)
-                if stage and stage.numActiveTasks:
-                    return True
-        return False
-
-    def run(self) -> None:
-        last = time.monotonic()
-        while not self._done.wait(self.POLL_S):
-            now = time.monotonic()
-            if self._has_running_task():
-                self.seconds += now - last
-            last = now
-            if self.seconds > self._limit_s:
-                self.expired = True
-                self._context.cancelJobGroup(self._group)
-
-    def stop(self) -> None:
-        self._done.set()
+        if not rows:  # no row of a query has come to the common reduction
+            empty = dict.fromkeys(_WORDS, 0) | {"n_distinct": 0} if self.mode == "match" else {"f0": None}
+            return empty | {"n_rows": 0}
+        return {k: v for k, v in rows[0].asDict().items() if k != "query"}
 
 
 def _message(e: Exception) -> str:
@@ -214,22 +180,60 @@ def _message(e: Exception) -> str:
     return (e.getMessage() if isinstance(e, PySparkException) else None) or str(e)
 
 
-def _run_one(sessions: DatabaseSessions, path: str, db_id: str, sql: str, run: _Run) -> dict:
-    group = f"query-{uuid.uuid4().hex}"
-    row = dict.fromkeys(OUTCOME_SCHEMA.names) | {"db_id": db_id, "sql": sql, "parsed": True}
-    context = sessions.context
-    context.setJobGroup(group, "query under test", interruptOnCancel=True)
-    deadline = _Deadline(context, group, run.timeout_s)
-    deadline.start()
-    try:
-        found = run.outcome(read_only_query(sessions.get(path), sql)) | {"status": OK}
-    except Exception as e:  # any failure of one query, its database included, is that query's outcome
-        found = {"status": EXEC_ERROR, "error": _message(e), "parsed": not isinstance(e, ParseException)}
-    finally:
-        deadline.stop()
-    if deadline.expired:
-        found = {"status": TIMEOUT, "error": f"no result within {run.timeout_s:g} s"}
-    return row | found | {"seconds": deadline.seconds}
+def _failed(e: Exception) -> dict:
+    if isinstance(e, TooSlow):
+        return {"status": TIMEOUT, "error": str(e)}
+    return {"status": EXEC_ERROR, "error": _message(e), "parsed": not isinstance(e, ParseException)}
+
+
+@dataclass
+class _Prepared:
+    row: dict
+    df: DataFrame
+    bytes: int
+
+
+def _run_batch(items: list, sessions: DatabaseSessions, watcher: Watcher, run: _Run, pack: int) -> list[dict]:
+    """Outcomes of some texts: each is analysed and planned by itself, then they run in few jobs."""
+    out, ready = [], []
+
+    def prepare(path: str, sql: str) -> tuple[DataFrame, int, bool]:
+        df = read_only_query(sessions.get(path), sql)
+        return df, input_bytes(df), df._jdf.queryExecution().analyzed().deterministic()
+
+    for item in items:
+        row = dict.fromkeys(OUTCOME_SCHEMA.names) | {"db_id": item.db_id, "sql": item.sql, "uses": item.uses, "parsed": True, "seconds": 0.0}
+        row |= {"steady": True}
+        try:
+            sessions.get(item.dir)  # opening a database is not the text's time
+            (df, size, steady), _ = watcher.limited(lambda i=item: prepare(i.dir, i.sql), run.timeout_s)
+            ready.append(_Prepared(row | {"steady": steady}, df, size))
+        except Exception as e:  # any failure of one query, its database included, is that query's outcome
+            out.append(row | _failed(e))
+
+    def together(some: list[_Prepared]) -> list[dict]:
+        found, seconds = watcher.limited(lambda: run.outcomes([p.df for p in some]), run.timeout_s)
+        return [p.row | one | {"status": OK, "seconds": seconds} for p, one in zip(some, found)]
+
+    def alone(one: _Prepared, e: Exception) -> dict:
+        return one.row | _failed(e) | ({"seconds": run.timeout_s} if isinstance(e, TooSlow) else {})
+
+    # a preview keeps its limit at the top of its plan
+    for some in packs(ready, lambda p: p.bytes, 1 if run.mode == "preview" else pack, PACK_BYTES):
+        out += halves(some, together, alone)
+    return out
+
+
+def _batches(items: Iterator, concurrency: int, most: int) -> Iterator[list]:
+    """Lists of items, small ones first, so that a few texts are spread over all workers too."""
+    size = min(4, most)
+    while True:
+        for _ in range(concurrency):
+            batch = list(itertools.islice(items, size))
+            if not batch:
+                return
+            yield batch
+        size = min(2 * size, most)
 
 
 def _bounded_map(pool: cf.ThreadPoolExecutor, fn, items: Iterator, ahead: int) -> Iterator:
@@ -251,13 +255,16 @@ def run_queries(
     timeout_s: float,
     concurrency: int = 8,
     sessions: DatabaseSessions | None = None,
+    store: OutcomeStore | None = None,
+    pack: int = PACK,
     **options,
 ) -> DataFrame:
     """Run every distinct (db_id, sql) of ``queries`` and return one outcome row each.
 
     The driver only sees query texts, a partition of them at a time, and one small row
     per finished query; these go to the shared scratch folder in batches. Texts of unknown
-    databases have no outcome. ``uses`` counts the input rows of each text.
+    databases have no outcome. ``uses`` counts the input rows of each text. Texts that
+    ``store`` knows do not run, and it learns the others. At most ``pack`` texts share a job.
     """
     out = scratch_dir(spark, "outcomes")
     run = _Run(mode, timeout_s, **options)
@@ -265,29 +272,38 @@ def run_queries(
     distinct = (
         queries.groupBy("db_id", "sql").agg(F.count(F.lit(1)).alias("uses"))
         .join(databases.groupBy("db_id").agg(F.min("dir").alias("dir")), "db_id")
-        .orderBy("dir", "sql")
     )
+    known, versions = None, None
+    if store is not None:
+        versions = store.versions(databases)
+        distinct, known = store.split(distinct, versions, run.key, OUTCOME_SCHEMA)
 
-    def frame(rows: list[dict]) -> DataFrame:
-        # By way of Arrow: a local relation whose size the planner knows.
-        table = pa.Table.from_pylist(rows, to_arrow_schema(OUTCOME_SCHEMA))
-        return spark.createDataFrame(table, OUTCOME_SCHEMA)
+    schema = T.StructType([*OUTCOME_SCHEMA.fields, T.StructField("steady", T.BooleanType())])
 
     def write(rows: list[dict]) -> None:
-        frame(rows).coalesce(1).write.mode("append").parquet(out)
+        # By way of Arrow: a local relation whose size the planner knows.
+        table = pa.Table.from_pylist(rows, to_arrow_schema(schema))
+        spark.createDataFrame(table, schema).coalesce(1).write.mode("append").parquet(out)
 
     rows: list[dict] = []
-    with cf.ThreadPoolExecutor(concurrency) as pool:
-        def one(item):
-            return _run_one(sessions, item.dir, item.db_id, item.sql, run) | {"uses": item.uses}
-
-        for row in _bounded_map(pool, one, distinct.toLocalIterator(), 4 * concurrency):
-            rows.append(row)
-            if len(rows) >= _BATCH_ROWS:
-                write(rows)
-                rows = []
-    write(rows)
-    return spark.read.schema(OUTCOME_SCHEMA).parquet(out)
+    watcher = Watcher(spark.sparkContext)
+    try:
+        with cf.ThreadPoolExecutor(concurrency) as pool:
+            batches = _batches(distinct.orderBy("dir", "sql").toLocalIterator(), concurrency, pack)
+            for found in _bounded_map(pool, lambda b: _run_batch(b, sessions, watcher, run, pack), batches, 2 * concurrency):
+                rows += found
+                if len(rows) >= _BATCH_ROWS:
+                    write(rows)
+                    rows = []
+        write(rows)
+    finally:
+        watcher.close()
+    new = spark.read.schema(schema).parquet(out)
+    if store is None:
+        return new.drop("steady")
+    # an overrun depends on the load, and an unsteady query on the moment: they are run again
+    store.add(new.where((F.col("status") != TIMEOUT) & F.col("steady")).drop("steady", "uses"), versions, run.key)
+    return new.drop("steady").unionByName(known)
 
 
 # --- one query ------------------------------------------------------------------------
@@ -385,6 +401,7 @@ def match_batch(
     spark: SparkSession, pairs: DataFrame, databases: DataFrame,
     timeout_s: float = fv.MATCH_TIMEOUT_S, concurrency: int = 8,
     float_digits: int | None = None, sessions: DatabaseSessions | None = None,
+    store: OutcomeStore | None = None, pack: int = PACK,
 ) -> DataFrame:
     """``pairs`` plus (ex, pred_status, gold_status, pred_parsed, pred_seconds).
 
@@ -398,7 +415,7 @@ def match_batch(
     texts = [known.filter(may_run[s]).select("db_id", F.col(s).alias("sql")) for s in may_run]
     outcomes = run_queries(
         spark, texts[0].unionByName(texts[1]), databases, "match", timeout_s, concurrency,
-        sessions, float_digits=float_digits,
+        sessions, store, pack, float_digits=float_digits,
     )
     joined = _with_outcome(known, outcomes, "pred_sql", may_run["pred_sql"], "pred")
     joined = _with_outcome(joined, outcomes, "gold_sql", may_run["gold_sql"], "gold")
@@ -434,7 +451,7 @@ def executes_ok(
 def with_executes(
     spark: SparkSession, scored: DataFrame, databases: DataFrame,
     timeout_s: float = fv.PREVIEW_TIMEOUT_S, concurrency: int = 8,
-    sessions: DatabaseSessions | None = None,
+    sessions: DatabaseSessions | None = None, store: OutcomeStore | None = None,
 ) -> DataFrame:
     """Add ``executes`` to the rows of ``match_batch``, running as few queries as possible.
 
@@ -447,7 +464,7 @@ def with_executes(
     open_ = F.col("pred_status").isin(OK, EXEC_ERROR, TIMEOUT) & ~write & ~proven
     outcomes = run_queries(
         spark, scored.filter(open_).select("db_id", F.col("pred_sql").alias("sql")), databases,
-        "first_row", timeout_s, concurrency, sessions,
+        "first_row", timeout_s, concurrency, sessions, store,
     )
     return _with_outcome(scored, outcomes, "pred_sql", open_, "outcome").select(
         *scored.columns, (proven | F.coalesce(F.col("outcome.status") == OK, F.lit(False))).alias("executes")
@@ -456,7 +473,7 @@ def with_executes(
 
 def gold_filter(
     spark: SparkSession, questions: DataFrame, databases: DataFrame,
-    timeout_s: float = fv.MATCH_TIMEOUT_S, concurrency: int = 8,
+    timeout_s: float = fv.MATCH_TIMEOUT_S, concurrency: int = 8, store: OutcomeStore | None = None,
 ) -> DataFrame:
     """``questions`` plus (keep, reason): only golds that run and return rows are kept."""
     known = _with_known_db(questions, databases)
@@ -464,7 +481,7 @@ def gold_filter(
     may_run = F.col("has_db") & ~is_blank(gold)
     outcomes = run_queries(
         spark, known.filter(may_run).select("db_id", gold.alias("sql")), databases, "drain",
-        timeout_s, concurrency,
+        timeout_s, concurrency, store=store,
     )
     reason = (
         F.when(is_blank(gold), EMPTY_SQL)

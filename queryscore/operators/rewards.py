@@ -15,6 +15,7 @@ from queryscore.functions.messages import called_describe, completion_text
 from queryscore.functions.similarity import bigram_jaccard, schema_link_jaccard
 from queryscore.functions.sql_text import extract_final_sql, is_select
 from queryscore.operators.execution import DatabaseSessions, match_batch, with_executes
+from queryscore.operators.outcomes import OutcomeStore
 from queryscore.operators.skew import left_join_skewed
 from queryscore.scratch import materialise
 
@@ -97,23 +98,28 @@ _REWARDS = {"r1": reward_r1, "r2": reward_r2, "r3": reward_r3, "s0": reward_s0}
 
 def reward_matched(
     spark: SparkSession, scored: DataFrame, databases: DataFrame, arm: str,
-    sessions: DatabaseSessions | None = None,
+    sessions: DatabaseSessions | None = None, store: OutcomeStore | None = None,
 ) -> DataFrame:
     """Reward rows that ``match_batch`` has judged, trying first rows where the arm asks."""
     if arm not in _REWARDS:
         raise ValueError(f"unknown reward arm {arm!r}; choose from {sorted(_REWARDS)}")
     if arm in ("r2", "r3"):
-        scored = with_executes(spark, scored, databases, sessions=sessions)
+        scored = with_executes(spark, scored, databases, sessions=sessions, store=store)
     return _REWARDS[arm](scored)
 
 
 def score_pairs(
-    spark: SparkSession, pairs: DataFrame, databases: DataFrame, arm: str, **limits
+    spark: SparkSession, pairs: DataFrame, databases: DataFrame, arm: str,
+    store: OutcomeStore | None = None, **limits
 ) -> DataFrame:
-    """Execute, match and reward (db_id, pred_sql, gold_sql) rows under one arm."""
+    """Execute, match and reward (db_id, pred_sql, gold_sql) rows under one arm.
+
+    With ``store`` a text that has run before, such as the gold of a question that comes again in
+    the next training step, does not run again while its database is the same.
+    """
     sessions = DatabaseSessions(spark)
-    scored = match_batch(spark, pairs, databases, sessions=sessions, **limits)
-    return reward_matched(spark, scored, databases, arm, sessions)
+    scored = match_batch(spark, pairs, databases, sessions=sessions, store=store, **limits)
+    return reward_matched(spark, scored, databases, arm, sessions, store)
 
 
 def score_completions(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from queryscore import fixed_values as fv
 from queryscore.functions.sql_text import is_select
 from queryscore.operators.execution import EMPTY_SQL, DatabaseSessions, match_batch
+from queryscore.operators.outcomes import OutcomeStore
 from queryscore.operators.rewards import reward_matched
 from queryscore.operators.transcripts import complete_results, rollout_outcome
 from queryscore.scratch import materialise
@@ -15,7 +16,7 @@ from queryscore.scratch import materialise
 
 def evaluate(
     spark: SparkSession, turns: DataFrame, questions: DataFrame, databases: DataFrame,
-    arm: str = "r1", max_turns: int = fv.MAX_TURNS, **limits,
+    arm: str = "r1", max_turns: int = fv.MAX_TURNS, store: OutcomeStore | None = None, **limits,
 ) -> DataFrame:
     """One result per question: final query, match, reward, fallback match, turns, finished.
 
@@ -32,7 +33,7 @@ def evaluate(
         "rollouts",
     )
     sessions = DatabaseSessions(spark)
-    matched = match_batch(spark, rollouts, databases, sessions=sessions, **limits)
+    matched = match_batch(spark, rollouts, databases, sessions=sessions, store=store, **limits)
     committed = F.col("final_sql").isNotNull()
     strict = matched.withColumns({
         "ex_fallback": F.when(is_select(F.col("pred_sql")), F.col("ex")).otherwise(F.lit(0)),
@@ -40,6 +41,6 @@ def evaluate(
         "pred_status": F.when(committed, F.col("pred_status")).otherwise(EMPTY_SQL),
         "pred_sql": F.col("final_sql"),
     })
-    results = reward_matched(spark, strict, databases, arm, sessions)
+    results = reward_matched(spark, strict, databases, arm, sessions, store)
     whole = complete_results(asked, results, carry=("fallback_sql", "ex_fallback", "breakdown"))
     return whole.withColumn("ex_fallback", F.coalesce("ex_fallback", "ex"))

@@ -38,6 +38,22 @@ def _list_dir(spark: SparkSession, path: str) -> list[tuple[str, str, bool]]:
     ]
 
 
+def file_versions(spark: SparkSession, path: str) -> str | None:
+    """Names, sizes and times of all files below a directory, as text; None where it cannot be listed."""
+    jvm = spark.sparkContext._jvm
+    found = []
+    try:
+        hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files = fs.listFiles(hadoop_path, True)
+        while files.hasNext():
+            status = files.next()
+            found.append(f"{status.getPath()} {status.getLen()} {status.getModificationTime()}")
+    except Py4JJavaError:
+        return None
+    return "\n".join(sorted(found))
+
+
 def _holds_parquet(spark: SparkSession, path: str) -> bool:
     """Whether a directory has Parquet files, directly or in its partition directories."""
     for name, full, is_dir in _list_dir(spark, path):

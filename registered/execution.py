@@ -37,6 +37,8 @@ PAIRS = [
     ("p15", "second", "SELECT n_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name = 'ASIA'", _NATIONS, None),
     ("p16", "second", "SELECT 1 / (o_orderkey - o_orderkey) FROM orders", _COUNT, (0, "exec_error", "ok")),
     ("p17", "second", "SELECT count(* FROM orders o_orderkey", _COUNT, (0, "exec_error", "ok")),
+    ("p19", "second", "SELECT count(*) FROM nation) UNION ALL SELECT * FROM (SELECT 1", _COUNT, (0, "exec_error", "ok")),
+    ("p20", "second", "SELECT count(*) FROM orders WHERE o_orderpriority <> 'SubqueryAlias x.y'", _COUNT, None),
     ("p18", "second", "SELECT count(*) + 0 * length(reflect('java.lang.System', 'getProperty', 'user.home')) FROM orders", _COUNT, (0, "exec_error", "ok")),
 ]
 
@@ -76,6 +78,33 @@ def exec_match_batch(spark, sf_dir):
     return out.select("exec_id", "ex", "pred_status", "gold_status")
 
 
+def _supplier_pairs(spark, sf_dir):
+    """Two texts of its own for every supplier; one prediction in five does not parse, one breaks while it runs."""
+    key = F.col("s_suppkey").cast("string")
+    lines = F.concat(F.lit("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey = "), key)
+    kind = F.col("s_suppkey") % 5
+    broken = F.concat(F.lit("SELECT 1 / (l_orderkey - l_orderkey), 1 FROM lineitem WHERE l_suppkey = "), key)
+    pred = (
+        F.when(kind == 0, F.concat(lines, F.lit(") UNION ALL SELECT * FROM (SELECT 1, 2"))).when(kind == 1, broken)
+        .when(kind == 2, F.concat(lines, F.lit(" AND l_quantity < 25")))
+        .otherwise(F.concat(lines, F.lit(" ORDER BY l_linenumber")))
+    )
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.lit("tpch").alias("db_id"), pred.alias("pred_sql"), lines.alias("gold_sql"),
+    )
+
+
+@query("""
+SELECT s_suppkey, CAST(CASE s_suppkey % 5 WHEN 0 THEN false WHEN 1 THEN n = 0 WHEN 2 THEN n = small ELSE true END AS INT) AS ex,
+       CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 5 = 1 AND n > 0 THEN 'exec_error' ELSE 'ok' END AS pred_status
+FROM (SELECT s_suppkey, count(l_orderkey) AS n, count(CASE WHEN l_quantity < 25 THEN 1 END) AS small
+      FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY s_suppkey)
+""")
+def exec_match_per_supplier(spark, sf_dir):
+    out = ex.match_batch(spark, _supplier_pairs(spark, sf_dir), tpch(spark, sf_dir))
+    return out.select("s_suppkey", "ex", "pred_status")
+
+
 # Every pair whose two texts run.
 _RUNNING = [p for p in PAIRS if p[4] is None or p[4][1:] == ("ok", "ok")]
 
@@ -128,6 +157,7 @@ def _r2_sql() -> str:
         "p13": ("t:nation c:n_name c:n_nationkey", "t:nation c:n_name c:n_nationkey"),
         "p14": (nations, "t:nation c:n_nom"), "p15": (nations, nations),
         "p16": ("t:orders c:o_orderkey", "t:orders"), "p17": ("", "t:orders"), "p18": ("t:orders", "t:orders"),
+        "p19": ("", "t:orders"), "p20": ("t:orders c:o_orderpriority", "t:orders"),
     }
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     listed = lambda s: "[" + ", ".join(f"'{x}'" for x in s.split()) + "]::VARCHAR[]"

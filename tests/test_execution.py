@@ -236,3 +236,119 @@ def test_errors_are_whole_and_many_outcomes_take_the_same_path(spark, databases,
     got = {r.i: r.text for r in ex.preview(spark, df, databases).collect()}
     assert [got[i] for i in range(10)] == [f"1 row(s):\n('{i}',)" for i in range(10)]
     assert long in got[10] and got[11] == got[12] == "Error: SQL error: empty query"
+
+
+def test_a_text_must_parse_by_itself_and_names_may_look_like_plans(spark, databases):
+    texts = [
+        "SELECT count(*) FROM boats) UNION ALL SELECT * FROM (SELECT 1", "SELECT count(*) FROM boats AS `a.b`", "SELECT 'SubqueryAlias x.y'",
+        "SELECT TRANSFORM(title) USING 'cat' AS (t) FROM boats", "BEGIN SELECT 1; END", "EXPLAIN SELECT 1", "SHOW TABLES",
+        "FROM boats INSERT INTO boats SELECT * INSERT INTO boats SELECT *", "WITH b AS (SELECT 1 AS x) SELECT * FROM b WHERE x IN (SELECT hull FROM boats)",
+        "SELECT 1 -- a comment", "VALUES (1), (2)", "WITH RECURSIVE r AS (SELECT 1 AS n UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT n FROM r",
+    ]
+    rows = ex.match_batch(spark, pairs_df(spark, [(t, t) for t in texts]), databases).collect()
+    good = {1, 2, 8, 9, 10, 11}
+    assert {r.i: r.pred_status for r in rows} == {i: "ok" if i in good else "exec_error" for i in range(len(texts))}
+
+
+def test_many_texts_share_jobs_and_verdicts_stay_the_same(spark, databases):
+    texts = [f"SELECT title, {i} FROM boats WHERE hull % {1 + i % 5} = 0" for i in range(60)]
+    texts += [f"SELECT {i} / (hull - hull) FROM boats" for i in range(5)] + ["SELECT nope", "SELECT 1 WHERE false"]
+    pairs = pairs_df(spark, [(t, texts[(7 * i) % len(texts)] if i % 3 else t) for i, t in enumerate(texts)])
+    counted = {}
+    for pack in (1, 32):
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        before = _last_job(spark)
+        rows = ex.match_batch(spark, pairs, databases, pack=pack, concurrency=2).collect()
+        counted[pack] = (_last_job(spark) - before, sorted((r.i, r.ex, r.pred_status, r.gold_status) for r in rows))
+    assert counted[1][1] == counted[32][1] and {v[2] for v in counted[1][1]} == {"ok", "exec_error"}
+    assert counted[32][0] < 0.75 * counted[1][0]
+
+
+def _last_job(spark):
+    """The number of jobs so far."""
+    spark.sparkContext.setJobGroup(group := f"count-{id(object())}", "")
+    spark.range(1).collect()
+    return max(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_stored_outcomes_are_used_until_the_database_changes(spark, db_root, databases, tmp_path):
+    import shutil
+
+    from queryscore.operators.outcomes import OutcomeStore
+
+    copy = str(tmp_path / "marina")
+    shutil.copytree(f"{db_root}/marina", copy)
+    own = spark.createDataFrame([("marina", copy)], "db_id string, dir string")
+    store = OutcomeStore(spark, str(tmp_path / "store"))
+    ran = []
+
+    def step(preds):
+        pairs = pairs_df(spark, [(p, GOLD) for p in preds])
+        ran.clear()
+        original = ex._run_batch
+
+        def spy(items, *rest):
+            ran.extend(i.sql for i in items)
+            return original(items, *rest)
+
+        ex._run_batch = spy
+        try:
+            rows = score_pairs(spark, pairs, own, "r2", store=store).collect()
+        finally:
+            ex._run_batch = original
+        return {r.i: (r.ex, round(r.reward, 6)) for r in rows}
+
+    fresh = "SELECT title FROM boats WHERE harbour IN ('Oslo')"
+    first = step([GOLD, ALL, "SELECT nope", "SELECT rand()"])
+    assert GOLD in ran and first[0] == (1, 7.0)
+    second = step([GOLD, ALL, "SELECT nope", fresh])
+    assert set(ran) == {fresh} and {i: second[i] for i in (0, 1, 2)} == {i: first[i] for i in (0, 1, 2)} and second[3][0] == 1
+    step(["SELECT rand()"])
+    assert ran == ["SELECT rand()"]
+    spark.createDataFrame([(99, "Zora", "Oslo")], "hull long, title string, harbour string").write.mode("append").parquet(f"{copy}/boats.parquet")
+    step([GOLD])
+    assert ran == [GOLD]
+
+
+def test_a_text_that_hangs_while_it_is_planned_is_left_behind(spark, databases):
+    """The JVM's own sleep stands for an expression that takes for ever: it is evaluated while planning."""
+    from queryscore.operators.dispatch import TooSlow, Watcher
+
+    watcher = Watcher(spark.sparkContext)
+    ended = []
+
+    def stubborn():
+        import time
+        while not ended:  # deaf to interrupts
+            time.sleep(0.05)
+
+    try:
+        for fn in (stubborn, lambda: spark._jvm.java.lang.Thread.sleep(60_000)):
+            with pytest.raises(TooSlow):
+                watcher.limited(fn, 0.5)
+        assert watcher.limited(lambda: spark.range(5).count(), 20)[0] == 5
+        with pytest.raises(ZeroDivisionError):
+            watcher.limited(lambda: 1 / 0, 5)
+    finally:
+        ended.append(True)
+        watcher.close()
+    folding = "SELECT aggregate(sequence(1, 3000000), 0L, (a, x) -> a + aggregate(sequence(1, 2000), 0L, (b, y) -> b + y % x))"
+    rows = ex.match_batch(spark, pairs_df(spark, [(folding, ALL), (ALL, ALL)]), databases, timeout_s=3, concurrency=1).collect()
+    assert {r.i: r.pred_status for r in rows} == {0: "timeout", 1: "ok"}
+
+
+def test_halves_and_packs():
+    from queryscore.operators.dispatch import halves, packs
+
+    runs = []
+
+    def run(items):
+        runs.append(len(items))
+        if any(i % 10 == 3 for i in items):
+            raise ValueError
+        return [(i, "ok") for i in items]
+
+    found = halves(list(range(20)), run, lambda i, e: (i, type(e).__name__))
+    assert dict(found) == {i: "ValueError" if i % 10 == 3 else "ok" for i in range(20)} and len(runs) < 20
+    assert packs([1, 2, 9, 1, 1, 1, 1], lambda i: i, 3, 5) == [[1, 2], [9], [1, 1, 1], [1]]
+    assert packs([], len, 3, 5) == []
