@@ -97,11 +97,15 @@ _COLUMNS = "|".join(
 )
 
 
+# Up to its end, or to that of the text: what is left open is looked at once.
+_COMMENT = r"/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\z)"
+
+
 def _plain(c: Column) -> Column:
     """Lower-case SQL without comments, string literals as numbers, keywords marked."""
     text = F.lower(F.coalesce(c, F.lit("")))
     no_comments = F.regexp_replace(
-        text, r"(?=['\"`/-])(?:('(?:[^']|'')*+'|\"[^\"]*+\"|`[^`]*+`)|--[^\n]*|/\*(?s:.*?)\*/)", "$1 "
+        text, rf"(?=['\"`/-])(?:('(?:[^']|'')*+'|\"[^\"]*+\"|`[^`]*+`)|--[^\n]*+|{_COMMENT})", "$1 "
     )
     no_strings = F.regexp_replace(no_comments, r"'(?:[^']|'')*+'", " 0 ")
     no_phrases = F.regexp_replace(no_strings, rf"\b(?<!\.)(?<!\.\s)(?:{_PHRASES})", " ")

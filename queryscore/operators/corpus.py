@@ -19,8 +19,6 @@ from queryscore.operators.filters import usable
 from queryscore.operators.skew import first_per_group, left_join_skewed
 from queryscore.sources.database import list_tables
 
-# Schema texts and table descriptions are wide: broadcast fewer of them.
-_HEAVY_DATABASES = 100
 
 
 def prompt_messages() -> Column:
@@ -36,7 +34,7 @@ def grpo_dataset(questions: DataFrame) -> DataFrame:
 
 def attach_schema(records: DataFrame, schemas: DataFrame) -> DataFrame:
     """Add ``schema`` by ``db_id``; "" where there is none."""
-    joined = left_join_skewed(records, schemas.select("db_id", "schema"), ["db_id"], heavy=_HEAVY_DATABASES)
+    joined = left_join_skewed(records, schemas.select("db_id", "schema"), ["db_id"])
     return joined.withColumn("schema", F.coalesce("schema", F.lit("")))
 
 
@@ -105,7 +103,7 @@ def gold_tables(queries: DataFrame, columns: DataFrame, sql: str = "gold_sql") -
 
     Without any, the first few tables of the database by name.
     """
-    joined = left_join_skewed(queries, _catalog(columns), ["db_id"], heavy=_HEAVY_DATABASES)
+    joined = left_join_skewed(queries, _catalog(columns), ["db_id"])
     return joined.select(*queries.columns, _named_tables(sql).alias("tables"))
 
 
@@ -122,7 +120,7 @@ def agentic_trajectories(
     )
     per_db = _catalog(columns).join(described, "db_id")
     rows = left_join_skewed(
-        usable(questions, databases), per_db, ["db_id"], heavy=_HEAVY_DATABASES
+        usable(questions, databases), per_db, ["db_id"]
     ).filter(F.col("_list").isNotNull()).withColumn("tables", _named_tables("gold_sql"))
 
     list_call = F.array(_call(F.lit(1), fv.LIST_TABLES, F.lit("{}")))

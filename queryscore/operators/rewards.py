@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from queryscore import fixed_values as fv
 from queryscore.functions.messages import called_describe, completion_text
-from queryscore.functions.similarity import bigram_jaccard, schema_link_jaccard
+from queryscore.functions.similarity import bigrams, jaccard, schema_items
 from queryscore.functions.sql_text import extract_final_sql, is_select
 from queryscore.operators.execution import DatabaseSessions, match_batch, with_executes
 from queryscore.operators.outcomes import OutcomeStore
@@ -42,21 +42,39 @@ def reward_r1(scored: DataFrame) -> DataFrame:
     )
 
 
-def _parsed(scored: DataFrame) -> Column:
-    """The prediction; nothing where it is known not to be SQL, so that it has no schema items."""
-    if "pred_parsed" not in scored.columns:
-        return F.col("pred_sql")
-    return F.when(F.coalesce("pred_parsed", F.lit(True)), F.col("pred_sql"))
+def text_parts(texts: DataFrame) -> DataFrame:
+    """(text_id, items, grams) of every distinct ``sql`` of ``texts``: each is taken apart once."""
+    named = texts.where("sql IS NOT NULL").groupBy(F.md5("sql").alias("text_id")).agg(F.first("sql").alias("sql"))
+    return named.select("text_id", schema_items(F.col("sql")).alias("items"), bigrams(F.col("sql")).alias("grams"))
+
+
+def _with_parts(scored: DataFrame, parts: DataFrame, sql: str, name: str) -> DataFrame:
+    """Add the parts of each row's text as a struct ``name``; only ids are joined, and no text is read again."""
+    found = parts.select("text_id", F.struct("items", "grams").alias(name))
+    return left_join_skewed(scored.withColumn("text_id", F.md5(sql)), found, ["text_id"]).drop("text_id")
 
 
 def reward_r2(scored: DataFrame) -> DataFrame:
-    """Partial credit: execution match, executability, schema and token overlap, format."""
+    """Partial credit: execution match, executability, schema and token overlap, format.
+
+    Schema items and token pairs come from a dictionary of the distinct texts, so a gold that is
+    shared by many predictions is taken apart once. A prediction that is known not to be SQL has no
+    schema items.
+    """
+    scored = materialise(scored, "scored")
+    texts = scored.select(F.col("pred_sql").alias("sql")).unionByName(scored.select(F.col("gold_sql").alias("sql")))
+    parts = materialise(text_parts(texts), "texts")
+    known = _with_parts(_with_parts(scored, parts, "pred_sql", "_pred"), parts, "gold_sql", "_gold")
+    none = F.array().cast("array<string>")
+    of = lambda side, part: F.coalesce(F.col(f"{side}.{part}"), none)
+    parsed = F.coalesce("pred_parsed", F.lit(True)) if "pred_parsed" in scored.columns else F.lit(True)
     parts = (
-        _gated(scored)
+        _gated(known)
         .withColumn("syntax", _if_valid(((F.col("ex") == 1) | F.col("executes")).cast("int")))
-        .withColumn("schema", _if_valid(schema_link_jaccard(_parsed(scored), F.col("gold_sql"))))
-        .withColumn("ngram", _if_valid(bigram_jaccard(F.col("pred_sql"), F.col("gold_sql"))))
+        .withColumn("schema", _if_valid(jaccard(F.when(parsed, of("_pred", "items")).otherwise(none), of("_gold", "items"))))
+        .withColumn("ngram", _if_valid(jaccard(of("_pred", "grams"), of("_gold", "grams"))))
         .withColumn("format", _if_valid(F.lit(1.0)))
+        .drop("_pred", "_gold")
     )
     reward = (
         fv.R2_EXEC * F.col("ex") + fv.R2_SYNTAX * F.col("syntax") + fv.R2_SCHEMA * F.col("schema")

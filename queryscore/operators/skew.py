@@ -6,52 +6,51 @@ into one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAVY_KEYS = 1000
+#: A key with more than one in so many of the rows, and at least so many rows, is dealt to several tasks.
+HEAVY_SHARE, HEAVY_ROWS = 1000, 1000
 
 
 def left_join_skewed(
     rows: DataFrame, dim: DataFrame, keys: list[str], weight: str | None = None,
-    heavy: int = HEAVY_KEYS,
+    heavy: int = HEAVY_SHARE, least: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Left join to ``dim`` (one row per key) that no single key can unbalance.
 
-    The ``heavy`` most frequent keys of ``rows``, matched or not, are broadcast: a fixed
-    number of rows. Any other key has at most 1/``heavy`` of the rows and is joined by
-    shuffle. Rows the broadcast has served, and rows with a null key, get a salt instead
-    of meeting in one shuffle partition.
+    A key with more than 1/``heavy`` of the rows is cut into slices of about that size, and its row
+    of ``dim`` is repeated for each of them: at most 2 * ``heavy`` rows are added, and they are
+    shuffled like all others, so wide payload needs no memory of a task. What is broadcast is the
+    hash and the number of slices of the heavy keys, fewer than ``heavy`` rows of 12 bytes; with
+    even keys it is empty. Rows with a null key are dealt out evenly.
 
     ``weight`` names a ``dim`` column with the number of rows per key, if ``dim`` has it
     for every key; otherwise the rows are counted.
     """
     payload = [c for c in dim.columns if c not in keys]
-    served = dim.select(*keys, F.struct(*payload).alias("_hot"))
+    # Equal keys have equal codes on both sides; keys that share a code by chance are only cut alike.
+    own = F.xxhash64(*keys)
+    other = F.xxhash64(*[F.col(k).try_cast(rows.schema[k].dataType) for k in keys])
+    has_key = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     if weight is None:
-        counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        top = counted.orderBy(F.desc("_rows"), *keys).limit(heavy).select(*keys)
-        found = served.join(F.broadcast(top), keys, "left_semi")
-        hot = top.join(F.broadcast(found), keys, "left")
+        counted = rows.where(has_key).groupBy(own.alias("_code")).agg(F.count(F.lit(1)).alias("_rows"))
     else:
-        hot = served.orderBy(F.desc(f"_hot.{weight}"), *keys).limit(heavy)
-    hot = hot.withColumn("_served", F.lit(True))
-    # Always 0, but not a constant: a constant would be folded out of the join keys, and
-    # the salted rows would meet in one partition again.
-    zero = F.pmod(F.hash(*keys), F.lit(1))
-    light = dim.select(*keys, zero.alias("_salt"), F.struct(*payload).alias("_light"))
-    has_key = F.lit(True)
-    for key in keys:
-        has_key = has_key & F.col(key).isNotNull()
-    salt = F.when(F.col("_served").isNull() & has_key, F.lit(0)).otherwise(F.spark_partition_id() + 1)
-    joined = (
-        rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt)
-        .join(light, [*keys, "_salt"], "left")
-    )
-    found = F.coalesce("_hot", "_light")
-    return joined.select(
-        *[rows[c] for c in rows.columns], *[found.getField(c).alias(c) for c in payload]
-    )
+        counted = dim.groupBy(other.alias("_code")).agg(F.sum(weight).alias("_rows"))
+    total = counted.agg(F.sum("_rows")).scalar()
+    share = F.col("_rows") * heavy / total
+    hot = counted.where((F.col("_rows") >= least) & (share > 1)).select("_code", F.ceil(share).cast("bigint").alias("_slices"))
+    slices = F.coalesce("_slices", F.lit(1).cast("bigint"))
+    served = dim.select(*keys, F.struct(F.lit(0).alias("_"), *payload).alias("_served"), other.alias("_code")).join(F.broadcast(hot), "_code", "left")
+    served = served.select(*keys, "_served", F.explode(F.sequence(F.lit(0).cast("bigint"), slices - 1)).alias("_slice"))
+    # Never a constant: one would be folded out of the join keys, and a heavy key would meet in one partition again.
+    number = F.monotonically_increasing_id()
+    slice_ = F.when(has_key, F.pmod(number, slices)).otherwise(F.pmod(number, F.lit(heavy)))
+    dealt = rows.withColumn("_code", own).join(F.broadcast(hot), "_code", "left").withColumn("_slice", slice_)
+    joined = dealt.join(served, [*keys, "_slice"], "left")
+    return joined.select(*[rows[c] for c in rows.columns], *[F.col("_served").getField(c).alias(c) for c in payload])
 
 
 def first_per_group(

@@ -22,9 +22,20 @@ _TOOLS = [fv.LIST_TABLES, fv.DESCRIBE_TABLE, fv.RUN_SQL]
 
 
 def call_args(arguments: Column) -> Column:
-    """Tool arguments as a map; null, empty or malformed JSON gives an empty map."""
+    """Tool arguments as a map; null, empty or malformed JSON gives an empty map.
+
+    Of a repeated key the last value counts.
+    """
     empty = F.from_json(F.lit("{}"), "map<string,string>")
-    return F.coalesce(F.from_json(arguments, "map<string,string>"), empty)
+    read = F.coalesce(F.from_json(arguments, "map<string,string>"), empty)
+
+    def last_values(found: Column) -> Column:
+        entries, keys = F.map_entries(found), F.array_distinct(F.map_keys(found))
+        last = lambda key: F.element_at(F.filter(entries, lambda e: e["key"] == key), -1)["value"]
+        repeated = F.size(keys) < F.size(F.map_keys(found))
+        return F.when(repeated, F.map_from_arrays(keys, F.transform(keys, last))).otherwise(found)
+
+    return F.element_at(F.transform(F.array(read), last_values), 1)
 
 
 def _counted(turns: DataFrame, max_turns: int, single_shot: bool) -> DataFrame:

@@ -163,3 +163,15 @@ def test_columns_work_on_a_stream(spark, tmp_path):
     )
     query.awaitTermination(60)
     assert [r.sql for r in spark.table("answers").collect()] == ["SELECT 1"]
+
+
+def test_open_comments_and_many_names_take_linear_time(spark):
+    import time
+
+    texts = ["/* " * 350_000, "/*" * 100_000, "SELECT " + ", ".join(f"c{i}" for i in range(50_000)) + " FROM t",
+             "SELECT a FROM " + ", ".join(f"t{i}" for i in range(50_000)), "SELECT a /* b */, c FROM t /* open FROM u"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    started = time.time()
+    got = {r.i: r.items for r in df.select("i", sim.schema_items(F.col("t")).alias("items")).collect()}
+    assert time.time() - started < 20
+    assert got[0] == got[1] == [] and len(got[2]) == len(got[3]) == 50_001 and got[4] == ["t:t", "c:a", "c:c"]

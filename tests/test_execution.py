@@ -352,3 +352,15 @@ def test_halves_and_packs():
     assert dict(found) == {i: "ValueError" if i % 10 == 3 else "ok" for i in range(20)} and len(runs) < 20
     assert packs([1, 2, 9, 1, 1, 1, 1], lambda i: i, 3, 5) == [[1, 2], [9], [1, 1, 1], [1]]
     assert packs([], len, 3, 5) == []
+
+
+def test_texts_are_taken_apart_once(spark, databases):
+    """The plan over the rows reads dictionary entries; a gold shared by many rows has one."""
+    from queryscore.operators.rewards import text_parts
+
+    scored = pairs_df(spark, [(f"SELECT title FROM boats WHERE hull = {i % 7}", GOLD) for i in range(200)]).selectExpr("*", "0 AS ex", "true AS executes")
+    texts = scored.selectExpr("pred_sql AS sql").union(scored.selectExpr("gold_sql AS sql")).union(scored.selectExpr("CAST(NULL AS STRING) AS sql"))
+    assert text_parts(texts).count() == 8
+    out = reward_r2(scored)
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.where("breakdown.schema > 0.4 AND breakdown.ngram > 0").count() == 200

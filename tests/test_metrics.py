@@ -119,13 +119,25 @@ def test_skewed_left_join_keeps_rows_and_misses(spark):
     rows = spark.range(0, 6000).select("id", key.alias("k")).repartition(7)
     dim = spark.range(0, 40).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v"), F.lit(1).alias("w"))
     for heavy in (1, 3, 1000):
-        got = skew.left_join_skewed(rows, dim, ["k"], heavy=heavy).collect()
+        got = skew.left_join_skewed(rows, dim, ["k"], heavy=heavy, least=heavy).collect()
         assert len(got) == 6000
         assert all(r.v == (r.k * 10 if r.k is not None and r.k < 40 else None) for r in got)
     weighted = skew.left_join_skewed(rows, dim, ["k"], "w", heavy=5)
     assert weighted.filter("v IS NOT NULL").count() == rows.filter("k < 40").count()
 
 
+def test_skewed_join_broadcasts_no_payload(spark):
+    """Even keys have no heavy one; wide payload is shuffled, what is broadcast is a hash and a count."""
+    rows = spark.range(0, 20_000).select("id", F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id") % 1000).cast("int").alias("k"))
+    dim = spark.range(0, 1000).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 10_000).alias("wide"))
+    plan = skew.left_join_skewed(rows, dim, ["k"])
+    broadcast = [line for line in plan._jdf.queryExecution().optimizedPlan().toString().split("\n") if "strategy=broadcast" in line]
+    assert len(broadcast) == 2 and "wide" not in "".join(broadcast)
+    assert plan.agg(F.sum(F.length("wide")), F.count("id")).first()[:] == (20_000 * 10_000, 20_000)
+    even = rows.withColumn("k", (F.col("id") % 5000).cast("int"))
+    assert skew.left_join_skewed(even, dim, ["k"]).where("wide IS NOT NULL").count() == 4000
+
+
 def test_no_task_of_a_skewed_join_gets_the_dominating_key(spark):
     """Without broadcast or adaptive splitting, shuffled rows still spread out."""
     old = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}

@@ -110,3 +110,12 @@ def test_evaluate_end_to_end(spark, databases):
     assert got[3].error == "no result"
     s0 = evaluate(spark, turns, questions, databases, "s0").orderBy("qid").collect()
     assert [r.ex for r in s0] == [1, 1, 0, 0]
+
+
+def test_of_a_repeated_argument_the_last_counts(spark):
+    from queryscore.operators.transcripts import call_args
+
+    texts = ['{"query": "a", "x": 1, "query": "b"}', '{"table": "t"}', None, "[", "{}"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r.i: r.a for r in df.select("i", call_args(F.col("t")).alias("a")).collect()}
+    assert got == {0: {"query": "b", "x": "1"}, 1: {"table": "t"}, 2: {}, 3: {}, 4: {}}
