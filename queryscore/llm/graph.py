@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from queryscore.llm.scratch import kept
+from queryscore.llm.scratch import Tables, kept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,24 +17,34 @@ def components(edges: DataFrame) -> DataFrame:
     join key. Each round is written, so a lost executor repeats one step. A node that hooked to a root
     which hooked on by itself is left behind it; such paths are halved at the end until none is left.
     """
-    edges = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    own = Tables(edges.sparkSession)
+    edges = own.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
     def lowest(e: DataFrame) -> DataFrame:
         both = e.union(e.select("b", "a"))
         return both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
 
-    roots = kept(lowest(edges).select(F.col("a").alias("node"), F.col("low").alias("root")), "roots")
+    def then(old: DataFrame, new: DataFrame, purpose: str) -> DataFrame:
+        new = own.keep(new, purpose)
+        own.free(old)
+        return new
+
+    roots = own.keep(lowest(edges).select(F.col("a").alias("node"), F.col("low").alias("root")), "roots")
     while True:
         of = lambda side, name: roots.select(F.col("node").alias(side), F.col("root").alias(name))
         across = edges.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y")
-        edges = kept(across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
+        edges = then(edges, across.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "edges")
         if edges.isEmpty():
             break
         low = lowest(edges).withColumnRenamed("a", "root")
-        roots = kept(roots.join(low, "root", "left").select("node", F.coalesce("low", "root").alias("root")), "roots")
+        roots = then(roots, roots.join(low, "root", "left").select("node", F.coalesce("low", "root").alias("root")), "roots")
     while True:
         up = roots.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        higher = kept(roots.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")), "roots")
-        roots = higher.select("node", "root")
-        if higher.where("moved").isEmpty():
-            return roots
+        higher = roots.join(up, "root").select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved"))
+        roots = then(roots, higher, "roots")
+        if roots.where("moved").isEmpty():
+            break
+        roots = roots.select("node", "root")
+    found = kept(roots.select("node", "root"), "components")
+    own.free()
+    return found

@@ -7,11 +7,19 @@ similarity of their weights. Arrivals are drawn in order of time up to a horizon
 early, once every register of the text is taken; later arrivals cannot change it.
 
 Runs of registers form bands; a text that repeats shingles has a second set of bands from weights of
-1, so that pairs that only reach the plain Jaccard similarity meet as well. Texts that share a band are candidates; a candidate pair is a link
-when its similarity, computed from the shingles themselves, is at least ``SIMILARITY``. Classes are
-the connected components of the links between all candidates. Pairs inside a class cannot change it
-and are not all formed: the texts of a bucket are first compared with leaders, which joins most of
-them; then every pair that shares a bucket and still lies in two classes is compared.
+1, so that pairs that only reach the plain Jaccard similarity meet as well. Texts that share a band are
+candidates; a candidate pair is a link when its similarity, computed from the shingles themselves, is
+at least ``SIMILARITY``. Classes are the connected components of the links between all candidates.
+
+Pairs inside a class cannot change it and are not all formed. At first every text is compared with one
+leader, the text of its buckets that has most bucket-mates; that is repeated with other leaders while
+it joins many texts. Then all pairs that share a bucket and still lie in two classes are compared, in
+blocks: the texts of a bucket's largest class are held against the others, and a task counts the
+common shingles of all pairs of a block at once. It returns links, one for each two classes of a
+block; pairs that are no links never become rows.
+
+Texts are told apart by 64 bits of their weighted shingles: of N different texts about N^2 / 4e19 pairs
+are taken for copies by mistake, one at 6e9 texts.
 """
 
 from __future__ import annotations
@@ -24,21 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from queryscore.llm.graph import components
-from queryscore.llm.scratch import kept
+from queryscore.llm.scratch import Tables, kept
 from queryscore.llm.tokens import Words, chunks, mix, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
-#: Leaders that a bucket has in each turn after the first.
-LEADERS = 3
-#: With at most so many pairs across classes per text, all of them are compared without further turns.
-FEW = 8
-#: Texts of the two sides that are compared with each other in one block.
-HUBS, SPOKES = 32, 256
-#: Pairs that one key of the join within a bucket makes.
-BUCKET_PAIRS = 200_000
+#: Leaders are tried again while that joins at least this share of the texts compared.
+WORTH = 0.1
+#: Texts, and bytes of text, of either side of a block.
+BLOCK_TEXTS, BLOCK_BYTES = 1024, 16 << 20
+#: Common shingles that a task counts at a time.
+STEP = 4 << 20
 #: Arrivals up to the first horizon, per register; a text that has an empty register goes on.
 HORIZON = np.log(REGISTERS) + 1.5
 
@@ -110,17 +116,6 @@ def bands(names: np.ndarray) -> np.ndarray:
     return mix(runs + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def similar(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
-    """Whether two weighted sets (shingles in order, weights) reach the probability or the plain Jaccard similarity."""
-    if not len(a[0]) or not len(b[0]):
-        return len(a[0]) == len(b[0])
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(i):
-        return False
-    union = len(a[0]) + len(b[0]) - len(i)
-    return len(i) / union >= SIMILARITY or probability_jaccard(a, b, i, j) >= SIMILARITY
-
-
 def probability_jaccard(a, b, i: np.ndarray, j: np.ndarray) -> float:
     """sum over common x of 1 / sum_y max(a_y / a_x, b_y / b_x); only the ratio of a_x to b_x matters in the inner sum."""
     only_a = a[1].sum() - a[1][i].sum()
@@ -165,29 +160,96 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*own, node, lists, empty], names=["doc_id", "digest", "node", "bands", "empty"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by block, its hubs before its spokes; only the hubs of one block are held."""
-    block, held = None, {}
+class _Sets:
+    """The weighted shingles of some texts, with an index by shingle."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        self.parts = parts
+        self.sizes = np.array([len(shingle) for shingle, _ in parts])
+        self.repeats = np.array([bool((weight > 1).any()) for _, weight in parts])
+        self.shingle = np.concatenate([shingle for shingle, _ in parts])
+        self.share = np.concatenate([weight / weight.sum() for _, weight in parts])
+        self.owner = np.repeat(np.arange(len(parts)), self.sizes)
+
+    def index(self) -> None:
+        order = np.argsort(self.shingle, kind="stable")
+        self.keys, self.owners, self.shares = self.shingle[order], self.owner[order], self.share[order]
+
+    def similar_to(self, hubs: _Sets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(own, hub) numbers of all pairs that reach ``SIMILARITY`` by plain or by probability Jaccard."""
+        low, high = np.searchsorted(hubs.keys, self.shingle, "left"), np.searchsorted(hubs.keys, self.shingle, "right")
+        many = high - low
+        ends = np.cumsum(self.sizes)
+        work = np.cumsum(np.append(0, many))[np.append(0, ends)]
+        n, first = len(hubs.parts), 0
+        while first < len(self.parts):
+            behind = int(np.searchsorted(work, work[first] + STEP, "right")) - 1
+            behind = min(max(behind, first + 1), first + max(STEP // n, 1), len(self.parts))
+            cut = slice(ends[first] - self.sizes[first], ends[behind - 1])
+            count = many[cut]
+            at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low[cut], count)
+            cell = np.repeat(self.owner[cut] - first, count) * n + hubs.owners[at]
+            shape = (behind - first, n)
+            common = np.bincount(cell, minlength=shape[0] * n).reshape(shape)
+            union = self.sizes[first:behind, None] + hubs.sizes[None, :] - common
+            yes = common / union >= SIMILARITY
+            weighted = self.repeats[first:behind, None] | hubs.repeats[None, :]
+            if weighted.any():
+                # a pair's probability Jaccard is at most the share of either text that is common
+                mine = np.bincount(cell, np.repeat(self.share[cut], count), shape[0] * n).reshape(shape)
+                theirs = np.bincount(cell, hubs.shares[at], shape[0] * n).reshape(shape)
+                maybe = weighted & ~yes & (np.minimum(mine, theirs) >= SIMILARITY - 1e-9)
+                for x, y in zip(*np.nonzero(maybe)):
+                    a, b = self.parts[first + x], hubs.parts[y]
+                    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+                    yes[x, y] = probability_jaccard(a, b, i, j) >= SIMILARITY
+            x, y = np.nonzero(yes)
+            yield x + first, y
+            first = behind
+
+
+def _sets_of(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    out = []
+    for first, behind, data, bounds in chunks(texts):
+        doc, shingle, weight = shingles(words_of(data, bounds))
+        cuts = np.searchsorted(doc, np.arange(behind - first + 1))
+        out += [(shingle[x:y], weight[x:y]) for x, y in zip(cuts, cuts[1:])]
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of blocks: rows come by block, its hubs before its spokes; only the hubs of one block are held."""
+    block, parts, nodes, roots, hubs, seen = None, [], [], [], None, set()
     for batch in batches:
-        for k in range(0, batch.num_rows, SPOKES):
-            part = batch.slice(k, SPOKES)
-            sets = []
-            for first, behind, data, bounds in chunks(part.column("text")):
-                doc, shingle, weight = shingles(words_of(data, bounds))
-                cuts = np.searchsorted(doc, np.arange(behind - first + 1))
-                sets += [(shingle[x:y], weight[x:y]) for x, y in zip(cuts, cuts[1:])]
-            spokes, hubs, yes = [], [], []
-            for at, node, asked, own in zip(*[part.column(c).to_pylist() for c in ("block", "node", "hubs")], sets):
-                if at != block:
-                    block, held = at, {}
-                if asked is None:
-                    held[node] = own
-                    continue
-                spokes += [node] * len(asked)
-                hubs += asked
-                yes += [similar(own, held[hub]) for hub in asked]
-            columns = [pa.array(spokes, pa.int64()), pa.array(hubs, pa.int64()), pa.array(yes, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["spoke", "hub", "link"])
+        found: list[tuple[int, int]] = []
+        column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "spoke", "node", "root")}
+        start = 0
+        while start < batch.num_rows:
+            now, spoke = column["block"][start], column["spoke"][start]
+            alike = (column["block"][start:] == now) & (column["spoke"][start:] == spoke)
+            behind = start + (len(alike) if alike.all() else int(np.argmin(alike)))
+            behind = min(behind, start + 256)
+            if now != block:
+                block, parts, nodes, roots, hubs, seen = now, [], [], [], None, set()
+            own = _sets_of(batch.column("text").slice(start, behind - start))
+            own_nodes, own_roots = column["node"][start:behind], column["root"][start:behind]
+            if not spoke:
+                parts += own
+                nodes += own_nodes.tolist()
+                roots += own_roots.tolist()
+            elif parts:
+                if hubs is None:
+                    hubs = _Sets(parts)
+                    hubs.index()
+                for x, y in _Sets(own).similar_to(hubs):
+                    for i, j in zip(x.tolist(), y.tolist()):
+                        pair = (own_roots[i], roots[j]) if own_roots[i] < roots[j] else (roots[j], own_roots[i])
+                        if pair[0] != pair[1] and pair not in seen:
+                            seen.add(pair)
+                            found.append((own_nodes[i], nodes[j]))
+            start = behind
+        a, b = zip(*found) if found else ([], [])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -196,127 +258,128 @@ def signed(docs: DataFrame) -> DataFrame:
     return kept(rows.mapInArrow(_signed, "doc_id long, digest long, node long, bands array<long>, empty boolean"), "signatures")
 
 
-def links(docs: DataFrame, signs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, signs: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """(a, b) of verified links between different nodes, and (node, root) of the nodes that share a bucket."""
-    member = signs.where("NOT empty").select("node", F.explode("bands").alias("band"))
-    shared = kept(
-        member.groupBy("band").agg(F.min("node").alias("_least"), F.max("node").alias("_most"), F.count(F.lit(1)).alias("size"))
-        .where("_least < _most").select("band", "size"), "buckets",
-    )
-    members = kept(member.distinct().join(shared, "band"), "members")
+    member = signs.where("NOT empty").select("node", F.explode("bands").alias("band")).distinct()
+    shared = member.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = tables.keep(member.join(shared, "band"), "members")
     # a text that shares bands with many others, such as an original with its copies, leads
-    crowd = kept(members.groupBy("node").agg(F.sum("size").alias("crowd")), "crowds")
-    members = kept(members.join(crowd, "node").select("node", "band", "crowd"), "members")
+    crowd = tables.keep(members.groupBy("node").agg(F.sum("size").alias("crowd")), "crowds")
     # one row of each node that may have a link stands for its text
-    roots = kept(crowd.select("node", F.col("node").alias("root")), "roots")
     row = F.min(F.struct("doc_id", "digest")).alias("row")
-    speakers = signs.join(roots.select("node"), "node", "left_semi").groupBy("node").agg(row).select(
+    speakers = signs.join(crowd.select("node"), "node", "left_semi").groupBy("node").agg(row).select(
         "node", F.col("row.doc_id").alias("_id"), F.col("row.digest").alias("_digest")
     )
     texts = docs.select("doc_id", F.xxhash64("text").alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.join(kept(speakers, "speakers"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
-    texts = kept(texts.select("node", "text").dropDuplicates(["node"]), "texts")
-
-    def verify(pairs: DataFrame, home: str) -> DataFrame:
-        """(a, b, link) of pairs (spoke, hub); those with the same ``home`` meet in blocks of few hubs and spokes."""
-        pairs = kept(pairs, "pairs")
-        count = pairs.groupBy(home).agg(*[F.approx_count_distinct(c).alias(f"_{c}s") for c in ("hub", "spoke")])
-        slot = lambda c, size: F.pmod(F.xxhash64(c, F.lit(size)), F.ceil(F.col(f"_{c}s") / size))
-        placed = pairs.join(count, home).select(F.xxhash64(home, slot("hub", HUBS), slot("spoke", SPOKES)).alias("block"), "hub", "spoke")
-        asked = placed.groupBy("block", F.col("spoke").alias("node")).agg(F.collect_set("hub").alias("hubs"))
-        hubs = placed.select("block", F.col("hub").alias("node"), F.lit(None).cast("array<long>").alias("hubs")).distinct()
-        rows = asked.unionByName(hubs).join(texts, "node").select("block", "node", "hubs", "text")
-        rows = rows.repartition("block").sortWithinPartitions("block", F.col("hubs").isNotNull())
-        compared = rows.mapInArrow(_verified, "spoke long, hub long, link boolean")
-        return kept(compared.select(F.greatest("spoke", "hub").alias("a"), F.least("spoke", "hub").alias("b"), "link"), "verified")
+    texts = texts.join(speakers, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    texts = tables.keep(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+    size = texts.select("node", F.octet_length("text").cast("bigint").alias("bytes"))
+    roots = tables.keep(crowd.join(size, "node").select("node", F.col("node").alias("root"), "crowd", "bytes"), "roots")
+
+    def compare(hubs: DataFrame, spokes: DataFrame) -> DataFrame:
+        """(a, b) of links between hubs and spokes, both (home, node, root, bytes), that have the same home."""
+        def parts(side: DataFrame, name: str) -> DataFrame:
+            n = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("bytes") / BLOCK_BYTES))
+            return side.groupBy("home").agg(F.greatest(n, F.lit(1)).alias(name))
+
+        plan = tables.keep(parts(hubs, "hub_parts").join(parts(spokes, "spoke_parts"), "home"), "plan")
+        blocks = plan.agg(F.sum(F.col("hub_parts") * F.col("spoke_parts"))).first()[0] or 0
+
+        def dealt(side: DataFrame, spoke: bool) -> DataFrame:
+            own, other = ("spoke_parts", "hub_parts") if spoke else ("hub_parts", "spoke_parts")
+            part = F.pmod(F.xxhash64("node", F.lit(spoke)), own)
+            each = side.join(plan, "home").select("home", "node", "root", part.alias("_own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1)).alias("_other"))
+            place = ("_other", "_own") if spoke else ("_own", "_other")
+            return each.select(F.xxhash64("home", *place).alias("block"), F.lit(spoke).alias("spoke"), "node", "root")
+
+        rows = dealt(hubs, False).unionByName(dealt(spokes, True)).join(texts, "node")
+        # few bytes may be much work: the number of tasks follows the blocks
+        tasks = max(1, min(blocks, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        rows = rows.repartition(tasks, "block").sortWithinPartitions("block", "spoke")
+        found = tables.keep(rows.mapInArrow(_compared, "a long, b long"), "links")
+        tables.free(plan)
+        return found
 
     def led(turn: int) -> DataFrame:
-        """(spoke, hub) of texts and the leaders of their buckets that they are not connected to.
+        """(spoke, hub) of texts and a leader of one of their buckets that they are not connected to.
 
-        The leader of turn 0 is the text with the largest crowd, and a text takes the one it shares most
-        bands with; later turns have ``LEADERS`` in random orders, one of every other class for each.
+        The first leader of a bucket is the text with the largest crowd, later ones are random; a text
+        takes the leader that it shares most bands with.
         """
         rooted = members.join(roots, "node")
-        orders = [F.struct(-F.col("crowd"), "node")] if turn == 0 else [F.xxhash64("node", "band", F.lit(turn), F.lit(k)) for k in range(LEADERS)]
-        leads = rooted.groupBy("band").agg(
-            F.array(*[F.min_by(F.struct("node", "root"), order) for order in orders]).alias("leads"),
-            F.min("root").alias("_least"), F.max("root").alias("_most"),
-        ).where("_least < _most")
-        each = rooted.join(leads.select("band", "leads"), "band").select("node", "root", F.posexplode("leads").alias("k", "lead"))
-        apart = each.where("root <> lead.root")
-        found = apart.groupBy("node", F.col("lead.node").alias("leader"), F.col("lead.root").alias("root"), "k").agg(F.count(F.lit(1)).alias("bands"))
-        best = F.max_by("leader", F.struct("bands", "leader")).alias("hub")
-        return found.groupBy("node", *(["root", "k"] if turn else [])).agg(best).select(F.col("node").alias("spoke"), "hub")
-
-    def untried(pairs: DataFrame) -> DataFrame:
-        """Each pair once, in one of its orders."""
-        named = pairs.withColumn("a", F.greatest("spoke", "hub")).withColumn("b", F.least("spoke", "hub"))
-        named = named.dropDuplicates(["a", "b"])
-        return (named if tried is None else named.join(tried.select("a", "b"), ["a", "b"], "left_anti")).drop("a", "b")
-
-    def mixed() -> tuple[DataFrame, int]:
-        """(band, main, salts) of buckets of several classes, main being the largest; and the pairs across classes in them."""
-        each = members.join(roots, "node").groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-        whole = each.groupBy("band").agg(
-            F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"),
-            F.max("n").alias("most"), F.sum(F.col("n") * F.col("n")).alias("within"),
-        ).where("most < n")
-        across = F.ceil((F.col("n") - F.col("most")) * F.col("n") / BUCKET_PAIRS)
-        whole = kept(whole.select("band", "main", across.cast("int").alias("salts"), ((F.col("n") * F.col("n") - F.col("within")) / 2).alias("pairs")), "mixed")
-        return whole, whole.agg(F.sum("pairs")).first()[0] or 0
-
-    def across(buckets: DataFrame) -> DataFrame:
-        """(spoke, hub, home) of all pairs that share a bucket and lie in different classes; hubs are not of the main class."""
-        rooted = members.join(roots, "node").join(buckets, "band").select("band", "node", "root", "main", "salts")
-        hubs = rooted.where("root <> main").select("band", F.col("node").alias("hub"), F.col("root").alias("_root"), F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"))
-        spokes = rooted.select("band", F.col("node").alias("spoke"), F.col("root").alias("home"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-        return hubs.join(spokes, ["band", "salt"]).where("_root <> home").select("spoke", "hub", "home").distinct()
+        order = F.struct(-F.col("crowd"), "node") if turn == 0 else F.xxhash64("node", "band", F.lit(turn))
+        leads = rooted.groupBy("band").agg(F.min_by(F.struct("node", "root"), order).alias("lead"), F.min("root").alias("_least"), F.max("root").alias("_most"))
+        each = rooted.join(leads.where("_least < _most").select("band", "lead"), "band").where("root <> lead.root")
+        found = each.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count(F.lit(1)).alias("bands"))
+        best = found.groupBy("node").agg(F.max_by("leader", F.struct("bands", "leader")).alias("hub"))
+        return tables.keep(best.select(F.col("node").alias("spoke"), "hub"), "led")
 
     def merged(links: DataFrame) -> DataFrame:
         side = lambda s: roots.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
         edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
         low = components(edges).select(F.col("node").alias("root"), F.col("root").alias("_low"))
-        return kept(roots.join(low, "root", "left").select("node", F.coalesce("_low", "root").alias("root")), "roots")
+        new = tables.keep(roots.join(low, "root", "left").select("node", F.coalesce("_low", "root").alias("root"), "crowd", "bytes"), "roots")
+        tables.free(roots)
+        return new
 
-    tried, turn = None, 0
-    tried = verify(untried(led(0)), "hub")
-    new = tried.where("link")
+    every, turn = [], 0
     while True:
-        if not new.isEmpty():
-            roots = merged(new)
-        buckets, pairs = mixed()
-        if new.isEmpty() or pairs <= FEW * roots.count():
+        pairs = led(turn)
+        asked = pairs.count()
+        if not asked:
+            break
+        own = roots.select("node", "root", "bytes")
+        star = compare(
+            pairs.select(F.col("hub").alias("home"), F.col("hub").alias("node")).distinct().join(own, "node"),
+            pairs.select(F.col("hub").alias("home"), F.col("spoke").alias("node")).join(own, "node"),
+        )
+        tables.free(pairs)
+        every.append(star)
+        joined = star.count()
+        if joined:
+            roots = merged(star)
+        if joined < WORTH * asked:
             break
         turn += 1
-        result = verify(untried(led(turn)), "hub")
-        tried, new = tried.unionByName(result), result.where("link")
-    if pairs:
-        result = verify(untried(across(buckets)), "home")
-        tried, new = tried.unionByName(result), result.where("link")
-        if not new.isEmpty():
-            roots = merged(new)
-    return tried.where("link").select("a", "b"), roots
+
+    each = members.join(roots, "node").groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = each.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("home"), F.min("root").alias("_least"), F.max("root").alias("_most"))
+    mixed = mixed.where("_least < _most").select("band", "home")
+    # pairs that share a bucket share its home, and one of them at least is outside the home's class
+    open_ = members.join(roots, "node").join(mixed, "band").select("home", "node", "root", "bytes").distinct()
+    open_ = tables.keep(open_, "open")
+    if not open_.isEmpty():
+        last = compare(open_.where("root <> home"), open_)
+        every.append(last)
+        if not last.isEmpty():
+            roots = merged(last)
+    found = every[0] if every else docs.sparkSession.createDataFrame([], "a long, b long")
+    for more in every[1:]:
+        found = found.unionByName(more)
+    return found, roots.select("node", "root")
 
 
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, class_id, class_digest, copies, links) of every row of ``docs``.
 
     class_id is the smallest doc_id of the class (nulls are smallest) and class_digest tells the
-    row that stands for the class; copies counts the rows with the same shingles, links the other
-    texts that were compared and found similar. Texts without words are copies of each other, a
+    row that stands for the class; copies counts the rows with the same shingles, links the links of
+    its text that joined classes. Texts without words are copies of each other, a
     null text among them. Rows that are equal are copies.
     """
+    tables = Tables(docs.sparkSession)
     signs = signed(docs)
-    found, roots = links(docs, signs)
+    found, roots = links(docs, signs, tables)
     degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
     nodes = signs.groupBy("node").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count(F.lit(1)).alias("copies"))
     nodes = nodes.join(roots, "node", "left").join(degree, "node", "left").select(
         "node", "first", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")
     )
-    nodes = kept(nodes, "nodes")
+    nodes = tables.keep(nodes, "nodes")
     heads = nodes.groupBy("root").agg(F.min("first").alias("head"))
-    nodes = kept(nodes.join(heads, "root").select("node", "head", "copies", "links"), "heads")
-    return signs.select("doc_id", "digest", "node").join(nodes, "node").select(
+    headed = kept(nodes.join(heads, "root").select("node", "head", "copies", "links"), "heads")
+    tables.free()
+    return signs.select("doc_id", "digest", "node").join(headed, "node").select(
         "doc_id", "digest", F.col("head.doc_id").alias("class_id"), F.col("head.digest").alias("class_digest"), "copies", "links"
     )
 

@@ -23,6 +23,16 @@ def _slow(a, b):
     return sum(1 / sum(max(x.get(k, 0) / x[i], y.get(k, 0) / y[i]) for k in every) for i in set(x) & set(y))
 
 
+def _similar(a, b):
+    """Whether two weighted sets reach 0.8, one pair at a time."""
+    if not len(a[0]) or not len(b[0]):
+        return len(a[0]) == len(b[0])
+    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    if not len(i):
+        return False
+    return len(i) >= 0.8 * (len(a[0]) + len(b[0]) - len(i)) or near_dedup.probability_jaccard(a, b, i, j) >= 0.8
+
+
 def test_registers_estimate_the_probability_jaccard(prose):
     errors = []
     for seed in range(40):
@@ -87,7 +97,7 @@ def _components(texts):
 
     for i in range(len(texts)):
         for j in range(i):
-            if bands[i] & bands[j] and near_dedup.similar(sets[i][:2], sets[j][:2]):
+            if bands[i] & bands[j] and _similar(sets[i][:2], sets[j][:2]):
                 low, high = sorted((top(i), top(j)))
                 root[high] = low
     return [top(i) for i in range(len(texts))]
@@ -127,7 +137,46 @@ def test_texts_that_differ_in_repetition_only_share_a_band(prose):
         words = prose(400, seed, 10_000)
         texts = [" ".join(words + line * 40), " ".join(words + line), "a b c", ""]
         a, b = _sets(texts)[:2]
-        assert near_dedup.similar(a[:2], b[:2])
+        assert _similar(a[:2], b[:2])
         batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "digest": [1, 2, 3, 4], "text": texts})
         keys = [set(x) for out in near_dedup._signed(iter([batch])) for x in out.column("bands").to_pylist()]
         assert keys[0] & keys[1] and len(keys[0]) > near_dedup.BANDS and len(keys[1]) == len(keys[2]) == near_dedup.BANDS
+
+
+def test_no_pair_with_a_common_shingle_is_missed(documents, prose):
+    """Recall against all pairs that share a shingle, bands or not: texts with and without repeated lines."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for group in range(25):
+        base = prose(int(rng.integers(30, 250)), 100 + group, 3000)
+        line = prose(9, 500 + group, 3000)
+        for copy in range(6):
+            words = _edited(base, set(rng.permutation(len(base))[: int(rng.integers(0, 6))].tolist()), f"c{copy}")
+            texts.append(" ".join(words + line * int(rng.integers(0, 5)) * (group % 2)))
+    sets = _sets(texts)
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(documents(list(enumerate(texts)))).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if set(sets[i][0].tolist()) & set(sets[j][0].tolist()) and _similar(sets[i][:2], sets[j][:2])]
+    assert len(pairs) > 50 and [p for p in pairs if found[p[0]] != found[p[1]]] == []
+
+
+@pytest.mark.parametrize("step", [50, 1 << 22])
+def test_blocks_count_like_single_pairs(prose, monkeypatch, step):
+    monkeypatch.setattr(near_dedup, "STEP", step)
+    rng = np.random.default_rng(12)
+    base = prose(120, 1, 500)
+    texts = [" ".join(_edited(base, set(rng.permutation(120)[: int(rng.integers(0, 9))].tolist()), f"k{k}") + base[:20] * int(rng.integers(0, 3))) for k in range(40)]
+    parts = [s[:2] for s in _sets(texts)]
+    hubs = near_dedup._Sets(parts[:15])
+    hubs.index()
+    found = {(int(i), int(j)) for x, y in near_dedup._Sets(parts[15:]).similar_to(hubs) for i, j in zip(x, y)}
+    assert found == {(i, j) for i in range(25) for j in range(15) if _similar(parts[15 + i], parts[j])} and 0 < len(found) < 25 * 15
+
+
+def test_blocks_of_many_parts_and_freed_tables(spark, documents, prose, monkeypatch, tmp_path):
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 7)
+    base = prose(100, 9, 10_000)
+    rng = np.random.default_rng(13)
+    texts = [" ".join(_edited(base, set(rng.permutation(100)[:3].tolist()), f"q{k}")) for k in range(80)]
+    rows = near_dedup.classes(documents(list(enumerate(texts)))).collect()
+    expected = _components(texts)
+    assert {r.doc_id: r.class_id for r in rows} == dict(enumerate(expected))
