@@ -28,11 +28,13 @@ from queryscore.llm.scratch import kept
 
 MIN_REVISIT_BYTES = 100
 RANGE_BYTES = 4 << 20
+#: Tasks of a reader; with more ranges than that a task reads several.
+MOST_TASKS = 100_000
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2020-01-01T00:00:00Z"
 _EMPTY_MEMBER = gzip.compress(b"", mtime=0)
-_READ = 1 << 20
-_HEAD = 1 << 12
+_READ = 1 << 18
+_HEAD, _PIECE = 1 << 12, 1 << 16
 
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
@@ -111,16 +113,36 @@ def write_archives(pages: DataFrame, path: str) -> None:
 
 
 class _Source:
-    """Reads of a file at any place, in pieces."""
+    """Reads of a file that mostly go on where the last one ended, from one moving buffer."""
 
     def __init__(self, file, size: int):
         self.file, self.size = file, size
-
-    def at(self, start: int, n: int) -> bytes:
-        if start >= self.size:
-            return b""
-        self.file.seek(start)
-        return self.file.read(min(n, self.size - start))
+        self.start, self.data, self.bytes_read = 0, b"", 0
+
+    def at(self, start: int, n: int) -> memoryview:
+        """At most ``n`` bytes from ``start`` on; fewer only at the end of the file."""
+        n = max(min(n, self.size - start), 0)
+        have = self.start + len(self.data)
+        if not self.start <= start or start + n > have:
+            # what is held is not read again
+            self.data = self.data[start - self.start :] if self.start <= start < have else b""
+            self.start = start
+            self.file.seek(start + len(self.data))
+            more = self.file.read(min(max(n - len(self.data), _READ), self.size - start - len(self.data)))
+            self.bytes_read += len(more)
+            self.data += more
+        offset = start - self.start
+        return memoryview(self.data)[offset : offset + n]
+
+    def find(self, what: bytes, first: int, behind: int) -> int:
+        """The first place of ``what`` in ``[first, behind)``, or -1."""
+        while first < behind:
+            n = min(_HEAD * 16, behind - first)
+            found = bytes(self.at(first, n + len(what) - 1)).find(what)
+            if found >= 0:
+                return first + found
+            first += n
+        return -1
 
 
 def _opened(path: str) -> tuple[pa.NativeFile, int]:
@@ -136,29 +158,30 @@ def _is_record(source: _Source, at: int) -> bool:
         return False
 
 
-def _inflated(source: _Source, at: int) -> bytes:
-    """The member that starts here; an error if it is cut off or does not match its checksum."""
+def _inflated(source: _Source, at: int) -> tuple[bytes, int]:
+    """The member that starts here and the place behind it; an error if it is cut off or does not match its checksum."""
     member, out = zlib.decompressobj(31), []
     while not member.eof:
-        piece = source.at(at, _READ)
+        piece = source.at(at, _PIECE)
         if not piece:
             raise EOFError("an archive ends inside a record")
         out.append(member.decompress(piece))
         at += len(piece)
-    return b"".join(out)
+    return b"".join(out), at - len(member.unused_data)
+
 
+def records(source: _Source, first: int, behind: int) -> Iterator[bytes]:
+    """The records that start in ``[first, behind)``.
 
-def starts(source: _Source, first: int, behind: int) -> Iterator[int]:
-    """Where records start in ``[first, behind)``."""
+    Behind a record the next one is expected; magic is only searched where none starts.
+    """
     at = first
-    while at < behind:
-        piece = source.at(at, min(_READ, behind - at) + len(MAGIC) - 1)
-        found = piece.find(MAGIC)
-        while found >= 0:
-            if _is_record(source, at + found):
-                yield at + found
-            found = piece.find(MAGIC, found + 1)
-        at += _READ
+    while (at := source.find(MAGIC, at, behind)) >= 0:
+        if _is_record(source, at):
+            record, at = _inflated(source, at)
+            yield record
+        else:
+            at += 1
 
 
 def _parsed(record: bytes) -> tuple:
@@ -188,8 +211,8 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             file, size = _opened(path)
             with file:
                 source, rows, held = _Source(file, size), [], 0
-                for at in starts(source, first, behind):
-                    rows.append(_parsed(_inflated(source, at)))
+                for record in records(source, first, behind):
+                    rows.append(_parsed(record))
                     held += len(rows[-1][-1] or b"")
                     if held > _READ:
                         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
@@ -201,10 +224,13 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES
     """The records of all archives below ``path`` (columns ``RECORDS``), on a file system that pyarrow knows.
 
     Each response is checked against its digest. A revisit has the size and digest of the payload
-    it refers to and no payload.
+    it refers to and no payload. Every range has a task of its own, up to ``MOST_TASKS``; a task reads
+    its ranges and the ends of records that go on behind them, once.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     cut = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("length") - 1, F.lit(range_bytes).cast("bigint")))
     ranges = files.select("path", "length", cut.alias("first"))
     ranges = ranges.select("path", "first", F.least(F.col("first") + range_bytes, "length").alias("behind"))
-    return ranges.repartition("path", "first").mapInArrow(_records, RECORDS)
+    # a given number of tasks is kept: adaptive execution would put a few bytes of ranges into one
+    tasks = max(1, min(ranges.count(), MOST_TASKS))
+    return ranges.repartition(tasks).mapInArrow(_records, RECORDS)

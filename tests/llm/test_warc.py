@@ -59,3 +59,27 @@ def test_a_damaged_archive_is_an_error(spark, tmp_path):
     (target / "a.warc.gz").write_bytes(data[:-20])
     with pytest.raises(Exception, match="ends inside a record"):
         warc.read_archives(spark, str(target)).collect()
+
+
+def test_ranges_have_tasks_of_their_own_and_bytes_are_read_once(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    pages = [(i, f"http://e/{i}", "".join(chr(rng.randrange(0x20, 0x2000)) for _ in range(900))) for i in range(800)]
+    path = str(tmp_path / "archive")
+    warc.write_archives(spark.createDataFrame(pages, PAGE).coalesce(1), path)
+    read = warc.read_archives(spark, path, 64 << 10)
+    counts = [r["count"] for r in read.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(counts) == len(pages) and len(counts) > 10 and max(counts) < 200
+    name = max(glob.glob(path + "/part-*"), key=lambda f: len(open(f, "rb").read()))
+    size = len(open(name, "rb").read())
+    for step in (size, 300_000):
+        total = found = 0
+        for first in range(0, size, step):
+            with open(name, "rb") as file:
+                source = warc._Source(file, size)
+                found += len(list(warc.records(source, first, min(first + step, size))))
+                total += source.bytes_read
+        assert found == len(pages) and total <= size + -(-size // step) * 2 * warc._READ
