@@ -69,7 +69,7 @@ def mix(
 ) -> DataFrame:
     """The columns ``carry`` (default: all) of every document plus size, source_size, target, copies, taken.
 
-    Columns of these names in ``docs`` give way. A null text has size 0; documents without words
+    Columns of these names in ``docs`` give way, whatever they hold. A null text has size 0; documents without words
     have copies too, which take no words. A null source is a source, the last one. Documents of
     equal size are ordered by doc_id (nulls first), then by their content; rows equal in all of
     that are interchangeable. An empty table gives an empty table.
@@ -111,8 +111,21 @@ def mix(
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every document repeated as often as the mix takes it."""
-    mixed = mix(docs, **options)
-    keep = [c for c in mixed.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))
-    return mixed.where(F.col("copies") > 0).select(*keep, copy.alias("copy"))
+    """``docs`` with every document repeated as often as the mix takes it, numbered by ``copy`` from 1.
+
+    All columns of ``docs`` stay but one named copy. Only ids and sizes are ranked; the documents are
+    joined to their copies once. Rows equal in all columns share their key: their copies are counted
+    together and put out from one of them.
+    """
+    key = F.xxhash64(F.struct(*docs.columns))
+    mixed = mix(docs.select("doc_id", "source", "text", key.alias("_key")), carry=["doc_id", "_key"], **options)
+    counted = mixed.groupBy(F.col("doc_id").alias("_id"), "_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    counted = kept(counted.where("_copies > 0"), "copies")
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), docs["doc_id"].alias("_own"), key.alias("_own_key"))
+    same = F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key"))
+    single = rows.join(counted.where("_rows = 1"), same).select("_doc", "_copies")
+    # the first of some equal rows is as good as any
+    many = rows.join(counted.where("_rows > 1"), same).groupBy("_own", "_own_key").agg(F.first("_doc").alias("_doc"), F.first("_copies").alias("_copies"))
+    both = single.unionByName(many.select("_doc", "_copies"))
+    copy = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
+    return both.select(*[F.col("_doc")[c].alias(c) for c in docs.columns if c != "copy"], copy.alias("copy"))

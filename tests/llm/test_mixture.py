@@ -62,3 +62,16 @@ def test_empty_tables_sources_without_words_and_clashing_columns(spark, document
     clash = spark.createDataFrame([(1, "a b", "s", 9, 8)], "doc_id long, text string, source string, size int, _task int")
     row = mixture.mix(clash).first()
     assert row["size"] == 2 and row["_task"] == 8
+
+
+def test_emit_keeps_clashing_columns_and_repeated_rows(spark, documents, prose):
+    rows = [(i, " ".join(prose(20 + i % 7, i)), "s", 7, 8, 9) for i in range(60)] + [(99, "a b c d e", "s", 1, 2, 3)] * 9 + [(None, "n n n", None, 1, 1, 1)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, copy int, _key int")
+    emitted = mixture.emit(docs)
+    assert emitted.columns == ["doc_id", "text", "source", "size", "_key", "copy"]
+    found = emitted.collect()
+    mixed = mixture.mix(docs, carry=["doc_id"]).collect()
+    assert len(found) == sum(r.copies for r in mixed) > 60
+    assert {(r["size"], r["_key"]) for r in found if r.doc_id == 5} == {(7, 9)}
+    assert sum(r.doc_id == 99 for r in found) == sum(r.copies for r in mixed if r.doc_id == 99)
+    assert mixture.emit(documents([])).count() == 0
