@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from queryscore.llm.native import free_name
 from queryscore.llm.tokens import NOT_ALNUM, Words, chunks, words_of
 
 ERROR_SHARE = 0.2
@@ -148,19 +149,20 @@ def find(docs: DataFrame, benchmark: DataFrame, carry: list[str]) -> DataFrame:
     """
     carry = [c for c in carry if c not in dict(HITS)]
     schema = T.StructType([*[docs.schema[c] for c in carry], *[T.StructField(*h) for h in HITS]])
-    rows = docs.select(*carry, F.lower(docs["text"]).alias("_text"))
+    text = free_name(carry)
+    rows = docs.select(*carry, F.lower(docs["text"]).alias(text))
     out = None
     for block in _blocks(benchmark):
-        part = rows.mapInArrow(_finder(block, carry), schema)
+        part = rows.mapInArrow(_finder(block, carry, text), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _finder(block, carry):
+def _finder(block, carry, text):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(block)
         for batch in batches:
-            for first, words in _words(batch.column("_text")):
+            for first, words in _words(batch.column(text)):
                 found = sorted(_matches(items, words).items())
                 if found:
                     taken = batch.select(carry).take(pa.array([first + d for (d, _), _ in found]))
@@ -172,20 +174,21 @@ def _finder(block, carry):
 
 def drop(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a test item; nothing is shuffled."""
+    text = free_name(docs.columns)
     for block in _blocks(benchmark):
-        docs = docs.withColumn("_text", F.lower("text")).mapInArrow(
-            _dropper(block), T.StructType([*docs.schema.fields])
+        docs = docs.withColumn(text, F.lower("text")).mapInArrow(
+            _dropper(block, text), T.StructType([*docs.schema.fields])
         )
     return docs
 
 
-def _dropper(block):
+def _dropper(block, text):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(block)
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
-            for first, words in _words(batch.column("_text")):
+            for first, words in _words(batch.column(text)):
                 for d, _ in _matches(items, words):
                     clean[first + d] = False
-            yield batch.filter(pa.array(clean)).drop_columns(["_text"])
+            yield batch.filter(pa.array(clean)).drop_columns([text])
     return run

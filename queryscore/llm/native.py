@@ -29,6 +29,14 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(spaced, " ", -1), "")
 
 
+def free_name(columns: list[str], name: str = "_text") -> str:
+    """``name``, longer by underscores where a column has it, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("bigint")
 

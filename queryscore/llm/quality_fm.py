@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from queryscore.llm.native import free_name
 from queryscore.llm.sample import fit_in_task, fold, labelled_sample
 from queryscore.llm.tokens import Words, chunks, words_of
 
@@ -213,16 +214,17 @@ def score(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
     """``carry`` and score (0 to 1) of every whole text; a null text is an empty one."""
     carry = [c for c in carry if c != "score"]
     schema = T.StructType([*[docs.schema[c] for c in carry], T.StructField("score", T.DoubleType())])
+    text = free_name(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [
-                model.scores(rows_of(words_of(data, bounds), bounds)) for _, _, data, bounds in chunks(batch.column("_text"))
+                model.scores(rows_of(words_of(data, bounds), bounds)) for _, _, data, bounds in chunks(batch.column(text))
             ]
             scores = np.concatenate(scores) if scores else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.select(carry).columns, pa.array(scores)], names=[*carry, "score"])
 
-    return docs.select(*carry, docs["text"].alias("_text")).mapInArrow(run, schema)
+    return docs.select(*carry, docs["text"].alias(text)).mapInArrow(run, schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, carry: list[str]) -> DataFrame:
