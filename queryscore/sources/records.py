@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from queryscore.sources.json_array import elements
+
 _STRICT = {"mode": "FAILFAST"}
 
 
@@ -112,11 +114,7 @@ def _records(
     elif layout == "indented":
         rows = _json_array_indented(spark, path, indent)
     elif layout == "array":
-        # A compact array has no safe place to split: one task per file.
-        whole = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
-        parsed = F.from_json("value", T.ArrayType(fields), _STRICT)
-        place = F.struct("file", F.lit(0).cast("long").alias("split"), F.col("line").cast("long").alias("line"))
-        return whole.select("file", F.posexplode(parsed).alias("line", "r")).select(place.alias("pos"), "r.*")
+        rows = elements(spark, path)
     else:
         raise ValueError(f"unknown layout {layout!r}: use jsonl, array or indented")
     return rows.select("pos", F.from_json("value", fields, _STRICT).alias("r")).select("pos", "r.*")
@@ -167,7 +165,8 @@ def schema_from_ddls(ddls: DataFrame) -> DataFrame:
 def read_synth(spark: SparkSession, path: str, layout: str = "jsonl", indent: int = 2) -> DataFrame:
     """(pos, db_id, sql_complexity, question, external_knowledge, cot, sql).
 
-    Use ``indented`` for one huge pretty-printed array and ``jsonl`` otherwise; both split.
+    All layouts split: ``jsonl``, ``array`` in any formatting, and ``indented``, which is cheaper than
+    ``array`` for a pretty-printed one.
     """
     return _records(spark, path, SYNTH_FIELDS, layout, indent)
 
