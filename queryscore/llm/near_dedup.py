@@ -12,8 +12,7 @@ candidates; a candidate pair is a link when its similarity, computed from the sh
 at least ``SIMILARITY``. Classes are the connected components of the links between all candidates.
 
 Pairs inside a class cannot change it and are not all formed. At first every text is compared with one
-leader, the text of its buckets that has most bucket-mates; that is repeated with other leaders while
-it joins many texts. Then all pairs that share a bucket and still lie in two classes are compared, in
+leader, the text of its buckets that has most bucket-mates, which joins most of them. Then all pairs that share a bucket and still lie in two classes are compared, in
 blocks: the texts of a bucket's largest class are held against the others, and a task counts the
 common shingles of all pairs of a block at once. It returns links, one for each two classes of a
 block; pairs that are no links never become rows.
@@ -39,8 +38,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
-#: Leaders are tried again while that joins at least this share of the texts compared.
-WORTH = 0.1
 #: Texts, and bytes of text, of either side of a block.
 BLOCK_TEXTS, BLOCK_BYTES = 1024, 16 << 20
 #: Common shingles that a task counts at a time.
@@ -294,23 +291,17 @@ def links(docs: DataFrame, signs: DataFrame, tables: Tables) -> tuple[DataFrame,
 
         rows = dealt(hubs, False).unionByName(dealt(spokes, True)).join(texts, "node")
         # few bytes may be much work: the number of tasks follows the blocks
-        tasks = max(1, min(blocks, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+        tasks = max(1, min(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         rows = rows.repartition(tasks, "block").sortWithinPartitions("block", "spoke")
         found = tables.keep(rows.mapInArrow(_compared, "a long, b long"), "links")
         tables.free(plan)
         return found
 
-    def led(turn: int) -> DataFrame:
-        """(spoke, hub) of texts and a leader of one of their buckets that they are not connected to.
-
-        The first leader of a bucket is the text with the largest crowd, later ones are random; a text
-        takes the leader that it shares most bands with.
-        """
-        rooted = members.join(roots, "node")
-        order = F.struct(-F.col("crowd"), "node") if turn == 0 else F.xxhash64("node", "band", F.lit(turn))
-        leads = rooted.groupBy("band").agg(F.min_by(F.struct("node", "root"), order).alias("lead"), F.min("root").alias("_least"), F.max("root").alias("_most"))
-        each = rooted.join(leads.where("_least < _most").select("band", "lead"), "band").where("root <> lead.root")
-        found = each.groupBy("node", F.col("lead.node").alias("leader")).agg(F.count(F.lit(1)).alias("bands"))
+    def led() -> DataFrame:
+        """(spoke, hub) of texts and the leader, of one of their buckets, that they share most bands with."""
+        ranked = members.join(roots, "node")
+        leads = ranked.groupBy("band").agg(F.min_by("node", F.struct(-F.col("crowd"), "node")).alias("leader"))
+        found = members.join(leads, "band").where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("bands"))
         best = found.groupBy("node").agg(F.max_by("leader", F.struct("bands", "leader")).alias("hub"))
         return tables.keep(best.select(F.col("node").alias("spoke"), "hub"), "led")
 
@@ -322,25 +313,15 @@ def links(docs: DataFrame, signs: DataFrame, tables: Tables) -> tuple[DataFrame,
         tables.free(roots)
         return new
 
-    every, turn = [], 0
-    while True:
-        pairs = led(turn)
-        asked = pairs.count()
-        if not asked:
-            break
-        own = roots.select("node", "root", "bytes")
-        star = compare(
-            pairs.select(F.col("hub").alias("home"), F.col("hub").alias("node")).distinct().join(own, "node"),
-            pairs.select(F.col("hub").alias("home"), F.col("spoke").alias("node")).join(own, "node"),
-        )
-        tables.free(pairs)
-        every.append(star)
-        joined = star.count()
-        if joined:
-            roots = merged(star)
-        if joined < WORTH * asked:
-            break
-        turn += 1
+    pairs = led()
+    own = roots.select("node", "root", "bytes")
+    found = compare(
+        pairs.select(F.col("hub").alias("home"), F.col("hub").alias("node")).distinct().join(own, "node"),
+        pairs.select(F.col("hub").alias("home"), F.col("spoke").alias("node")).join(own, "node"),
+    )
+    tables.free(pairs)
+    if not found.isEmpty():
+        roots = merged(found)
 
     each = members.join(roots, "node").groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = each.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("home"), F.min("root").alias("_least"), F.max("root").alias("_most"))
@@ -350,12 +331,9 @@ def links(docs: DataFrame, signs: DataFrame, tables: Tables) -> tuple[DataFrame,
     open_ = tables.keep(open_, "open")
     if not open_.isEmpty():
         last = compare(open_.where("root <> home"), open_)
-        every.append(last)
         if not last.isEmpty():
             roots = merged(last)
-    found = every[0] if every else docs.sparkSession.createDataFrame([], "a long, b long")
-    for more in every[1:]:
-        found = found.unionByName(more)
+            found = found.unionByName(last)
     return found, roots.select("node", "root")
 
 
