@@ -16,7 +16,8 @@ from queryscore.functions.messages import (
 from queryscore.functions.similarity import table_names
 from queryscore.functions.sql_text import strip
 from queryscore.operators.filters import usable
-from queryscore.operators.skew import first_per_group, left_join_skewed
+from queryscore.operators.skew import dealt_by_order, left_join_skewed, nth_by_counts
+from queryscore.scratch import materialise
 from queryscore.sources.database import list_tables
 
 
@@ -168,16 +169,16 @@ def stratified_head(
     """Per stratum the first ``total // strata`` records (at least 1) by ``order``, at most
     ``total`` in all; a missing stratum counts as "_".
 
-    Only (stratum, position) is ranked. Its last admitted position per stratum then
-    filters the wide records where they are, without shuffling them.
+    The cuts come from counts of (stratum, range of positions): no stratum, and no head of
+    ``total`` rows, meets in one task. They then filter the wide records where they are, without
+    shuffling them. Positions must be unique.
     """
     per = max(1, total // strata)
     stratum = F.coalesce(F.col(key).cast("string"), F.lit("_"))
-    places = df.select(stratum.alias("_stratum"), F.col(order).alias("_place"))
-    chosen = first_per_group(places, ["_stratum"], "_place", per)
-    # At most ``per`` rows per stratum are left; keep the first ``total`` of those.
-    cuts = chosen.orderBy("_place").limit(total).groupBy("_stratum").agg(F.max("_place").alias("_last"))
-    return (
-        df.withColumn("_stratum", stratum).join(cuts, "_stratum")
-        .filter(F.col(order) <= F.col("_last")).drop("_stratum", "_last")
-    )
+    places = dealt_by_order(df.select(stratum.alias("_stratum"), F.col(order).alias("_place")), "_place")
+    cuts = materialise(nth_by_counts(places, ["_stratum"], "_place", per), "cuts")
+    chosen = left_join_skewed(places, cuts, ["_stratum"]).where("_last IS NULL OR _place <= _last").drop("_last")
+    # of what the strata admit, the first ``total``
+    last = nth_by_counts(chosen, [], "_place", total).agg(F.max("_last")).scalar()
+    rows = df.withColumn("_stratum", stratum).join(cuts, "_stratum", "left").where(F.col("_last").isNull() | (F.col(order) <= F.col("_last")))
+    return rows.where(last.isNull() | (F.col(order) <= last)).drop("_stratum", "_last")

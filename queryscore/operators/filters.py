@@ -7,8 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from queryscore.operators.skew import left_join_skewed
-
+from queryscore.operators.skew import first_rows, left_join_skewed
 
 
 def filter_difficulty(questions: DataFrame, difficulties: Iterable[str] | None = None) -> DataFrame:
@@ -20,7 +19,7 @@ def filter_difficulty(questions: DataFrame, difficulties: Iterable[str] | None =
 
 def head_n(df: DataFrame, n: int, order_col: str | Column) -> DataFrame:
     """The first ``n`` rows by position; 0 keeps all."""
-    return df.orderBy(order_col).limit(n) if n else df
+    return first_rows(df, n, order_col) if n else df
 
 
 def usable(questions: DataFrame, databases: DataFrame) -> DataFrame:

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from queryscore.scratch import materialise
+
 #: A key with more than one in so many of the rows, and at least so many rows, is dealt to several tasks.
 HEAVY_SHARE, HEAVY_ROWS = 1000, 1000
 
@@ -74,6 +76,46 @@ def first_per_group(
     )
 
 
+#: Up to so many first rows are found by a heap in each task, more by counts.
+SMALL_HEAD = 10_000
+
+
+def dealt_by_order(places: DataFrame, order: str) -> DataFrame:
+    """``places`` plus ``_task``: dealt to tasks by ranges of ``order``, written once."""
+    tasks = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = places.repartitionByRange(tasks, order).withColumn("_task", F.spark_partition_id())
+    return materialise(spread, "places")
+
+
+def nth_by_counts(dealt: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    """(keys, _last): the ``n``-th value of ``order`` (unique) of every key that has as many rows.
+
+    Counts per key and range of values tell the range in which the ``n``-th row lies; only the rows
+    of that range are ranked, so the largest group that meets in one task is a task's range.
+    """
+    counts = dealt.groupBy(*keys, "_task").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    cutting = counts.where((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n)).select(*keys, "_task", (n - F.col("_before")).alias("_need"))
+    inside = Window.partitionBy(*keys, "_task").orderBy(order)
+    ranked = dealt.join(cutting, [*keys, "_task"]).withColumn("_rank", F.row_number().over(inside))
+    return ranked.where("_rank = _need").select(*keys, F.col(order).alias("_last"))
+
+
+def first_rows(df: DataFrame, n: int, order: str | Column) -> DataFrame:
+    """The first ``n`` rows of ``df`` by ``order``, sorted; a large head does not meet in one task.
+
+    Rows of equal order stand in any order, and any of them may be the last ones.
+    """
+    if n <= SMALL_HEAD:
+        return df.orderBy(order).limit(n)
+    by = F.col(order) if isinstance(order, str) else order
+    # an order that is not unique is told apart by the place of the row
+    rows = materialise(df.withColumn("_place", F.struct(by.alias("by"), F.monotonically_increasing_id().alias("row"))), "rows")
+    last = nth_by_counts(dealt_by_order(rows.select("_place"), "_place"), [], "_place", n).agg(F.max("_last")).scalar()
+    return rows.where(last.isNull() | (F.col("_place") <= last)).orderBy("_place").drop("_place")
+
+
 def with_position(
     df: DataFrame, keys: list[str], order: str, name: str = "position", block: int = 4096,
 ) -> DataFrame:

@@ -198,6 +198,19 @@ def stratified_head(spark, sf_dir):
     return c.stratified_head(docs, "lang", 120, "doc_id").select("doc_id", "lang", F.md5("text").alias("digest"))
 
 
+@query("""SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS m FROM (
+    SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rn FROM orders) WHERE rn <= 2500) WHERE m <= 5000""")
+def stratified_head_orders(spark, sf_dir):
+    # two strata have nearly half of the rows each
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return c.stratified_head(orders, "o_orderstatus", 5000, "o_orderkey", strata=2)
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 12000")
+def head_n_orders(spark, sf_dir):
+    return filters.head_n(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 12_000, "o_orderkey")
+
+
 @query("SELECT doc_id, source FROM documents ORDER BY doc_id LIMIT 25")
 def head_n(spark, sf_dir):
     return filters.head_n(table(spark, sf_dir, "documents").select("doc_id", "source"), 25, "doc_id")

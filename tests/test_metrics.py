@@ -152,3 +152,36 @@ def test_no_task_of_a_skewed_join_gets_the_dominating_key(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_cuts_by_counts(spark):
+    from queryscore.operators.corpus import stratified_head
+    from queryscore.operators.filters import head_n
+
+    n = 60_000
+    rows = spark.range(n).select(
+        ((F.col("id") * 7919) % n).alias("place"), F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 4 == 1, F.lit(None)).otherwise((F.col("id") % 3).cast("string")).alias("s"))
+    plain = sorted((r.place, r.s or "_") for r in rows.collect())
+    for total, strata in ((40_000, 4), (1000, 2), (100, 200), (10**6, 3)):
+        per, seen, want = max(1, total // strata), {}, []
+        for place, s in plain:
+            seen[s] = seen.get(s, 0) + 1
+            if seen[s] <= per:
+                want.append(place)
+        got = stratified_head(rows, "s", total, "place", strata)
+        assert got.columns == rows.columns and sorted(r.place for r in got.collect()) == want[:total]
+    for k in (15_000, n + 5):
+        head = head_n(rows, k, "place")
+        assert [r.place for r in head.collect()] == [p for p, _ in plain[:k]]
+        assert "CollectLimit" not in head._jdf.queryExecution().executedPlan().toString()
+    ties = head_n(rows.withColumn("place", F.col("place") % 3), 12_000, "place").collect()
+    assert len(ties) == 12_000 and {r.place for r in ties} == {0}
+    assert stratified_head(rows.limit(0), "s", 10, "place").count() == 0
+
+
+def test_no_task_ranks_more_than_a_range(spark):
+    places = skew.dealt_by_order(spark.range(0, 200_000, 1, 8).select(F.lit("hot").alias("s"), F.col("id").alias("place")), "place")
+    sizes = [r["count"] for r in places.groupBy("_task").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 80_000
+    assert skew.nth_by_counts(places, ["s"], "place", 123_456).collect()[0]["_last"] == 123_455
+    assert skew.nth_by_counts(places, ["s"], "place", 200_001).count() == 0
