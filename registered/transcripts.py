@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from queryscore.operators import rewards
 from queryscore.operators import transcripts as tr
 from queryscore.operators.metrics import summarize
-from queryscore.plans.evaluation import evaluate
+from queryscore.plans.evaluation import evaluate, evaluate_single_turn
 from queryscore.plans.training import score_step
 from queryscore.scratch import materialise
 from registered import query, table
@@ -147,6 +147,29 @@ def ex_fallback(spark, sf_dir):
     return tr.with_ex_fallback(spark, scored, databases).select("qid", "ex", "ex_fallback")
 
 
+@query(f"""WITH {_outcome_sql(3, False)}, {_EVALUATED}
+SELECT qid, CASE WHEN qid % 3 <> 0 THEN final_sql END AS final_sql, CASE WHEN qid % 3 = 0 THEN 0 ELSE ex END AS ex, qid % 3 <> 0 AND finished AS finished,
+    CASE WHEN qid % 3 = 0 THEN 'lost ' || qid END AS error FROM evaluated""")
+def evaluation_with_failed_rollouts(spark, sf_dir):
+    questions = _questions(spark, sf_dir)
+    failed = questions.where("qid % 3 = 0").select("qid", F.concat(F.lit("lost "), F.col("qid").cast("string")).alias("error"))
+    out = evaluate(spark, _turns(spark, sf_dir), questions, tpch(spark, sf_dir), "r1", max_turns=3, failed=failed)
+    return out.select("qid", "final_sql", "ex", "finished", "error")
+
+
+@query("""SELECT c_custkey AS qid, CASE c_custkey % 4 WHEN 0 THEN 'SELECT count(*) FROM nation WHERE n_regionkey = ' || c_custkey % 5 WHEN 1 THEN 'VALUES (5)' END AS final_sql,
+    CASE c_custkey % 4 WHEN 0 THEN ((SELECT count(*) FROM nation WHERE n_regionkey = c_custkey % 5) = (SELECT count(*) FROM region))::INT
+        WHEN 1 THEN ((SELECT count(*) FROM region) = 5)::INT ELSE 0 END AS ex,
+    c_custkey % 4 < 2 AS finished, CASE c_custkey % 4 WHEN 3 THEN 'no result' END AS error FROM customer""")
+def evaluation_single_turn(spark, sf_dir):
+    key = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(key.alias("qid"), F.lit("tpch").alias("db_id"), F.lit("SELECT count(*) FROM region").alias("gold_sql"))
+    said = F.when(key % 4 == 0, F.concat(F.lit("Well.\nFINAL SQL: SELECT count(*) FROM nation WHERE n_regionkey = "), (key % 5).cast("string"))).when(
+        key % 4 == 1, F.lit("FINAL SQL: VALUES (5)")).otherwise(F.lit("I cannot tell."))
+    completions = table(spark, sf_dir, "customer").where(key % 4 != 3).select(key.alias("qid"), said.alias("completion"))
+    return evaluate_single_turn(spark, completions, rows, tpch(spark, sf_dir)).select("qid", "final_sql", "ex", "finished", "error")
+
+
 @query(f"""WITH {_outcome_sql(8, False)}, {_EVALUATED}
 SELECT count(*) AS n, round(avg(ex), 6) AS ex_rate, round(avg(ex_fallback), 6) AS ex_rate_fallback, round(avg(ex), 6) AS mean_reward,
     round(avg(finished::INT), 6) AS finished_rate, round(avg((final_sql IS NOT NULL)::INT), 6) AS valid_sql_rate,
