@@ -106,15 +106,19 @@ def find_databases(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "db_id string, dir string")
 
 
-def columns_catalog(spark: SparkSession, databases: dict[str, dict[str, DataFrame]]) -> DataFrame:
-    """The schema catalog (db_id, table_name, pos, column_name, type) of registered databases."""
-    rows = [
+def catalog_rows(databases: dict[str, dict[str, DataFrame]]) -> list[tuple]:
+    """(db_id, table_name, pos, column_name, type) of all columns of registered databases."""
+    return [
         (db_id, table, pos, field.name, field.dataType.simpleString().upper())
         for db_id, tables in databases.items()
         for table, df in tables.items()
         for pos, field in enumerate(df.schema.fields)
     ]
-    return spark.createDataFrame(rows, COLUMNS_SCHEMA)
+
+
+def columns_catalog(spark: SparkSession, databases: dict[str, dict[str, DataFrame]]) -> DataFrame:
+    """The schema catalog of registered databases, one row per column."""
+    return spark.createDataFrame(catalog_rows(databases), COLUMNS_SCHEMA)
 
 
 def _table_lines(columns: DataFrame, line: Column) -> DataFrame:
@@ -152,14 +156,16 @@ def list_tables(columns: DataFrame, databases: DataFrame | None = None) -> DataF
     return listed.withColumn("text", F.when(F.size("tables") > 0, some).otherwise(fv.NO_TABLES))
 
 
-def table_samples(
-    spark: SparkSession,
+SAMPLES_SCHEMA = "db_id string, table_name string, sample string"
+
+
+def sample_rows_of(
     db_id: str,
     tables: dict[str, DataFrame],
     sample_rows: int = fv.SAMPLE_ROWS,
     max_cell: int = fv.CELL_CHARS,
     order_by: dict[str, list[str]] | None = None,
-) -> DataFrame:
+) -> list[tuple]:
     """(db_id, table_name, sample): the first rows of every table as display text.
 
     A few rows per table come to the driver: a limit at the top of a plan reads only as
@@ -180,8 +186,12 @@ def table_samples(
         return db_id, name, "\n".join(r.line for r in lines)
 
     with ThreadPoolExecutor(8) as pool:
-        samples = list(pool.map(sample, tables.items()))
-    return spark.createDataFrame(samples, "db_id string, table_name string, sample string")
+        return list(pool.map(sample, tables.items()))
+
+
+def table_samples(spark: SparkSession, db_id: str, tables: dict[str, DataFrame], **options) -> DataFrame:
+    """``sample_rows_of`` one database as a table."""
+    return spark.createDataFrame(sample_rows_of(db_id, tables, **options), SAMPLES_SCHEMA)
 
 
 def describe_tables(columns: DataFrame, samples: DataFrame) -> DataFrame:

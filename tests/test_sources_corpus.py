@@ -230,3 +230,13 @@ def test_questions_that_cannot_be_told_are_skipped_and_counted(spark):
     assert rows.keys() == {0, 4} and all(m is not None for ms in rows.values() for m in ms)
     assert tuple(c.written_and_skipped(questions, made).first()) == (2, 3)
     assert {r.db_id: r.text for r in db.list_tables(columns, databases).collect()} == {"a": "Tables: T, t", "empty": "No tables."}
+
+
+def test_open_databases_gathers_all_in_two_tables(spark, db_root):
+    from queryscore.plans.preparation import open_databases
+
+    columns, texts = open_databases(spark, {"marina": f"{db_root}/marina", "quarry": f"{db_root}/quarry"})
+    assert {(r.db_id, r.table_name) for r in texts.collect()} == {("marina", "boats"), ("marina", "moorings"), ("quarry", "boats")}
+    assert columns.count() == 8 and "Union" not in texts._jdf.queryExecution().analyzed().toString()
+    none = open_databases(spark, {})
+    assert [t.count() for t in none] == [0, 0]
