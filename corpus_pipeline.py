@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from queryscore.llm import decontaminate, mixture, near_dedup, pii, quality_fm
-from queryscore.llm.scratch import kept
+from queryscore.llm.scratch import Tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +45,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the table documents of ``sf_dir``; an empty table passes through all of them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over the table documents of ``sf_dir``; an empty table passes through all of them.
+
+    A stage's table is deleted when the next one is written.
+    """
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark)
     for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), name)
+        before, docs = docs, tables.keep(stage(spark, docs, sf_dir), name)
+        tables.free(before)
     return docs
 
 
