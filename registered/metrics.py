@@ -94,14 +94,17 @@ def proportion_ztest(spark, sf_dir):
     return _rounded(m.proportion_ztest(_results(spark, sf_dir), "src0", tag="source").drop("p_value"), "rate", "delta", "z")
 
 
+# Every source of the documents.
+_ARMS = [f"src{i}" for i in range(20)]
+
+
 @query(f"""WITH {_RESULTS_SQL}, r AS (SELECT source, avg(ex) AS ex, avg(coalesce(finished, false)::INT) AS finished,
     avg({_IS_SELECT}::INT) AS valid_sql FROM results GROUP BY source),
 l AS (SELECT source, 'ex' AS metric, ex AS v FROM r UNION ALL SELECT source, 'finished', finished FROM r
     UNION ALL SELECT source, 'valid_sql', valid_sql FROM r)
-SELECT metric, round(max(v) FILTER (source = 'src0') * 100, 4) AS src0, round(max(v) FILTER (source = 'src1') * 100, 4) AS src1,
-    round(max(v) FILTER (source = 'src2') * 100, 4) AS src2 FROM l GROUP BY metric""")
+SELECT metric, {", ".join(f"round(max(v) FILTER (source = '{arm}') * 100, 4) AS {arm}" for arm in _ARMS)} FROM l GROUP BY metric""")
 def metric_pivot(spark, sf_dir):
-    return m.metric_pivot(_results(spark, sf_dir), ["src0", "src1", "src2"], "source")
+    return m.metric_pivot(_results(spark, sf_dir), _ARMS, "source")
 
 
 @query("""WITH g AS (SELECT user_id, avg(value) AS mean, stddev_samp(value) AS sd FROM events GROUP BY user_id)
