@@ -16,7 +16,7 @@ from queryscore.functions.messages import (
 from queryscore.functions.similarity import table_names
 from queryscore.functions.sql_text import strip
 from queryscore.operators.filters import usable
-from queryscore.operators.skew import dealt_by_order, left_join_skewed, nth_by_counts
+from queryscore.operators.skew import SMALL_HEAD, dealt_by_order, first_per_group, left_join_skewed, nth_by_counts
 from queryscore.scratch import materialise
 from queryscore.sources.database import list_tables
 
@@ -170,12 +170,18 @@ def stratified_head(
     ``total`` in all; a missing stratum counts as "_".
 
     The cuts come from counts of (stratum, range of positions): no stratum, and no head of
-    ``total`` rows, meets in one task. They then filter the wide records where they are, without
-    shuffling them. Positions must be unique.
+    ``total`` rows, meets in one task; a small total is ranked at once instead. They then filter the
+    wide records where they are, without shuffling them. Positions must be unique.
     """
     per = max(1, total // strata)
     stratum = F.coalesce(F.col(key).cast("string"), F.lit("_"))
-    places = dealt_by_order(df.select(stratum.alias("_stratum"), F.col(order).alias("_place")), "_place")
+    narrow = df.select(stratum.alias("_stratum"), F.col(order).alias("_place"))
+    if total <= SMALL_HEAD:
+        chosen = first_per_group(narrow, ["_stratum"], "_place", per).orderBy("_place").limit(total)
+        cuts = chosen.groupBy("_stratum").agg(F.max("_place").alias("_last"))
+        rows = df.withColumn("_stratum", stratum).join(cuts, "_stratum").where(F.col(order) <= F.col("_last"))
+        return rows.drop("_stratum", "_last")
+    places = dealt_by_order(narrow, "_place")
     cuts = materialise(nth_by_counts(places, ["_stratum"], "_place", per), "cuts")
     chosen = left_join_skewed(places, cuts, ["_stratum"]).where("_last IS NULL OR _place <= _last").drop("_last")
     # of what the strata admit, the first ``total``

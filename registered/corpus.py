@@ -199,11 +199,11 @@ def stratified_head(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS m FROM (
-    SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rn FROM orders) WHERE rn <= 2500) WHERE m <= 5000""")
+    SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS rn FROM orders) WHERE rn <= 6000) WHERE m <= 12000""")
 def stratified_head_orders(spark, sf_dir):
     # two strata have nearly half of the rows each
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    return c.stratified_head(orders, "o_orderstatus", 5000, "o_orderkey", strata=2)
+    return c.stratified_head(orders, "o_orderstatus", 12_000, "o_orderkey", strata=2)
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 12000")
