@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from queryscore import fixed_values as fv
 from queryscore.functions.messages import called_describe, completion_text
-from queryscore.functions.similarity import bigrams, jaccard, schema_items
+from queryscore.functions.similarity import jaccard
 from queryscore.functions.sql_text import extract_final_sql, is_select
 from queryscore.operators.execution import DatabaseSessions, match_batch, with_executes
 from queryscore.operators.outcomes import OutcomeStore
 from queryscore.operators.skew import left_join_skewed
+from queryscore.operators.texts import with_parts
 from queryscore.scratch import materialise
 
 
@@ -42,18 +43,6 @@ def reward_r1(scored: DataFrame) -> DataFrame:
     )
 
 
-def text_parts(texts: DataFrame) -> DataFrame:
-    """(text_id, items, grams) of every distinct ``sql`` of ``texts``: each is taken apart once."""
-    named = texts.where("sql IS NOT NULL").groupBy(F.md5("sql").alias("text_id")).agg(F.first("sql").alias("sql"))
-    return named.select("text_id", schema_items(F.col("sql")).alias("items"), bigrams(F.col("sql")).alias("grams"))
-
-
-def _with_parts(scored: DataFrame, parts: DataFrame, sql: str, name: str) -> DataFrame:
-    """Add the parts of each row's text as a struct ``name``; only ids are joined, and no text is read again."""
-    found = parts.select("text_id", F.struct("items", "grams").alias(name))
-    return left_join_skewed(scored.withColumn("text_id", F.md5(sql)), found, ["text_id"]).drop("text_id")
-
-
 def reward_r2(scored: DataFrame) -> DataFrame:
     """Partial credit: execution match, executability, schema and token overlap, format.
 
@@ -62,9 +51,7 @@ def reward_r2(scored: DataFrame) -> DataFrame:
     schema items.
     """
     scored = materialise(scored, "scored")
-    texts = scored.select(F.col("pred_sql").alias("sql")).unionByName(scored.select(F.col("gold_sql").alias("sql")))
-    parts = materialise(text_parts(texts), "texts")
-    known = _with_parts(_with_parts(scored, parts, "pred_sql", "_pred"), parts, "gold_sql", "_gold")
+    known = with_parts(scored, {"_pred": "pred_sql", "_gold": "gold_sql"})
     none = F.array().cast("array<string>")
     of = lambda side, part: F.coalesce(F.col(f"{side}.{part}"), none)
     parsed = F.coalesce("pred_parsed", F.lit(True)) if "pred_parsed" in scored.columns else F.lit(True)

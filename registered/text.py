@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from queryscore.functions import messages as msg
 from queryscore.functions import similarity as sim
 from queryscore.functions import sql_text as st
+from queryscore.operators.texts import with_schema_link
+from queryscore.scratch import materialise
 from registered import query, table
 
 
@@ -134,6 +136,5 @@ def schema_link_orders(spark, sf_dir):
         .when(kind == 3, F.lit("SELECT count(*) FROM part"))
         .otherwise(F.lit("SELECT 1"))
     )
-    return table(spark, sf_dir, "orders").select(
-        "o_orderkey", sim.schema_link_jaccard(pred, gold).alias("schema_link")
-    )
+    pairs = materialise(table(spark, sf_dir, "orders").select("o_orderkey", pred.alias("pred"), gold.alias("gold")), "pairs")
+    return with_schema_link(pairs, "pred", "gold").select("o_orderkey", "schema_link")

@@ -356,7 +356,7 @@ def test_halves_and_packs():
 
 def test_texts_are_taken_apart_once(spark, databases):
     """The plan over the rows reads dictionary entries; a gold shared by many rows has one."""
-    from queryscore.operators.rewards import text_parts
+    from queryscore.operators.texts import text_parts
 
     scored = pairs_df(spark, [(f"SELECT title FROM boats WHERE hull = {i % 7}", GOLD) for i in range(200)]).selectExpr("*", "0 AS ex", "true AS executes")
     texts = scored.selectExpr("pred_sql AS sql").union(scored.selectExpr("gold_sql AS sql")).union(scored.selectExpr("CAST(NULL AS STRING) AS sql"))
