@@ -134,6 +134,7 @@ def input_bytes(df: DataFrame) -> int:
 class _Task:
     fn: Callable
     limit_s: float
+    driver_limit_s: float
     group: str = field(default_factory=lambda: f"query-{uuid.uuid4().hex}")
     ended: threading.Event = field(default_factory=threading.Event)
     started: bool = False
@@ -192,9 +193,12 @@ class Watcher(threading.Thread):
         self._free: list[_Lane] = []
         self.start()
 
-    def limited(self, fn: Callable, limit_s: float) -> tuple[object, float]:
-        """(result, seconds its jobs had running tasks) of ``fn``; raises what it raises, or ``TooSlow``."""
-        task = _Task(fn, limit_s)
+    def limited(self, fn: Callable, limit_s: float, texts: int = 1) -> tuple[object, float]:
+        """(result, seconds its jobs had running tasks) of ``fn``; raises what it raises, or ``TooSlow``.
+
+        The driver may take the limit for each of the ``texts`` that ``fn`` plans together.
+        """
+        task = _Task(fn, limit_s, limit_s * texts)
         with self._lock:
             lane = self._free.pop() if self._free else None
         lane = lane or _Lane(self._context)
@@ -225,7 +229,7 @@ class Watcher(threading.Thread):
             if any((stage := tracker.getStageInfo(s)) and stage.numActiveTasks for s in stages):
                 task.task_s += seconds
         now = time.monotonic()
-        if max(task.driver_s, task.task_s) > task.limit_s:
+        if task.driver_s > task.driver_limit_s or task.task_s > task.limit_s:
             self._context.cancelJobGroup(task.group)
             if task.expired_at is None:
                 task.expired_at = now

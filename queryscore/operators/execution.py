@@ -212,7 +212,7 @@ def _run_batch(items: list, sessions: DatabaseSessions, watcher: Watcher, run: _
             out.append(row | _failed(e))
 
     def together(some: list[_Prepared]) -> list[dict]:
-        found, seconds = watcher.limited(lambda: run.outcomes([p.df for p in some]), run.timeout_s)
+        found, seconds = watcher.limited(lambda: run.outcomes([p.df for p in some]), run.timeout_s, len(some))
         return [p.row | one | {"status": OK, "seconds": seconds} for p, one in zip(some, found)]
 
     def alone(one: _Prepared, e: Exception) -> dict:

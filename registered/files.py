@@ -62,20 +62,19 @@ def question_array_records(spark, sf_dir):
 @query("""SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS qid, 'db' || c_nationkey AS db_id, c_name AS question, 'SELECT ' || c_custkey AS gold_sql,
     '/data/db' || c_nationkey AS db_path, '{ "a" }' AS evidence, '' AS difficulty FROM customer""")
 def question_indented_records(spark, sf_dir):
-    # One indented array in one file, as a pretty-printer writes it.
+    # Indented arrays as a pretty-printer writes them, a file for each thousand customers, names in order of the keys.
     fields = {
         "db_id": F.concat(F.lit("db"), F.col("c_nationkey").cast("string")), "question": F.col("c_name"),
         "gold_sql": F.concat(F.lit("SELECT "), F.col("c_custkey").cast("string")), "evidence": F.lit('{ \\"a\\" }'),
     }
     lines = [F.concat(F.lit(f'    "{k}": "'), v, F.lit('"')) for k, v in fields.items()]
     record = F.concat(F.lit("  {\n"), F.concat_ws(",\n", *lines), F.lit("\n  }"))
-    rows = table(spark, sf_dir, "customer")
-    first, last = (rows.agg(f("c_custkey")).scalar() for f in (F.min, F.max))
-    value = F.concat(
-        F.when(F.col("c_custkey") == first, "[\n").otherwise(""), record, F.when(F.col("c_custkey") == last, "\n]").otherwise(","),
+    group = F.format_string("%012d", F.floor(F.col("c_custkey") / 1000))
+    arrays = table(spark, sf_dir, "customer").groupBy(group.alias("g")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", record.alias("r")))), lambda x: x["r"]), ",\n").alias("r")
     )
     path = scratch_dir(spark, "indented")
-    rows.orderBy("c_custkey").select(value.alias("value")).coalesce(1).write.text(path)
+    arrays.select("g", F.concat(F.lit("[\n"), "r", F.lit("\n]")).alias("value")).write.partitionBy("g").text(path)
     return rec.read_questions(spark, path, "/data", layout="indented")
 
 
