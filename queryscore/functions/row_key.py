@@ -80,10 +80,28 @@ def _key_columns(types: tuple[T.DataType, ...], float_digits: int | None) -> tup
     return tuple(F.xxhash64(F.lit(seed), *parts).alias(name) for seed, name in enumerate(KEY))
 
 
-def row_keys(df: DataFrame, float_digits: int | None = None) -> DataFrame:
-    """The key of every row of ``df``; equal rows have equal keys."""
-    types = tuple(f.dataType for f in df.schema.fields)
-    return df.toDF(*[f"c{i}" for i in range(len(types))]).select(*_key_columns(types, float_digits))
+def row_keys(df: DataFrame, float_digits: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """The key of every row of ``df``; equal rows have equal keys. The first columns, named ``by``, are kept beside it."""
+    by = by or []
+    types = tuple(f.dataType for f in df.schema.fields[len(by):])
+    return df.toDF(*by, *[f"c{i}" for i in range(len(types))]).select(*by, *_key_columns(types, float_digits))
+
+
+@functools.lru_cache(maxsize=1)
+def _fingerprint_columns() -> tuple[Column, list[Column]]:
+    words = [
+        F.bit_xor(F.xxhash64(F.lit(i), *KEY)).alias(f"f{i}") for i in range(FINGERPRINT_WORDS)
+    ]
+    return F.count(F.lit(1)).alias("copies"), [
+        F.count(F.lit(1)).alias("n_distinct"),
+        F.coalesce(F.sum("copies"), F.lit(0)).cast("long").alias("n_rows"),
+        *words,
+    ]
+
+
+@functools.lru_cache(maxsize=1)
+def _drain_columns() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*KEY)).alias("f0")]
 
 
 def set_fingerprint(keys: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -93,17 +111,10 @@ def set_fingerprint(keys: DataFrame, by: list[str] | None = None) -> DataFrame:
     Duplicates are merged before the shuffle, so a key that repeats in a third of the
     rows reaches its reducer once per map task; the second step moves one row per task.
     """
-    by = by or []
-    words = [
-        F.bit_xor(F.xxhash64(F.lit(i), *KEY)).alias(f"f{i}") for i in range(FINGERPRINT_WORDS)
-    ]
-    return keys.groupBy(*by, *KEY).agg(F.count(F.lit(1)).alias("copies")).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_distinct"),
-        F.coalesce(F.sum("copies"), F.lit(0)).cast("long").alias("n_rows"),
-        *words,
-    )
+    by, (copies, sizes) = by or [], _fingerprint_columns()
+    return keys.groupBy(*by, *KEY).agg(copies).groupBy(*by).agg(*sizes)
 
 
 def drained(keys: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Number of rows, with every cell evaluated and nothing shuffled but one row per task."""
-    return keys.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*KEY)).alias("f0"))
+    return keys.groupBy(*(by or [])).agg(*_drain_columns())

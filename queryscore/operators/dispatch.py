@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-_LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
+LOGICAL = "org.apache.spark.sql.catalyst.plans.logical."
 #: Leaves of an analysed query that read nothing outside it.
 _OWN_LEAVES = {"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef", "EmptyRelation"}
 
@@ -41,9 +41,9 @@ class _Kinds:
     def __init__(self, spark: SparkSession):
         of = spark.sparkContext._jvm.java.lang.Class.forName
         self._of = of
-        self._plan = of(_LOGICAL + "LogicalPlan")
-        self._leaf = of(_LOGICAL + "LeafNode")
-        self._statements = [of(_LOGICAL + "Command"), of(_LOGICAL + "ParsedStatement")]
+        self._plan = of(LOGICAL + "LogicalPlan")
+        self._leaf = of(LOGICAL + "LeafNode")
+        self._statements = [of(LOGICAL + "Command"), of(LOGICAL + "ParsedStatement")]
         self._known: dict[str, tuple[bool, bool]] = {}
 
     def of(self, name: str) -> tuple[bool, bool]:
@@ -62,7 +62,7 @@ def _kinds_of(spark: SparkSession) -> _Kinds:
     return _kinds.setdefault(id(spark.sparkContext._jvm), _Kinds(spark))
 
 
-def _trees(value) -> list[list[dict]]:
+def trees(value) -> list[list[dict]]:
     """All trees in a plan's JSON: a tree is the list of its nodes, parents first."""
     found, open_ = [], [value]
     while open_:
@@ -76,8 +76,8 @@ def _trees(value) -> list[list[dict]]:
     return found
 
 
-def _own_view(node: dict) -> bool:
-    return node["class"] == _LOGICAL + "View" and node.get("isTempView") is True and "database" not in node["desc"]["identifier"]
+def own_view(node: dict) -> bool:
+    return node["class"] == LOGICAL + "View" and node.get("isTempView") is True and "database" not in node["desc"]["identifier"]
 
 
 def _outside_views(tree: list[dict]) -> list[dict]:
@@ -87,7 +87,7 @@ def _outside_views(tree: list[dict]) -> list[dict]:
         if skip:
             skip += node["num-children"] - 1
             continue
-        if _own_view(node):
+        if own_view(node):
             skip = node["num-children"]
             continue
         kept.append(node)
@@ -96,16 +96,16 @@ def _outside_views(tree: list[dict]) -> list[dict]:
 
 def check_tree(kinds: _Kinds, plan, analysed: bool) -> None:
     """Raises unless the plan is a query; an analysed one must read views of the session only."""
-    open_ = _trees(json.loads(plan.toJSON()))[:1]
+    open_ = trees(json.loads(plan.toJSON()))[:1]
     while open_:
         for node in _outside_views(open_.pop()):
             may, leaf = kinds.of(node["class"])
             if not may:
                 raise NotAllowed("only a query can be run")
-            name = node["class"].removeprefix(_LOGICAL).rstrip("$")
+            name = node["class"].removeprefix(LOGICAL).rstrip("$")
             if analysed and (name == "View" or leaf and name not in _OWN_LEAVES):
                 raise NotAllowed("only the tables of the database can be read")
-            open_ += _trees([v for k, v in node.items() if k != "class"])
+            open_ += trees([v for k, v in node.items() if k != "class"])
 
 
 def read_only_query(spark: SparkSession, sql: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 import concurrent.futures as cf
 import itertools
 import threading
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -34,6 +34,7 @@ from queryscore.functions.sql_text import cap_cell, is_blank, looks_like_write,
 from queryscore.operators.dispatch import (
     NotAllowed, TooSlow, Watcher, halves, input_bytes, packs, read_only_query,
 )
+from queryscore.operators.lookups import LEAST_LOOKUPS, LOOKUPS, Lookup, looked_up, lookup_of, shape_of, shape_order
 from queryscore.operators.outcomes import OutcomeStore
 from queryscore.operators.skew import left_join_skewed
 from queryscore.scratch import scratch_dir
@@ -161,6 +162,16 @@ class _Run:
                 found.setdefault(row["query"], []).append(row)
         return [self._outcome(found.get(i, [])) for i in range(len(frames))]
 
+    def outcomes_of_lookups(self, session: SparkSession, lookup: Lookup, texts: list[str]) -> list[dict]:
+        """One outcome per text, all from one join."""
+        rows, view = looked_up(session, lookup, texts)
+        try:
+            reduced = self._reduced(row_keys(rows, self.float_digits, ["query"]), ["query"]).collect()
+        finally:
+            session.catalog.dropTempView(view)
+        found = {row["query"]: [row] for row in reduced}
+        return [self._outcome(found.get(i, [])) for i in range(len(texts))]
+
     def _outcome(self, rows: list) -> dict:
         if self.mode == "first_row":
             return {"n_rows": len(rows)}
@@ -193,6 +204,10 @@ class _Prepared:
     bytes: int
 
 
+def _row(item) -> dict:
+    return dict.fromkeys(OUTCOME_SCHEMA.names) | {"db_id": item.db_id, "sql": item.sql, "uses": item.uses, "parsed": True, "seconds": 0.0, "steady": True}
+
+
 def _run_batch(items: list, sessions: DatabaseSessions, watcher: Watcher, run: _Run, pack: int) -> list[dict]:
     """Outcomes of some texts: each is analysed and planned by itself, then they run in few jobs."""
     out, ready = [], []
@@ -202,8 +217,7 @@ def _run_batch(items: list, sessions: DatabaseSessions, watcher: Watcher, run: _
         return df, input_bytes(df), df._jdf.queryExecution().analyzed().deterministic()
 
     for item in items:
-        row = dict.fromkeys(OUTCOME_SCHEMA.names) | {"db_id": item.db_id, "sql": item.sql, "uses": item.uses, "parsed": True, "seconds": 0.0}
-        row |= {"steady": True}
+        row = _row(item)
         try:
             sessions.get(item.dir)  # opening a database is not the text's time
             (df, size, steady), _ = watcher.limited(lambda i=item: prepare(i.dir, i.sql), run.timeout_s)
@@ -224,27 +238,101 @@ def _run_batch(items: list, sessions: DatabaseSessions, watcher: Watcher, run: _
     return out
 
 
-def _batches(items: Iterator, concurrency: int, most: int) -> Iterator[list]:
-    """Lists of items, small ones first, so that a few texts are spread over all workers too."""
-    size = min(4, most)
-    while True:
-        for _ in range(concurrency):
-            batch = list(itertools.islice(items, size))
-            if not batch:
-                return
-            yield batch
-        size = min(2 * size, most)
+@dataclass
+class _Batch:
+    """Texts for a worker: one join if they share a ``lookup``, else jobs of at most ``pack``."""
+
+    items: list
+    pack: int
+    lookup: Lookup | None = None
+    tried: bool = False
+
+
+#: A join that fails is tried again in so many parts; texts of one as small as this are tried one by one.
+_PARTS, _SMALL_JOIN = 8, 32
+
+
+def _parts(batch: _Batch) -> list[_Batch]:
+    size = -(-len(batch.items) // _PARTS)
+    small = len(batch.items) <= _SMALL_JOIN
+    return [_Batch(batch.items[i : i + size], batch.pack, batch.lookup, small) for i in range(0, len(batch.items), size)]
+
+
+def _run_lookups(batch: _Batch, sessions: DatabaseSessions, watcher: Watcher, run: _Run) -> tuple[list[dict], list[_Batch]]:
+    """(outcomes, batches to run instead): a join that fails says nothing about its texts."""
+    items = batch.items
+    try:
+        session = sessions.get(items[0].dir)
+        found, seconds = watcher.limited(
+            lambda: run.outcomes_of_lookups(session, batch.lookup, [i.sql for i in items]), run.timeout_s, len(items)
+        )
+    except Exception:
+        return [], _parts(batch)
+    return [_row(i) | one | {"status": OK, "seconds": seconds} for i, one in zip(items, found)], []
+
+
+def _run_tried(batch: _Batch, sessions: DatabaseSessions, watcher: Watcher, run: _Run) -> tuple[list[dict], list[_Batch]]:
+    """Texts of a failed join, each drained by itself, which needs no shuffle: (those that break, a batch of the others)."""
+    out, whole, drain = [], [], _Run("drain", run.timeout_s)
+    for item in batch.items:
+        try:
+            session = sessions.get(item.dir)
+            # another text of this shape has been checked
+            watcher.limited(lambda i=item: drain.outcomes([session.sql(i.sql)]), run.timeout_s)
+            whole.append(item)
+        except TooSlow:  # its own run will tell
+            whole.append(item)
+        except Exception as e:
+            out.append(_row(item) | _failed(e))
+    return out, [_Batch(whole, batch.pack)] if whole else []
+
+
+def _grouped(items: Iterator, find: Callable[[object], Lookup | None]) -> Iterator[tuple[list, Lookup | None]]:
+    """(texts, what they look up): neighbours of one shape together if they are lookups, all others one by one."""
+    for (_, shape), alike in itertools.groupby(items, lambda i: (i.dir, shape_of(i.sql))):
+        first = [] if shape is None else list(itertools.islice(alike, LEAST_LOOKUPS))
+        lookup = find(first[0]) if len(first) == LEAST_LOOKUPS else None
+        alike = itertools.chain(first, alike)
+        if lookup is None:
+            yield from (([i], None) for i in alike)
+            continue
+        while some := list(itertools.islice(alike, LOOKUPS)):
+            yield some, lookup
+
+
+def _batches(groups: Iterator[tuple[list, Lookup | None]], concurrency: int, most: int) -> Iterator[_Batch]:
+    """Batches of texts, small ones first, so that a few texts are spread over all workers too."""
+    sizes = itertools.chain.from_iterable(itertools.repeat(min(4 << i, most), concurrency) for i in itertools.count())
+    size, open_ = next(sizes), []
+    for items, lookup in groups:
+        if lookup is not None:
+            yield _Batch(items, most, lookup)
+            continue
+        open_ += items
+        if len(open_) >= size:
+            yield _Batch(open_, most)
+            size, open_ = next(sizes), []
+    if open_:
+        yield _Batch(open_, most)
 
 
 def _bounded_map(pool: cf.ThreadPoolExecutor, fn, items: Iterator, ahead: int) -> Iterator:
-    """``map`` on a pool that never holds more than ``ahead`` items at once."""
+    """``map`` on a pool that never holds more than ``ahead`` items at once.
+
+    ``fn`` returns (result, more items); these come before the next ones.
+    """
     waiting: set[cf.Future] = set()
-    for item in items:
-        waiting.add(pool.submit(fn, item))
-        if len(waiting) >= ahead:
-            done, waiting = cf.wait(waiting, return_when=cf.FIRST_COMPLETED)
-            yield from (f.result() for f in done)
-    yield from (f.result() for f in cf.as_completed(waiting))
+    again: list = []
+    while True:
+        while len(waiting) < ahead and (item := again.pop() if again else next(items, None)) is not None:
+            waiting.add(pool.submit(fn, item))
+        if not waiting:
+            return
+        done, waiting = cf.wait(waiting, return_when=cf.FIRST_COMPLETED)
+        for f in done:
+            result, more = f.result()
+            again += more
+            yield result
 
 
 def run_queries(
@@ -264,7 +352,8 @@ def run_queries(
     The driver only sees query texts, a partition of them at a time, and one small row
     per finished query; these go to the shared scratch folder in batches. Texts of unknown
     databases have no outcome. ``uses`` counts the input rows of each text. Texts that
-    ``store`` knows do not run, and it learns the others. At most ``pack`` texts share a job.
+    ``store`` knows do not run, and it learns the others. At most ``pack`` texts share a job, but
+    those that are alike up to the keys they look up, ``LOOKUPS`` of which are one join.
     """
     out = scratch_dir(spark, "outcomes")
     run = _Run(mode, timeout_s, **options)
@@ -287,10 +376,28 @@ def run_queries(
 
     rows: list[dict] = []
     watcher = Watcher(spark.sparkContext)
+    # previews and first rows stop early, each by itself
+    joins = pack > 1 and mode in ("match", "drain")
+
+    def lookup(item) -> Lookup | None:
+        try:
+            session = sessions.get(item.dir)
+            return watcher.limited(lambda: lookup_of(session, item.sql), run.timeout_s)[0]
+        except Exception:  # its own run will tell
+            return None
+
+    def work(batch: _Batch) -> tuple[list[dict], list[_Batch]]:
+        if batch.lookup is not None:
+            return (_run_tried if batch.tried else _run_lookups)(batch, sessions, watcher, run)
+        return _run_batch(batch.items, sessions, watcher, run, batch.pack), []
+
     try:
         with cf.ThreadPoolExecutor(concurrency) as pool:
-            batches = _batches(distinct.orderBy("dir", "sql").toLocalIterator(), concurrency, pack)
-            for found in _bounded_map(pool, lambda b: _run_batch(b, sessions, watcher, run, pack), batches, 2 * concurrency):
+            # an order, not a column: the optimiser would follow it through all joins before
+            texts = distinct.orderBy("dir", *([shape_order(F.col("sql"))] if joins else []), "sql").toLocalIterator()
+            groups = _grouped(texts, lookup) if joins else (([t], None) for t in texts)
+            batches = _batches(groups, concurrency, pack)
+            for found in _bounded_map(pool, work, batches, 2 * concurrency):
                 rows += found
                 if len(rows) >= _BATCH_ROWS:
                     write(rows)
@@ -421,7 +528,8 @@ def match_batch(
     joined = _with_outcome(joined, outcomes, "gold_sql", may_run["gold_sql"], "gold")
     same = (F.col("pred.status") == OK) & (F.col("gold.status") == OK)
     for part in ("n_distinct", *_WORDS):
-        same = same & F.col(f"pred.{part}").eqNullSafe(F.col(f"gold.{part}"))
+        # an empty result has words of null if it ran alone, of 0 if with others
+        same = same & (F.coalesce(f"pred.{part}", F.lit(0)) == F.coalesce(f"gold.{part}", F.lit(0)))
     return joined.select(
         *pairs.columns,
         F.coalesce(same.cast("int"), F.lit(0)).alias("ex"),

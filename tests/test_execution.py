@@ -364,3 +364,55 @@ def test_texts_are_taken_apart_once(spark, databases):
     out = reward_r2(scored)
     assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert out.where("breakdown.schema > 0.4 AND breakdown.ngram > 0").count() == 200
+
+
+def test_texts_that_look_up_keys_are_one_join(spark, databases):
+    """Verdicts are those of single runs, with keys that break, are missing or come twice; jobs do not grow with the keys."""
+    def pairs(keys):
+        look = [f"SELECT title, harbour FROM boats WHERE hull = {k}" for k in keys]
+        rows = [(t, t + " ORDER BY title") for t in look] + [(t + " AND hull <= 9", t) for t in look]
+        return pairs_df(spark, rows + [(f"SELECT  title FROM  BOATS b WHERE hull ={k}", f"SELECT title FROM boats WHERE {k} = hull") for k in keys])
+
+    def verdicts(df, **options):
+        before = _last_job(spark)
+        rows = ex.match_batch(spark, df, databases, **options).collect()
+        return _last_job(spark) - before, sorted((r.i, r.ex, r.pred_status, r.gold_status) for r in rows)
+
+    keys = [*range(1, 40), "07"]
+    _, alone = verdicts(pairs(keys), pack=1)
+    jobs, joined = verdicts(pairs(keys))
+    assert joined == alone and {v[1] for v in joined} == {0, 1}
+    simple = [pairs_df(spark, [(f"SELECT title FROM boats WHERE hull = {k}", f"SELECT title, 1 FROM boats WHERE hull = {k}") for k in range(n)]) for n in (40, 400)]
+    few, many = (verdicts(df)[0] for df in simple)
+    assert many <= few + 2
+
+    broken = pairs_df(spark, [(f"SELECT 1 / (hull - {n}) FROM boats WHERE hull = {k}", f"SELECT title FROM boats WHERE hull = {k}") for n in (7, 99) for k in range(60)])
+    _, alone = verdicts(broken, pack=1)
+    _, joined = verdicts(broken)
+    assert joined == alone and sum(v[2] == "exec_error" for v in joined) == 1
+    never = pairs_df(spark, [(f"SELECT 1 / (hull - hull) FROM boats WHERE hull = {k}", f"SELECT title FROM boats WHERE hull = {k}") for k in range(60)])
+    _, joined = verdicts(never)
+    assert [v[1:3] for v in joined] == [(0, "exec_error") if 1 <= k <= 21 else (1, "ok") for k in range(60)]
+
+
+def test_what_counts_as_a_lookup(spark, databases, db_root):
+    from queryscore.operators import lookups
+
+    session = ex.DatabaseSessions(spark).get(f"{db_root}/marina")
+    cases = [
+        ("SELECT * FROM boats WHERE hull = 3", ["hull"]), ("SELECT title FROM boats b WHERE title IS NOT NULL AND b.hull=3 ORDER BY hull", ["hull"]),
+        ("SELECT slip + 1 FROM moorings WHERE berth = 3 AND slip = 4", ["berth", "slip"]),
+        ("SELECT hull = 3 FROM boats WHERE hull = 3", None), ("SELECT title FROM boats WHERE hull = 3 OR hull = 4", None),
+        ("SELECT title FROM boats WHERE NOT hull = 3", None), ("SELECT title FROM boats WHERE hull = 3 AND 1 / hull > 0", None),
+        ("SELECT count(*) FROM boats WHERE hull = 3", None), ("SELECT DISTINCT title FROM boats WHERE hull = 3", None),
+        ("SELECT title FROM boats WHERE hull = 3 LIMIT 1", None), ("SELECT title, rand() FROM boats WHERE hull = 3", None),
+        ("SELECT title FROM boats, moorings WHERE hull = 3", None), ("SELECT title FROM boats WHERE title = 3", None),
+        ("SELECT fee FROM moorings WHERE fee = 3", None), ("SELECT title FROM boats WHERE hull = (SELECT min(slip) FROM moorings WHERE berth = 3)", None),
+        ("SELECT explode(array(1, 2)) FROM boats WHERE hull = 3", None), ("SELECT hull FROM (SELECT hull + 1 AS hull FROM boats) WHERE hull = 3", None),
+    ]
+    assert [(f := lookups.lookup_of(session, sql)) and f.columns for sql, _ in cases] == [c[1] for c in cases]
+    none = ["SELECT 1", "SELECT title FROM boats WHERE hull >= 3", "SELECT title FROM boats WHERE hull = 3.5", "SELECT title FROM boats WHERE hull = 1234567890",
+            "SELECT 'x' FROM boats WHERE hull = 3", "SELECT title FROM boats WHERE hull = 3 -- x", "SELECT title FROM boats WHERE hull == 3L", "SELECT title FROM boats WHERE hull = -3"]
+    assert [t for t in none if lookups.shape_of(t)] == []
+    texts = spark.createDataFrame([(t,) for t in [c[0] for c in cases] + none], "sql string")
+    assert all(r.shape == lookups.shape_of(r.sql) for r in texts.withColumn("shape", lookups.shape_order(F.col("sql"))).collect())
