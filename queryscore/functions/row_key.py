@@ -104,17 +104,18 @@ def _drain_columns() -> list[Column]:
     return [F.count(F.lit(1)).alias("n_rows"), F.bit_xor(F.xxhash64(*KEY)).alias("f0")]
 
 
-def set_fingerprint(keys: DataFrame, by: list[str] | None = None) -> DataFrame:
+def set_fingerprint(keys: DataFrame, by: list[str] | None = None, least: str | None = None) -> DataFrame:
     """One row describing the *set* of keys: its size and a 256-bit xor of hashes.
 
-    With ``by`` one row for each value of those columns; a value without rows has none.
+    With ``by`` one row for each value of those columns; a value without rows has none. With ``least``
+    also the smallest value of that column.
     Duplicates are merged before the shuffle, so a key that repeats in a third of the
     rows reaches its reducer once per map task; the second step moves one row per task.
     """
-    by, (copies, sizes) = by or [], _fingerprint_columns()
-    return keys.groupBy(*by, *KEY).agg(copies).groupBy(*by).agg(*sizes)
+    by, (copies, sizes), also = by or [], _fingerprint_columns(), [F.min(least).alias(least)] if least else []
+    return keys.groupBy(*by, *KEY).agg(copies, *also).groupBy(*by).agg(*sizes, *also)
 
 
-def drained(keys: DataFrame, by: list[str] | None = None) -> DataFrame:
+def drained(keys: DataFrame, by: list[str] | None = None, least: str | None = None) -> DataFrame:
     """Number of rows, with every cell evaluated and nothing shuffled but one row per task."""
-    return keys.groupBy(*(by or [])).agg(*_drain_columns())
+    return keys.groupBy(*(by or [])).agg(*_drain_columns(), *([F.min(least).alias(least)] if least else []))

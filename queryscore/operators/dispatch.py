@@ -16,6 +16,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import CALL_COMMAND_NAME, END_COMMAND_PART, Py4JJavaError, get_return_value
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -121,6 +122,40 @@ def read_only_query(spark: SparkSession, sql: str) -> DataFrame:
     return df
 
 
+def thrown(method, *args):
+    """What a JVM method throws, None if it returns.
+
+    PySpark's own errors fetch their stack trace and that of each cause, and log them: up to 0.1 s each.
+    """
+    arguments, _ = method._build_args(*args)
+    command = CALL_COMMAND_NAME + method.command_header + arguments + END_COMMAND_PART
+    try:
+        get_return_value(method.gateway_client.send_command(command), method.gateway_client, method.target_id, method.name)
+    except Py4JJavaError as e:
+        return e.java_exception
+    return None
+
+
+class _Errors:
+    """The JVM's methods that tell what was thrown, looked up once."""
+
+    def __init__(self, jvm):
+        self.is_a = jvm.py4j.reflection.TypeUtil.isInstanceOf
+        self.condition, self.parameters = jvm.PythonErrorUtils.getCondition, jvm.PythonErrorUtils.getMessageParameters
+        self.message = jvm.org.apache.spark.SparkThrowableHelper.getMessage
+
+
+_errors: dict[int, _Errors] = {}
+
+
+def message_of(error, kind: str = "org.apache.spark.SparkThrowable") -> str | None:
+    """``getMessage`` of the PySpark error for what a JVM method has thrown; None if it is of another kind or Spark has no text for it."""
+    jvm = SparkContext._gateway.jvm
+    known = _errors.get(id(jvm)) or _errors.setdefault(id(jvm), _Errors(jvm))
+    condition = known.condition(error) if known.is_a(kind, error) else None
+    return condition and known.message(condition, known.parameters(error))
+
+
 def input_bytes(df: DataFrame) -> int:
     """What the optimised plan of ``df`` reads, as Spark estimates it; asking for it plans the query."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

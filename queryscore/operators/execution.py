@@ -32,12 +32,14 @@ from queryscore.functions.row_key import (
 )
 from queryscore.functions.sql_text import cap_cell, is_blank, looks_like_write, row_text
 from queryscore.operators.dispatch import (
-    NotAllowed, TooSlow, Watcher, halves, input_bytes, packs, read_only_query,
+    NotAllowed, TooSlow, Watcher, halves, input_bytes, message_of, packs, read_only_query, thrown,
+)
+from queryscore.operators.lookups import (
+    LEAST_LOOKUPS, LOOKUPS, NUMBERED, Lookup, failing_rows, looked_up, lookup_of, shape_of, shape_order, stand_in,
 )
-from queryscore.operators.lookups import LEAST_LOOKUPS, LOOKUPS, Lookup, looked_up, lookup_of, shape_of, shape_order
 from queryscore.operators.outcomes import OutcomeStore
 from queryscore.operators.skew import left_join_skewed
-from queryscore.scratch import scratch_dir
+from queryscore.scratch import materialise, scratch_dir
 from queryscore.sources.database import register_database
 
 OK = "ok"
@@ -114,12 +116,17 @@ class DatabaseSessions:
         return opened.result()
 
     def _open(self, path: str) -> SparkSession:
+        session = self.empty()
+        register_database(session, path)
+        isolate(session)
+        return session
+
+    def empty(self) -> SparkSession:
+        """A new session with the settings of all and no tables."""
         session = self._spark.newSession()
         for key, value in self._spark.conf.getAll.items():
             if key.startswith("spark.sql.") and session.conf.isModifiable(key):
                 session.conf.set(key, value)
-        register_database(session, path)
-        isolate(session)
         return session
 
 
@@ -146,10 +153,10 @@ class _Run:
         # At the top of the plan the limit reads one partition after another.
         return keys.limit(1) if self.mode == "first_row" else keys
 
-    def _reduced(self, rows: DataFrame, by: list[str]) -> DataFrame:
+    def _reduced(self, rows: DataFrame, by: list[str], least: str | None = None) -> DataFrame:
         if self.mode == "match":
-            return set_fingerprint(rows, by)
-        return drained(rows, by) if self.mode == "drain" else rows
+            return set_fingerprint(rows, by, least)
+        return drained(rows, by, least) if self.mode == "drain" else rows
 
     def outcomes(self, frames: list[DataFrame]) -> list[dict]:
         """One outcome per query, from one job: rows carry the number of their query."""
@@ -162,15 +169,16 @@ class _Run:
                 found.setdefault(row["query"], []).append(row)
         return [self._outcome(found.get(i, [])) for i in range(len(frames))]
 
-    def outcomes_of_lookups(self, session: SparkSession, lookup: Lookup, texts: list[str]) -> list[dict]:
-        """One outcome per text, all from one join."""
-        rows, view = looked_up(session, lookup, texts)
-        try:
-            reduced = self._reduced(row_keys(rows, self.float_digits, ["query"]), ["query"]).collect()
-        finally:
-            session.catalog.dropTempView(view)
-        found = {row["query"]: [row] for row in reduced}
-        return [self._outcome(found.get(i, [])) for i in range(len(texts))]
+    def outcomes_of_lookups(self, session: SparkSession, lookup: Lookup, texts: list[str]) -> tuple[list[dict | None], dict[int, int]]:
+        """(one outcome per text, all from one join, None for a text that breaks; the hash of a row for each of these)."""
+        keys = row_keys(looked_up(session, lookup, texts), self.float_digits, NUMBERED)
+        found, failing = {}, {}
+        for row in self._reduced(keys, NUMBERED[:2], NUMBERED[2]).collect():
+            if row["failed"]:
+                failing[row["query"]] = row["failing"]
+            else:
+                found[row["query"]] = [row]
+        return [None if i in failing else self._outcome(found.get(i, [])) for i in range(len(texts))], failing
 
     def _outcome(self, rows: list) -> dict:
         if self.mode == "first_row":
@@ -181,7 +189,7 @@ class _Run:
         if not rows:  # no row of a query has come to the common reduction
             empty = dict.fromkeys(_WORDS, 0) | {"n_distinct": 0} if self.mode == "match" else {"f0": None}
             return empty | {"n_rows": 0}
-        return {k: v for k, v in rows[0].asDict().items() if k != "query"}
+        return {k: v for k, v in rows[0].asDict().items() if k not in NUMBERED}
 
 
 def _message(e: Exception) -> str:
@@ -246,10 +254,18 @@ class _Batch:
     pack: int
     lookup: Lookup | None = None
     tried: bool = False
+    failing: DataFrame | None = None  # rows that break the texts
+    unparsed: bool = False  # whether a text like these does not parse
+
+    @property
+    def joined(self) -> bool:
+        return self.lookup is not None and not self.tried and self.failing is None
 
 
 #: A join that fails is tried again in so many parts; texts of one as small as this are tried one by one.
 _PARTS, _SMALL_JOIN = 8, 32
+#: Texts that a worker asks for their errors at once, and joins that run at once.
+_ERRORS, _JOINS = 256, 1
 
 
 def _parts(batch: _Batch) -> list[_Batch]:
@@ -259,16 +275,77 @@ def _parts(batch: _Batch) -> list[_Batch]:
 
 
 def _run_lookups(batch: _Batch, sessions: DatabaseSessions, watcher: Watcher, run: _Run) -> tuple[list[dict], list[_Batch]]:
-    """(outcomes, batches to run instead): a join that fails says nothing about its texts."""
-    items = batch.items
+    """(outcomes, batches to run instead): a join that fails as a whole says nothing about its texts."""
+    items, lookup = batch.items, batch.lookup
+
+    def join(some: list) -> tuple[SparkSession, Lookup, list[str]]:
+        session = sessions.empty()
+        if lookup.checked:  # parts that expressions share would be computed outside of what catches failures
+            session.conf.set("spark.sql.subexpressionElimination.enabled", "false")
+        return session, lookup, [i.sql for i in some]
+
     try:
-        session = sessions.get(items[0].dir)
-        found, seconds = watcher.limited(
-            lambda: run.outcomes_of_lookups(session, batch.lookup, [i.sql for i in items]), run.timeout_s, len(items)
-        )
+        (found, failing), seconds = watcher.limited(lambda: run.outcomes_of_lookups(*join(items)), run.timeout_s, len(items))
     except Exception:
         return [], _parts(batch)
-    return [_row(i) | one | {"status": OK, "seconds": seconds} for i, one in zip(items, found)], []
+    out = [_row(i) | one | {"status": OK, "seconds": seconds} for i, one in zip(items, found) if one is not None]
+    broken, size, rows = [items[i] for i in failing], _SMALL_JOIN, None
+    if broken:
+        try:
+            sought = lambda: materialise(failing_rows(*join(broken), list(failing.values())), "failing")
+            (rows, _), size = watcher.limited(sought, run.timeout_s, len(broken)), _ERRORS
+        except Exception:  # each tells its error by itself
+            pass
+    more = []
+    for i in range(0, len(broken), size):
+        own = None if rows is None else rows.where(F.col("query").between(i, i + size - 1))
+        more.append(_Batch(broken[i : i + size], batch.pack, lookup, own is None, own))
+    return out, more
+
+
+def _with_errors(items: list, ask: Callable[[str], dict | None], watcher: Watcher, run: _Run) -> tuple[list[dict], list]:
+    """(outcomes of the texts whose error ``ask`` knows, the others)."""
+    try:
+        found, _ = watcher.limited(lambda: [ask(i.sql) for i in items], run.timeout_s, len(items))
+    except Exception:
+        return [], items
+    return [_row(i) | one for i, one in zip(items, found) if one], [i for i, one in zip(items, found) if not one]
+
+
+def _run_broken(batch: _Batch, sessions: DatabaseSessions, watcher: Watcher, run: _Run) -> tuple[list[dict], list[_Batch]]:
+    """Texts that a join has shown to break: each runs on a row that breaks it, while it is planned, for its error."""
+    session, rest = sessions.empty(), batch.items
+    try:
+        isolate(session)
+        watcher.limited(lambda: stand_in(session, batch.lookup, batch.failing), run.timeout_s, len(rest))
+
+        analyse = session._jsparkSession.sql
+
+        def ask(sql: str) -> dict | None:
+            error = thrown(analyse(sql).queryExecution().optimizedPlan)
+            message = error and message_of(error)
+            return message and {"status": EXEC_ERROR, "error": message, "parsed": True}
+
+        out, rest = _with_errors(rest, ask, watcher, run)
+    except Exception:
+        out = []
+    return out, [_Batch(rest, batch.pack)] if rest else []
+
+
+def _run_unparsed(batch: _Batch, sessions: DatabaseSessions, watcher: Watcher, run: _Run) -> tuple[list[dict], list[_Batch]]:
+    """Texts of a shape of which one does not parse: (those that do not either, a batch of the others)."""
+
+    def ask(sql: str) -> dict | None:
+        error = thrown(parse, sql)
+        message = error and message_of(error, "org.apache.spark.sql.catalyst.parser.ParseException")
+        return message and {"status": EXEC_ERROR, "error": message, "parsed": False}
+
+    try:
+        parse = sessions.get(batch.items[0].dir)._jsparkSession.sessionState().sqlParser().parsePlan
+    except Exception:
+        return [], [_Batch(batch.items, batch.pack)]
+    out, rest = _with_errors(batch.items, ask, watcher, run)
+    return out, [_Batch(rest, batch.pack)] if rest else []
 
 
 def _run_tried(batch: _Batch, sessions: DatabaseSessions, watcher: Watcher, run: _Run) -> tuple[list[dict], list[_Batch]]:
@@ -287,26 +364,26 @@ def _run_tried(batch: _Batch, sessions: DatabaseSessions, watcher: Watcher, run:
     return out, [_Batch(whole, batch.pack)] if whole else []
 
 
-def _grouped(items: Iterator, find: Callable[[object], Lookup | None]) -> Iterator[tuple[list, Lookup | None]]:
-    """(texts, what they look up): neighbours of one shape together if they are lookups, all others one by one."""
+def _grouped(items: Iterator, find: Callable[[object], tuple[Lookup | None, bool]]) -> Iterator[tuple[list, Lookup | None, bool]]:
+    """(texts, what they look up, whether one does not parse): neighbours of one shape together if it is either, all others one by one."""
     for (_, shape), alike in itertools.groupby(items, lambda i: (i.dir, shape_of(i.sql))):
         first = [] if shape is None else list(itertools.islice(alike, LEAST_LOOKUPS))
-        lookup = find(first[0]) if len(first) == LEAST_LOOKUPS else None
+        lookup, unparsed = find(first[0]) if len(first) == LEAST_LOOKUPS else (None, False)
         alike = itertools.chain(first, alike)
-        if lookup is None:
-            yield from (([i], None) for i in alike)
+        if lookup is None and not unparsed:
+            yield from (([i], None, False) for i in alike)
             continue
-        while some := list(itertools.islice(alike, LOOKUPS)):
-            yield some, lookup
+        while some := list(itertools.islice(alike, _ERRORS if unparsed else LOOKUPS)):
+            yield some, lookup, unparsed
 
 
-def _batches(groups: Iterator[tuple[list, Lookup | None]], concurrency: int, most: int) -> Iterator[_Batch]:
+def _batches(groups: Iterator[tuple[list, Lookup | None, bool]], concurrency: int, most: int) -> Iterator[_Batch]:
     """Batches of texts, small ones first, so that a few texts are spread over all workers too."""
     sizes = itertools.chain.from_iterable(itertools.repeat(min(4 << i, most), concurrency) for i in itertools.count())
     size, open_ = next(sizes), []
-    for items, lookup in groups:
-        if lookup is not None:
-            yield _Batch(items, most, lookup)
+    for items, lookup, unparsed in groups:
+        if lookup is not None or unparsed:
+            yield _Batch(items, most, lookup, unparsed=unparsed)
             continue
         open_ += items
         if len(open_) >= size:
@@ -316,16 +393,16 @@ def _batches(groups: Iterator[tuple[list, Lookup | None]], concurrency: int, mos
         yield _Batch(open_, most)
 
 
-def _bounded_map(pool: cf.ThreadPoolExecutor, fn, items: Iterator, ahead: int) -> Iterator:
+def _bounded_map(submit: Callable[[object], cf.Future], items: Iterator, ahead: int) -> Iterator:
     """``map`` on a pool that never holds more than ``ahead`` items at once.
 
-    ``fn`` returns (result, more items); these come before the next ones.
+    What is submitted returns (result, more items); these come before the next ones.
     """
     waiting: set[cf.Future] = set()
     again: list = []
     while True:
         while len(waiting) < ahead and (item := again.pop() if again else next(items, None)) is not None:
-            waiting.add(pool.submit(fn, item))
+            waiting.add(submit(item))
         if not waiting:
             return
         done, waiting = cf.wait(waiting, return_when=cf.FIRST_COMPLETED)
@@ -379,25 +456,29 @@ def run_queries(
     # previews and first rows stop early, each by itself
     joins = pack > 1 and mode in ("match", "drain")
 
-    def lookup(item) -> Lookup | None:
+    def lookup(item) -> tuple[Lookup | None, bool]:
         try:
             session = sessions.get(item.dir)
-            return watcher.limited(lambda: lookup_of(session, item.sql), run.timeout_s)[0]
-        except Exception:  # its own run will tell
-            return None
+            return watcher.limited(lambda: lookup_of(session, item.sql), run.timeout_s)[0], False
+        except Exception as e:  # its own run will tell
+            return None, isinstance(e, ParseException)
 
     def work(batch: _Batch) -> tuple[list[dict], list[_Batch]]:
-        if batch.lookup is not None:
-            return (_run_tried if batch.tried else _run_lookups)(batch, sessions, watcher, run)
-        return _run_batch(batch.items, sessions, watcher, run, batch.pack), []
+        if batch.joined:
+            return _run_lookups(batch, sessions, watcher, run)
+        special = _run_tried if batch.tried else _run_broken if batch.failing is not None else _run_unparsed if batch.unparsed else None
+        return special(batch, sessions, watcher, run) if special else (_run_batch(batch.items, sessions, watcher, run, batch.pack), [])
 
     try:
-        with cf.ThreadPoolExecutor(concurrency) as pool:
-            # an order, not a column: the optimiser would follow it through all joins before
-            texts = distinct.orderBy("dir", *([shape_order(F.col("sql"))] if joins else []), "sql").toLocalIterator()
-            groups = _grouped(texts, lookup) if joins else (([t], None) for t in texts)
+        # A join takes all cores: the time of many at once would be that of all.
+        with cf.ThreadPoolExecutor(concurrency) as pool, cf.ThreadPoolExecutor(min(_JOINS, concurrency)) as joining:
+            if joins:
+                # Written first: the optimiser would follow the shape through all joins before, a sort compute it at each comparison.
+                distinct = materialise(distinct, "texts").withColumn("shape", shape_order(F.col("sql")))
+            texts = distinct.orderBy("dir", *(["shape"] if joins else []), "sql").toLocalIterator()
+            groups = _grouped(texts, lookup) if joins else (([t], None, False) for t in texts)
             batches = _batches(groups, concurrency, pack)
-            for found in _bounded_map(pool, work, batches, 2 * concurrency):
+            for found in _bounded_map(lambda b: (joining if b.joined else pool).submit(work, b), batches, 2 * concurrency):
                 rows += found
                 if len(rows) >= _BATCH_ROWS:
                     write(rows)

@@ -416,3 +416,47 @@ def test_what_counts_as_a_lookup(spark, databases, db_root):
     assert [t for t in none if lookups.shape_of(t)] == []
     texts = spark.createDataFrame([(t,) for t in [c[0] for c in cases] + none], "sql string")
     assert all(r.shape == lookups.shape_of(r.sql) for r in texts.withColumn("shape", lookups.shape_order(F.col("sql"))).collect())
+
+
+def test_texts_of_a_join_that_break_tell_their_own_errors(spark, databases, monkeypatch):
+    """Errors, verdicts and sizes are those of single runs; jobs grow neither with the texts that break nor with those that do not parse."""
+    def outcomes(texts, mode="match", **options):
+        asked = spark.createDataFrame([("marina", t) for t in texts], "db_id string, sql string")
+        before = _last_job(spark)
+        rows = ex.run_queries(spark, asked, databases, mode, 60, **options).collect()
+        jobs = _last_job(spark) - before
+        return jobs, sorted((r.sql, r.status, r.error, r.parsed, r.n_rows, r.n_distinct) for r in rows)
+
+    shapes = [
+        # most titles are no numbers, hull 7 divides by zero, hulls 5 and 12 have no title
+        "SELECT 100 / (hull - 7), title AS t, CAST(title AS INT) FROM boats WHERE hull = {}",
+        # what two columns share, in a sort too
+        "SELECT 1 / (hull - hull), 1 / (hull - hull) + 1, hull AS h FROM boats WHERE hull = {} ORDER BY harbour",
+        # slips 7 and 28 of berth 8 have the same fee
+        "SELECT 1 / (slip - 7), fee FROM moorings WHERE berth = {} AND slip > 2",
+        "SELECT hull FROM boats WHERE hull = {}) UNION ALL SELECT * FROM (SELECT 1",
+        "SELECT hull FROM boats WHERE hull = {} UNION ALL SELECT",
+    ]
+    for shape in shapes:
+        texts = [shape.format(k) for k in [*range(1, 27), "07"]]
+        _, alone = outcomes(texts, pack=1)
+        _, joined = outcomes(texts)
+        assert joined == alone and sum(o[1] == "exec_error" for o in joined) >= 1
+        assert [o[:4] + o[4:5] for o in outcomes(texts, "drain")[1]] == [o[:5] for o in alone]
+        padded = [shape.format(f"{k % 21 + 1:0{k // 21 + 1}}") for k in range(160)]
+        few, many = (outcomes(padded[:n])[0] for n in (40, 160))
+        assert many <= few + 4
+    # conditions that a row meets although it has another key
+    for shape in ("SELECT title FROM boats WHERE (hull = {}) IS NOT NULL", "SELECT title FROM boats WHERE (hull = {}) = false"):
+        _, found = outcomes([shape.format(k) for k in range(100, 130)])
+        assert {o[4] for o in found} == {22}
+
+    golds = [(k, f"SELECT 1 / (hull - hull) FROM boats WHERE hull = {k}") for k in range(60)]
+    questions = spark.createDataFrame([("marina", k, t) for k, t in golds], "db_id string, k int, gold_sql string")
+    reasons = {r.k: r.reason for r in ex.gold_filter(spark, questions, databases).collect()}
+    assert reasons == {k: "exec_error" if 1 <= k <= 21 else "empty_result" for k in range(60)}
+
+    # rows that cannot be fetched
+    monkeypatch.setattr(ex, "failing_rows", None)
+    texts = [shapes[0].format(k) for k in range(1, 27)]
+    assert outcomes(texts)[1] == outcomes(texts, pack=1)[1]
